@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import oracle
+from netloom.llm.binary import read_token_files, write_token_files
 from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.mixing import mix
+from netloom.llm.packing import pack
 from netloom.llm.quality import measure
 from netloom.llm.sharding import shard_by_bytes
 
@@ -21,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
@@ -29,14 +36,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(_documents(spark, sf_dir)).drop("clean_text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_packing": op3_packing,
     "op6_mixing": op6_mixing,
     "op8_sharding": op8_sharding,
+    "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
 }
 
