@@ -27,6 +27,8 @@ from netloom.llm.common import collapsed, shuffle_partitions
 SAMPLE_ROWS = 200
 #: A text is hot from this share of one partition's rows.
 HOT_SHARE = 0.25
+#: Characters of a text in its range key.
+HEAD = 16
 
 
 def _hot(base: DataFrame, rows: int, parts: int) -> list[tuple[int, int]]:
@@ -50,10 +52,13 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str, carry: Column | None
         joined = base.filter("salts IS NOT NULL").groupBy("norm").agg(F.min("doc_id").alias("hot_keep"), F.count(F.lit(1)).alias("hot_size"))
         joined = joined.select(F.sha2("norm", 256).alias("hot_sha"), "hot_keep", "hot_size")
         salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(0)
-    base = base.select("doc_id", "norm", salt.cast("int").alias("salt"), *([] if carry is None else ["carried"]))
-    # One exchange: range partitioning by (norm, salt) is also what the window needs.
-    runs = base.repartitionByRange("norm", "salt").sortWithinPartitions("norm", "salt", F.asc_nulls_last("doc_id"))
-    run = W.partitionBy("norm", "salt")
+    # Splitters are sampled from short keys, a prefix and a hash of the text, so what the driver gets of them is bounded
+    # whatever the length of texts. Rows are sorted by the whole text too, and runs end where neighbours differ.
+    key = ["head", "hash"] + ["salt"] * bool(hot)
+    base = base.select("doc_id", "norm", F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("hash"), salt.cast("int").alias("salt"), *([] if carry is None else ["carried"]))
+    # One exchange: the range partitioning is also what the window needs.
+    runs = base.repartitionByRange(*key).sortWithinPartitions(*key, "norm", F.asc_nulls_last("doc_id"))
+    run = W.partitionBy(*key, "norm")
     runs = runs.select(
         "doc_id",
         F.row_number().over(run.orderBy(F.asc_nulls_last("doc_id"))).alias("place"),
