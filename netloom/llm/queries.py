@@ -11,6 +11,7 @@ from netloom.llm import oracle
 from netloom.llm.binary import read_token_files, write_token_files
 from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.mixing import mix
+from netloom.llm.near_dup import near_duplicates
 from netloom.llm.packing import pack
 from netloom.llm.quality import measure
 from netloom.llm.sharding import shard_by_bytes
@@ -28,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_minhash": op4_minhash,
     "op6_mixing": op6_mixing,
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
