@@ -96,3 +96,12 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s
 """
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT payload, max(page_id) AS top, count(*) AS n FROM p WHERE strlen(payload) >= 1000 GROUP BY payload)
+SELECT p.page_id, CAST(strlen(p.payload) AS BIGINT) AS payload_bytes, sha1(p.payload) AS payload_digest,
+       CASE WHEN g.n > 1 AND p.page_id IS DISTINCT FROM g.top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.n > 1 AND p.page_id IS DISTINCT FROM g.top THEN g.top END AS refers_to
+FROM p LEFT JOIN g ON p.payload = g.payload
+"""

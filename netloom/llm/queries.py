@@ -15,6 +15,7 @@ from netloom.llm.near_dup import near_duplicates
 from netloom.llm.packing import pack
 from netloom.llm.quality import measure
 from netloom.llm.sharding import shard_by_bytes
+from netloom.llm.warc import digests, read_archive, write_archive
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(_documents(spark, sf_dir)).drop("clean_text")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read_archive(spark, write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "op7_warc": op7_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -64,4 +70,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": oracle.MIXING,
     "op8_sharding": oracle.SHARDING,
     "op10_quality": oracle.QUALITY,
+    "op7_warc": oracle.WARC,
 }
