@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from netloom.llm import oracle
 from netloom.llm.binary import read_token_files, write_token_files
 from netloom.llm.exact_dedup import exact_dedup
+from netloom.llm.html import extract
 from netloom.llm.mixing import mix
 from netloom.llm.near_dup import near_duplicates
 from netloom.llm.packing import pack
@@ -54,6 +55,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_archive(spark, write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
     "op7_warc": op7_warc,
+    "op2_html_extraction": op2_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
