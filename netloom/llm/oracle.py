@@ -105,3 +105,51 @@ SELECT p.page_id, CAST(strlen(p.payload) AS BIGINT) AS payload_bytes, sha1(p.pay
        CASE WHEN g.n > 1 AND p.page_id IS DISTINCT FROM g.top THEN g.top END AS refers_to
 FROM p LEFT JOIN g ON p.payload = g.payload
 """
+
+
+def _licenses() -> str:
+    """TF-IDF cosine without anchors: every line and every text is scored against every template."""
+    from netloom.llm.licenses import TEMPLATES, terms
+
+    rows = ", ".join(f"('{name}', '{t}')" for name, text in sorted(TEMPLATES.items()) for t in sorted(terms(text)))
+    return rf"""
+WITH tt(name, term) AS (VALUES {rows}),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         source || '/' || regexp_replace(CAST(doc_id // 10 AS VARCHAR), '(.)', '\1/', 'g') || CAST(doc_id AS VARCHAR) AS path
+  FROM documents),
+dt AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*'))) AS term FROM d),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+idf AS (
+  SELECT v.term, ln((1 + (SELECT n FROM n)) / (1 + count(dt.doc_id))) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN dt ON v.term = dt.term GROUP BY v.term),
+tl AS (SELECT name, sqrt(sum(idf * idf)) AS tl FROM tt JOIN idf USING (term) GROUP BY name),
+u AS (
+  SELECT doc_id, k AS unit, k = 1 OR k = len(lines) AS edge, lines[k] AS text
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM d)
+  UNION ALL SELECT doc_id, 0, true, text FROM d WHERE len(lines) > 1),
+ut AS (SELECT doc_id, unit, edge, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*'))) AS term FROM u),
+ul AS (
+  SELECT doc_id, unit, sqrt(sum(coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) ** 2)) AS ul
+  FROM ut LEFT JOIN idf USING (term) GROUP BY doc_id, unit),
+dot AS (
+  SELECT doc_id, unit, edge, name, sum(idf * idf) / any_value(tl) AS dot
+  FROM ut JOIN tt USING (term) JOIN idf USING (term) JOIN tl USING (name) GROUP BY doc_id, unit, edge, name),
+c AS (SELECT doc_id, edge, name, round(dot / ul, 6) AS score FROM dot JOIN ul USING (doc_id, unit)),
+own AS (
+  SELECT doc_id, name AS own_license, score AS own_score, edge FROM c WHERE score >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name, edge DESC) = 1),
+f AS (
+  SELECT d.doc_id, d.path, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS folder, own_license, own_score, coalesce(edge, false) AS is_licence
+  FROM d LEFT JOIN own USING (doc_id)),
+g AS (SELECT folder, arg_min(own_license, path) AS given FROM f WHERE is_licence GROUP BY folder),
+a AS (
+  SELECT f.doc_id, g.folder AS ancestor, g.given FROM f JOIN g ON f.folder = g.folder OR starts_with(f.folder, g.folder || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(g.folder) DESC) = 1)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, given) AS license,
+       CASE WHEN own_license IS NULL THEN ancestor END AS inherited_from
+FROM f LEFT JOIN a USING (doc_id)
+"""
+
+
+LICENSES = _licenses()

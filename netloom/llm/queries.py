@@ -11,6 +11,7 @@ from netloom.llm import oracle
 from netloom.llm.binary import read_token_files, write_token_files
 from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.html import extract
+from netloom.llm.licenses import scan
 from netloom.llm.mixing import mix
 from netloom.llm.near_dup import near_duplicates
 from netloom.llm.packing import pack
@@ -59,6 +60,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op7_warc": op7_warc,
     "op2_html_extraction": op2_html_extraction,
+    "op5_license_scan": op5_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_sharding": oracle.SHARDING,
     "op10_quality": oracle.QUALITY,
     "op7_warc": oracle.WARC,
+    "op5_license_scan": oracle.LICENSES,
 }
