@@ -12,9 +12,11 @@ import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cuts kept in a worker, about 200 bytes each, and the longest cut that is kept.
-CUTS_KEPT, LONGEST_KEPT = 400_000, 48
+CUTS_KEPT, LONGEST_KEPT = 600_000, 48
 #: White space other than the space.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _ENCODERS: dict[str, Encoder] = {}
@@ -59,35 +61,56 @@ class Encoder:
         for text in texts:
             group.append(text or "")
             size += len(text or "")
-            if size > 2_000_000:
+            if size > 4_000_000:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[str]) -> Iterator[np.ndarray]:
-        whole = [not text or _tangled(text) or any(s in text for s in self.special) for text in group]
-        cuts = [[] if w else text.split(" ") for w, text in zip(whole, group, strict=True)]
-        # The first cut of a text has no space before it.
-        plain = iter(self._library([text if w else c[0] for w, text, c in zip(whole, group, cuts, strict=True)]))
-        seen: set[str] = set()
-        for c in cuts:
-            seen.update(c[1:])
+    def _known(self, cuts: list[str]) -> list[bytes]:
+        """The ids of distinct cuts, each with a space before it."""
         # What was not used since the cuts were last set aside goes when they are set aside again.
         if len(self.kept) > CUTS_KEPT // 2:
             self.kept, self.older = {}, self.kept
-        fresh = seen.difference(self.kept)
-        again = fresh.intersection(self.older)
-        self.kept.update({cut: self.older[cut] for cut in again})
-        now = list(fresh.difference(again))
-        if now:
-            ids = self._library([" " + " ".join(now)])[0]
-            at = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
-            raw, w = ids.tobytes(), self.width.itemsize
-            self.kept.update({cut: raw[a * w : b * w] for cut, a, b in zip(now, at[:-1], at[1:], strict=True)})
-        get = self.kept.__getitem__
-        for c in cuts:
-            first = next(plain)
-            yield np.frombuffer(first.tobytes() + b"".join(map(get, c[1:])), dtype=self.width) if len(c) > 1 else first
-        for cut in now:
-            if len(cut) > LONGEST_KEPT:
-                del self.kept[cut]
+        kept, older = self.kept, self.older
+        fresh = []
+        for cut in cuts:
+            if cut not in kept:
+                if cut in older:
+                    kept[cut] = older[cut]
+                else:
+                    fresh.append(cut)
+        long = {}
+        for at in range(0, len(fresh), 500 * 64):
+            some = [fresh[k : k + 500] for k in range(at, min(at + 500 * 64, len(fresh)), 500)]
+            for now, ids in zip(some, self._library([" " + " ".join(now) for now in some]), strict=True):
+                raw, w = ids.tobytes(), self.width.itemsize
+                ends = [*(np.flatnonzero(self.opens[ids]) * w).tolist(), len(raw)]
+                for cut, a, b in zip(now, ends[:-1], ends[1:], strict=True):
+                    (kept if len(cut) <= LONGEST_KEPT else long)[cut] = raw[a:b]
+        return [kept[cut] if cut in kept else long[cut] for cut in cuts]
+
+    def _group(self, group: list[str]) -> Iterator[np.ndarray]:
+        whole = [not text or _tangled(text) or any(s in text for s in self.special) for text in group]
+        cuts = pc.split_pattern(pa.array([text for w, text in zip(whole, group, strict=True) if not w], pa.large_string()), " ")
+        begins = cuts.offsets.to_numpy()[:-1]
+        coded = cuts.values.dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        # The first cut of a text has no space before it; texts that are encoded whole are one cut.
+        first = iter(cuts.values.take(pa.array(begins)).to_pylist())
+        plain = self._library([text if w else next(first) for w, text in zip(whole, group, strict=True)])
+        table = [*known, *(ids.tobytes() for ids in plain)]
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // self.width.itemsize
+        starts = np.cumsum(lengths) - lengths
+        ids = np.frombuffer(b"".join(table), dtype=self.width)
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[begins] = len(known) + np.flatnonzero(~np.array(whole, bool))
+        n = lengths[which]
+        ends = np.cumsum(n)
+        text_ids = ids[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = iter(np.append(ends, 0)[cuts.offsets.to_numpy()[1:] - 1].tolist())
+        at = 0
+        for w, alone in zip(whole, plain, strict=True):
+            if w:
+                yield alone
+            else:
+                yield text_ids[at : (at := next(bounds))]
