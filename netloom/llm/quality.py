@@ -66,8 +66,12 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         (F.size("lines") - F.size("own")).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         F.array_join("good", "\n").alias("clean_text"),
+        # Spark never moves a filter below a column like this one. Moved below, a filter would repeat the steps above
+        # inside their own loops.
+        F.monotonically_increasing_id().alias("row"),
         *more,
     )
+    d = d.withColumn("n_repeat_words", F.when(F.col("row") >= 0, F.col("n_repeat_words")))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
     d = d.select("*", failed.alias("base_failed"), _count(F.col("clean_text"), WORD).cast("long").alias("clean_words"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_words", "clean_text", (~F.col("base_failed") & (F.col("clean_words") * 100 >= F.col("n_words") * (100 - max_loss_pct))).alias("kept"), *more)
