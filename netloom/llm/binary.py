@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.common import stored, work_path
+from netloom.llm.common import short_batches, stored, work_path
 from netloom.llm.tokens import Encoder
 
 #: Fixed values of the seekable format.
@@ -105,6 +105,7 @@ def write_token_files(df: DataFrame, vocab: str, end_id: int = 2, folder: str |
     """Encodes and writes df below `folder` (default: a new one in the shared folder) in identifier order.
 
     Returns the manifest: part, path, docs, tokens, start (ids in all files before)."""
+    short_batches(df.sparkSession)
     folder = folder or work_path(df.sparkSession, "token-files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

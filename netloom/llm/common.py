@@ -46,6 +46,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lets Arrow batches have `rows` rows at most: with long texts the usual 10,000 take hundreds of MB in each task.
+
+    This is a setting of the session, since plans read it when they run; a lower one stays as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

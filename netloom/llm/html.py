@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import stored
+from netloom.llm.common import short_batches, stored
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s|/)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -162,6 +162,7 @@ def unique_runs(pages: DataFrame, depth: int = 8, least_run: int = 1) -> DataFra
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", depth: int = 8) -> DataFrame:
     """page_id, url, text, n_chars for each row of df."""
+    short_batches(df.sparkSession)
     parsed = stored(_parsed(df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))), "pages")
     done = parsed.filter("blocks IS NULL").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.common import stored
+from netloom.llm.common import short_batches, stored
 from netloom.llm.tokens import Encoder
 
 BUCKETS, DIMS, BITS = 256, 4, 15
@@ -103,6 +103,7 @@ def pack(df: DataFrame, vocab: str, length: int = 2048, end_id: int = 1, with_id
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+    short_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(keyed, "doc_id long, text string, key long")
     ranged = rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "text")
     pieces = stored(ranged.mapInArrow(laid, ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids), "pieces")
