@@ -1 +1 @@
-
+"""Column expressions and statistical distributions."""

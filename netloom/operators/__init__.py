@@ -1 +1 @@
-
+"""Operators on activity, edges, membership and results."""
