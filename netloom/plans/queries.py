@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators import community, network, nodal
+from netloom.functions import exprs
+from netloom.operators import activity as act
+from netloom.operators import community, hierarchy, inference, network, nodal, partition, paths, prep, report
 from netloom.plans import data as d
+from netloom.sources import counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,3 +194,411 @@ def gateway_str(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def within_community_strength(spark: SparkSession, sf: str) -> DataFrame:
     return community.within_community_strength(d.graph(spark, sf), d.membership(spark, sf))
+
+
+# Preparation and the tree.
+
+
+@query
+def clean_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells under 20 count as missing; regions missing a quarter or more go, the rest is filled with means."""
+    a = d.activity(spark, sf).withColumn("value", F.when(F.col("value") >= 20, F.col("value")))
+    return prep.clean(a, missing_below=0.25)
+
+
+@query
+def drop_zero_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return prep.drop_zero_regions(_holed(spark, sf))
+
+
+@query
+def lookup_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return d.activity(spark, sf)
+
+
+@query
+def collapse_mean(spark: SparkSession, sf: str) -> DataFrame:
+    o = d.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("net"), F.date_format("o_orderdate", "yyyy-MM").alias("sample"), "o_orderstatus", F.lit("all").alias("region"), F.col("o_totalprice").alias("value"))
+    return prep.collapse(o, ["net", "sample"])
+
+
+@query
+def zscore_by_level(spark: SparkSession, sf: str) -> DataFrame:
+    return prep.z_by_level(d.activity(spark, sf), ["net"])
+
+
+@query
+def scale_factor(spark: SparkSession, sf: str) -> DataFrame:
+    return prep.scale_by_factor(d.activity(spark, sf), "net")
+
+
+@query
+def level_vs_corr(spark: SparkSession, sf: str) -> DataFrame:
+    return prep.level_profile(d.activity(spark, sf), d.edges(spark, sf))
+
+
+@query
+def filename_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the counts files that nations would have."""
+    n = d.table(spark, sf, "nation").select(F.format_string("exp1_s%d_%s_fos_%s_Annotated_counts.csv", "n_nationkey", F.when(F.col("n_regionkey") > 1, "L").otherwise("R"), F.replace("n_name", F.lit("_"), F.lit("."))).alias("file"))
+    return n.select("file", *counts.factors_of(F.col("file")))
+
+
+@query
+def tree_sum(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.tree_sum(d.tree(spark, sf), d.counts(spark, sf))
+
+
+@query
+def subtree_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.subtree(d.tree(spark, sf), 2).select("id", "parent_id", "region")
+
+
+@query
+def pattern_trim(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves of the tree whose name has a 7, except one that stays; trimming with other rules."""
+    first = "Supplier#000000007"
+    return hierarchy.trim(d.tree(spark, sf), root=0, removed=(3,), rules=((("7",), (first,)),)).select("id", "parent_id", "region")
+
+
+@query
+def noncounted_child(spark: SparkSession, sf: str) -> DataFrame:
+    """Parents whose own suppliers count nothing in one status lose them."""
+    c = d.counts(spark, sf).filter("net = 'R' AND value < 0")
+    return hierarchy.drop_uncounted_children(d.tree(spark, sf), c.unionByName(d.counts(spark, sf).filter("id < 1005"))).select("id", "parent_id", "region")
+
+
+@query
+def anatomical_group_map(spark: SparkSession, sf: str) -> DataFrame:
+    groups = spark.sql("SELECT * FROM VALUES ('root', 'other'), ('AFRICA', 'south'), ('ASIA', 'east'), ('Nation_3', 'own'), ('NATION_3', 'own') AS t(root, anatomical_group)")
+    return hierarchy.grouped(d.tree(spark, sf), groups).select("id", "region", "anatomical_group")
+
+
+@query
+def del_isolated(spark: SparkSession, sf: str) -> DataFrame:
+    strong = d.graph(spark, sf).filter(F.abs("weight") > 0.3)
+    return network.drop_isolated(d.nodes(spark, sf), strong)
+
+
+@query
+def nodes_match_zero_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return network.dense(d.graph(spark, sf), d.nodes(spark, sf))
+
+
+@query
+def match_net_to_comm(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between the brands of two digits only."""
+    m = d.membership(spark, sf).filter("comm IN (1, 2)")
+    return network.match_to_membership(d.graph(spark, sf), m)[0]
+
+
+@query
+def threshold_p_rcrit(spark: SparkSession, sf: str) -> DataFrame:
+    """p under 0.05 by the critical correlation of the number of samples."""
+    return network.threshold(d.edges(spark, sf), "p", [0.05])
+
+
+@query
+def corr_p_values(spark: SparkSession, sf: str) -> DataFrame:
+    return network.with_p(d.edges(spark, sf))
+
+
+@query
+def boot_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return network.boot_ratio(d.activity(spark, sf), resamples=100)
+
+
+# Partitions.
+
+
+@query
+def agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.agreement(d.partitions(spark, sf))
+
+
+@query
+def perm_model(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.perm_model(d.partitions(spark, sf))
+
+
+@query
+def local_perm_model(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.local_perm_model(d.partitions(spark, sf))
+
+
+@query
+def relabel_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.relabel(d.partitions(spark, sf))
+
+
+@query
+def unique_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.unique_partitions(d.partitions(spark, sf).unionByName(d.partitions(spark, sf).withColumn("part", F.col("part") + 100)))
+
+
+@query
+def ami_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    p = d.partitions(spark, sf)
+    both = p.alias("x").join(p.alias("y"), F.expr("x.node = y.node AND x.part < y.part")).select(F.col("x.part").alias("a"), F.col("y.part").alias("b"), F.col("x.comm").alias("c1"), F.col("y.comm").alias("c2"))
+    return partition.ami(both, ["a", "b"], "c1", "c2")
+
+
+@query
+def normal_approx_null(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.normal_null(partition.local_perm_model(d.partitions(spark, sf)))
+
+
+@query
+def sample_approx_null(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.sampled_null(partition.local_perm_model(d.partitions(spark, sf)))
+
+
+@query
+def louvain(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=5)
+
+
+@query
+def modularity_max(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.partition_runs(_absolute(spark, sf), d.nodes(spark, sf), optimizer="spectral")
+
+
+@query
+def multi_scale(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.multi_scale(d.graph(spark, sf), d.nodes(spark, sf), step=0.25)
+
+
+@query
+def gamma_range(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.gamma_ranges(_absolute(spark, sf), d.nodes(spark, sf))
+
+
+@query
+def event_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.event_samples(_absolute(spark, sf), d.nodes(spark, sf), n=40, samples=20)
+
+
+@query
+def consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.consensus(partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=20), runs=20)
+
+
+@query
+def hier_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.hierarchical_consensus(partition.event_samples(_absolute(spark, sf), d.nodes(spark, sf), n=40, samples=20), runs=20)
+
+
+@query
+def clust_comp(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampled partitions against the brands' first digit."""
+    return partition.ami_to(partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=5), d.membership(spark, sf))
+
+
+@query
+def group_ami(spark: SparkSession, sf: str) -> DataFrame:
+    p = d.partitions(spark, sf)
+    return partition.ami_between(p.select(F.format_string("p%d", "part").alias("net"), "node", "comm"))
+
+
+# Paths.
+
+
+@query
+def nodal_efficiency(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.path_metrics(d.graph(spark, sf), d.nodes(spark, sf), ("nodal_efficiency",))
+
+
+@query
+def betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.path_metrics(d.graph(spark, sf), d.nodes(spark, sf), ("betweenness",))
+
+
+@query
+def closeness(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.path_metrics(d.graph(spark, sf), d.nodes(spark, sf), ("closeness",))
+
+
+@query
+def eigenvector(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.path_metrics(d.graph(spark, sf), d.nodes(spark, sf), ("eigenvector",))
+
+
+@query
+def efficiency_loss(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.efficiency_loss(d.graph(spark, sf), d.nodes(spark, sf))
+
+
+@query
+def gateway_bet(spark: SparkSession, sf: str) -> DataFrame:
+    return community.gateway(d.graph(spark, sf), d.membership(spark, sf), "bet")
+
+
+# Inference.
+
+REPS = 20
+
+
+def _samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(activity, samples): a sample is a month of a return flag, its level the flag."""
+    a = d.activity(spark, sf).withColumn("sample", F.concat_ws(":", "net", "sample"))
+    return a.drop("net"), a.select("sample", F.col("net").alias("level")).distinct()
+
+
+def _brand_comm(spark: SparkSession, sf: str) -> DataFrame:
+    return d.membership(spark, sf).withColumnRenamed("net", "level")
+
+
+@query
+def perm_edges(spark: SparkSession, sf: str) -> DataFrame:
+    a, s = _samples(spark, sf)
+    return inference.permutation_test(a, s, lambda x: inference.edge_metrics(x, 9), REPS)
+
+
+@query
+def perm_nodal(spark: SparkSession, sf: str) -> DataFrame:
+    a, s = _samples(spark, sf)
+    return inference.permutation_test(a, s, lambda x: inference.nodal_metrics(x, places=9), REPS, first_minus_second=False)
+
+
+@query
+def perm_general(spark: SparkSession, sf: str) -> DataFrame:
+    a, s = _samples(spark, sf)
+    m = _brand_comm(spark, sf).select("node", "comm").distinct()
+    return inference.permutation_test(a, s, lambda x: inference.global_metrics(x, m, places=9), REPS, absolute=True, comparator=">=")
+
+
+@query
+def perm_cbm(spark: SparkSession, sf: str) -> DataFrame:
+    a, s = _samples(spark, sf)
+    return inference.permutation_test(a, s, lambda x: inference.community_node_metrics(x, _brand_comm(spark, sf), places=9), REPS)
+
+
+@query
+def perm_cbm_base(spark: SparkSession, sf: str) -> DataFrame:
+    a, s = _samples(spark, sf)
+    return inference.permutation_test(a, s, lambda x: inference.community_node_metrics(x, _brand_comm(spark, sf), base="A", places=9), REPS, first_minus_second=False)
+
+
+@query
+def anogva(spark: SparkSession, sf: str) -> DataFrame:
+    a, s = _samples(spark, sf)
+    return inference.anogva(a, s, 200)
+
+
+# Activity.
+
+
+def _balances(spark: SparkSession, sf: str) -> DataFrame:
+    return d.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("sample"), F.lit("balance").alias("region"), F.col("c_mktsegment").alias("arm"), F.col("c_acctbal").alias("value"))
+
+
+@query
+def welch_t(spark: SparkSession, sf: str) -> DataFrame:
+    return act.welch(_balances(spark, sf), ["region"], "arm")
+
+
+@query
+def welch_test(spark: SparkSession, sf: str) -> DataFrame:
+    return act.welch_test(_balances(spark, sf), ["region"], "arm")
+
+
+@query
+def cohens_d_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return act.cohens_d(_balances(spark, sf), ["region"], "arm")
+
+
+@query
+def cohens_d_one_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return act.cohens_d_one_sample(_balances(spark, sf), ["region", "arm"], 4500.0)
+
+
+@query
+def ols_activity_connectivity(spark: SparkSession, sf: str) -> DataFrame:
+    return act.regression(prep.level_profile(d.activity(spark, sf), d.edges(spark, sf)), ["net"], "mean_signal", "mean_r2")
+
+
+@query
+def glm_activity_connectivity(spark: SparkSession, sf: str) -> DataFrame:
+    return act.regression_test(prep.level_profile(d.activity(spark, sf), d.edges(spark, sf)), ["net"], "coef_var", "mean_r2", "glm")
+
+
+def _some_p(spark: SparkSession, sf: str) -> DataFrame:
+    """p-values with ties and a null."""
+    c = d.table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("family"), F.when(F.col("c_custkey") % 50 != 0, (F.col("c_custkey") * 7919 % 1000).cast("double") / F.lit(1000.0).cast("double")).alias("p"))
+
+
+@query
+def p_adjust_bh(spark: SparkSession, sf: str) -> DataFrame:
+    return exprs.adjusted(_some_p(spark, sf), "p", "bh", ["family"])
+
+
+@query
+def p_adjust_holm(spark: SparkSession, sf: str) -> DataFrame:
+    return exprs.adjusted(_some_p(spark, sf), "p", "holm", ["family"])
+
+
+@query
+def p_adjust_bonferroni(spark: SparkSession, sf: str) -> DataFrame:
+    return exprs.adjusted(_some_p(spark, sf), "p", "bonferroni", ["family"])
+
+
+@query
+def boot_ci(spark: SparkSession, sf: str) -> DataFrame:
+    """Bootstrap t with md5 draws."""
+    return act.boot_summary(act.boot_welch(_balances(spark, sf), ["region"], "arm", 30), ["region", "a", "b"], "t")
+
+
+@query
+def boot_p_value(spark: SparkSession, sf: str) -> DataFrame:
+    points = prep.level_profile(d.activity(spark, sf), d.edges(spark, sf)).withColumnRenamed("region", "sample")
+    return act.boot_summary(act.boot_regression(points, ["net"], "mean_signal", "mean_r2", 30), ["net"], "beta").select("net", "stat", "std_error", "p")
+
+
+# Reports on a fixed table of results.
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    c = d.table(spark, sf, "part")
+    p = (F.col("p_partkey") * 37 % 100).cast("double") / F.lit(500.0).cast("double")
+    diff = (F.col("p_partkey") * 13 % 21).cast("double") - F.lit(10.0).cast("double")
+    pair = F.element_at(F.array(F.lit("a ~ ab"), F.lit("a ~ b"), F.lit("ab ~ b")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return c.select(pair.alias("contrast"), F.col("p_name").alias("node"), F.lit("degree").alias("metric"), diff.alias("diff"), p.alias("p_value"))
+
+
+@query
+def significant_comps(spark: SparkSession, sf: str) -> DataFrame:
+    return report.significant(_results(spark, sf))
+
+
+@query
+def significant_comps_trimmed(spark: SparkSession, sf: str) -> DataFrame:
+    return report.significant(_results(spark, sf), trim=True, pattern="^a ~")
+
+
+@query
+def higher_group(spark: SparkSession, sf: str) -> DataFrame:
+    return report.with_higher_group(_results(spark, sf))
+
+
+@query
+def comparison_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    return report.hubs(report.significant(_results(spark, sf)))
+
+
+@query
+def sig_func_effect(spark: SparkSession, sf: str) -> DataFrame:
+    return report.edge_effect(_results(spark, sf))
+
+
+@query
+def synthetic_source(spark: SparkSession, sf: str) -> DataFrame:
+    return counts.gaussian(spark).groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("region").alias("regions"))
+
+
+@query
+def community_metrics_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """All community metrics at two levels of a hierarchy."""
+    m = d.membership(spark, sf)
+    levels = m.withColumn("level", F.lit(1)).unionByName(m.select("net", "node", F.lit(2).alias("level"), (F.col("comm") % 2).alias("comm")))
+    return community.community_metrics(d.graph(spark, sf), levels)

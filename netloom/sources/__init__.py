@@ -1,0 +1 @@
+"""Readers of counts and annotation files, and a synthetic source."""
