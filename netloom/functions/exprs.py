@@ -34,7 +34,7 @@ def adjusted(df: DataFrame, p: str, method: str, by: Sequence[str] = (), out: st
     if method == "none":
         return df.withColumn(out, F.col(p))
     if method == "bonferroni":
-        return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.count(p).over(W.partitionBy(*by))))
+        return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.count(p).over(W.partitionBy(*by)))))
     if method not in ("holm", "bh"):
         raise ValueError(f"unknown method {method!r}")
     w = W.partitionBy(*by)

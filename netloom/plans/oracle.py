@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from netloom.functions.dist import critical_r, normal_quantile
+
 
 def six(x: str) -> str:
     return f"CASE WHEN round({x}, 6) = 0 THEN 0.0 ELSE round({x}, 6) END"
@@ -206,3 +208,217 @@ ipq AS (SELECT cs.net, cs.node, any_value(nn) AS nn, coalesce(sum(greatest(weigh
         f"SELECT net, node, {six('coalesce(coalesce(p / nullif(nn - 1, 0), 0.0) - q / nullif(p + q, 0) * coalesce(q / nullif(nn - 1, 0), 0.0), 0.0)')} AS wcs FROM ipq",
     ),
 }
+
+_ADJ = """
+q AS (
+  SELECT c_custkey AS k, c_mktsegment AS family,
+         CASE WHEN c_custkey % 50 <> 0 THEN CAST(c_custkey * 7919 % 1000 AS DOUBLE) / CAST(1000.0 AS DOUBLE) END AS p
+  FROM customer),
+qm AS (SELECT *, count(p) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST) AS rk FROM q)"""
+_BAL = "bal AS (SELECT CAST(c_custkey AS VARCHAR) AS sample, 'balance' AS region, c_mktsegment AS arm, c_acctbal AS value FROM customer)"
+_ARMS = _BAL + ", mo AS (SELECT region, arm, count(value) AS n, avg(value) AS mean, var_samp(value) AS v FROM bal GROUP BY ALL), ab AS (SELECT x.region, x.arm AS a, y.arm AS b, x.n AS na, y.n AS nb, x.mean AS ma, y.mean AS mb, x.v AS va, y.v AS vb FROM mo x JOIN mo y ON x.region = y.region AND x.arm < y.arm)"
+_RES = """
+res AS (
+  SELECT ['a ~ ab', 'a ~ b', 'ab ~ b'][p_partkey % 3 + 1] AS contrast, p_name AS node, 'degree' AS metric,
+         CAST(p_partkey * 13 % 21 AS DOUBLE) - 10 AS diff, CAST(p_partkey * 37 % 100 AS DOUBLE) / CAST(500.0 AS DOUBLE) AS p_value
+  FROM part),
+hg AS (SELECT *, CASE WHEN diff > 0 THEN split_part(contrast, ' ~ ', 1) ELSE split_part(contrast, ' ~ ', 2) END AS higher_group FROM res),
+sg AS (SELECT *, CAST(p_value <= 0.05 AS INTEGER) AS significant FROM hg)"""
+_PROFILE = EDGES + """,
+both_ends AS (SELECT net, src AS region, r FROM edges UNION ALL SELECT net, dst, r FROM edges),
+prof AS (
+  SELECT r.net, r.region, mean_r2, mean_signal, coef_var
+  FROM (SELECT net, region, (sum(r * r) + 1) / (count(*) + 1) AS mean_r2, count(*) - count(r) AS gone FROM both_ends GROUP BY ALL) r
+  JOIN (SELECT net, region, avg(value) AS mean_signal, stddev_samp(value) / nullif(avg(value), 0) AS coef_var FROM act GROUP BY ALL) s
+    ON r.net = s.net AND r.region = s.region
+  WHERE gone = 0 AND mean_r2 < 1)"""
+
+
+def _perm(metric: str) -> str:
+    """Steps up to `mv` (rep, level, node, metric, value) under md5 permutations of the samples' labels."""
+    return (
+        ACT.replace("act AS (", "act0 AS (")
+        + """,
+base AS (SELECT DISTINCT net || ':' || sample AS sample, net AS level FROM act0),
+placed AS (SELECT sample, level, row_number() OVER (ORDER BY level, sample) AS place FROM base),
+drawn AS (
+  SELECT rep, sample, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN lpad(CAST(place AS VARCHAR), 12, '0') ELSE md5('0:' || rep || ':' || sample) END, sample) AS place
+  FROM placed CROSS JOIN (SELECT unnest(range(21)) AS rep)),
+lab AS (SELECT d.rep, d.sample, p.level FROM drawn d JOIN placed p ON d.place = p.place),
+act AS (SELECT l.rep || '|' || l.level AS net, l.sample, a.region, a.value FROM act0 a JOIN lab l ON a.net || ':' || a.sample = l.sample),"""
+        + corr()
+        + """,
+nodes AS (SELECT DISTINCT net, region AS node FROM act),
+memb AS (SELECT net, node, CAST(substr(node, 7, 1) AS INTEGER) AS comm FROM nodes),"""
+        + HALF
+        + metric
+        + ", sp AS (SELECT CAST(split_part(net, '|', 1) AS BIGINT) AS rep, split_part(net, '|', 2) AS level, node, metric, value FROM mv)"
+    )
+
+
+def _perm_out(diff: str, name: str, cmp: str) -> str:
+    return f""", df AS (
+  SELECT x.rep, {name} AS contrast, x.node, x.metric, {diff} AS diff
+  FROM sp x JOIN sp y ON x.rep = y.rep AND x.node = y.node AND x.metric = y.metric AND x.level < y.level)
+SELECT n.contrast, n.node, n.metric, {six("r.diff")} AS diff, {six(f"avg(CASE WHEN abs(n.diff) {cmp} abs(r.diff) THEN 1.0 ELSE 0.0 END)")} AS p_value
+FROM (SELECT * FROM df WHERE rep > 0) n JOIN (SELECT * FROM df WHERE rep = 0) r ON n.contrast = r.contrast AND n.node = r.node AND n.metric = r.metric
+GROUP BY n.contrast, n.node, n.metric, r.diff"""
+
+
+_FIRST = ("x.value - y.value", "x.level || ' ~ ' || y.level", ">")
+_SECOND = ("y.value - x.value", "y.level || ' ~ ' || x.level", ">")
+_CBM = (
+    "," + BYCOMM + """,
+par AS (
+  SELECT m.net, m.node, coalesce(a, 0.0) - coalesce(sq / nullif(sp + sq, 0), 0.0) * coalesce(b, 0.0) AS value
+  FROM memb m LEFT JOIN (SELECT net, node, sp, sq, CASE WHEN sp > 0 THEN 1 - p2 / (sp * sp) ELSE 0 END AS a, CASE WHEN sq > 0 THEN 1 - q2 / (sq * sq) ELSE 0 END AS b FROM bt) t ON m.net = t.net AND m.node = t.node),
+ih AS (SELECT h.net, h.node, weight FROM half h JOIN memb a ON h.net = a.net AND h.node = a.node JOIN memb b ON h.net = b.net AND h.other = b.node AND a.comm = b.comm),
+cs AS (SELECT net, node, count(*) OVER (PARTITION BY net, comm) AS nn FROM memb),
+ipq AS (SELECT cs.net, cs.node, any_value(nn) AS nn, coalesce(sum(greatest(weight, 0.0)), 0.0) AS p, coalesce(sum(greatest(-weight, 0.0)), 0.0) AS q FROM cs LEFT JOIN ih ON cs.net = ih.net AND cs.node = ih.node GROUP BY cs.net, cs.node),
+mv AS (
+  SELECT net, node, 'participation' AS metric, round(value, 9) AS value FROM par
+  UNION ALL SELECT net, node, 'wcs', round(coalesce(coalesce(p / nullif(nn - 1, 0), 0.0) - q / nullif(p + q, 0) * coalesce(q / nullif(nn - 1, 0), 0.0), 0.0), 9) FROM ipq)"""
+)
+_TREE = lambda body: "WITH RECURSIVE " + TREE + "\n" + body
+ORACLE_SQL |= {
+    "clean_data": sql(
+        ACT + ", holed AS (SELECT net, sample, region, CASE WHEN value >= 20 THEN value END AS value FROM act), sh AS (SELECT *, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY net, region) AS gone FROM holed)",
+        f"SELECT net, sample, region, {six('coalesce(value, avg(value) OVER (PARTITION BY net, region))')} AS value FROM sh WHERE gone < 0.25",
+    ),
+    "drop_zero_regions": sql(ACT, f"SELECT net, sample, region, {six('value')} AS value FROM (SELECT *, sum(value) OVER (PARTITION BY net, region) AS s FROM (SELECT net, sample, region, CASE WHEN region = 'Brand#11' THEN 0.0 ELSE value END AS value FROM act)) WHERE s > 0"),
+    "lookup_fill": sql(ACT, f"SELECT net, sample, region, {six('value')} AS value FROM act"),
+    "collapse_mean": f"SELECT o_orderpriority AS net, strftime(o_orderdate, '%Y-%m') AS sample, 'all' AS region, {six('avg(ln(o_totalprice))')} AS value FROM orders GROUP BY ALL",
+    "zscore_by_level": sql(ACT, f"SELECT net, sample, region, {six('value')} AS value, {six('(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0)')} AS z FROM act WINDOW w AS (PARTITION BY net, region)"),
+    "scale_factor": sql(ACT, f"SELECT net, sample, region, {six('value')} AS value, {six('(value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0)')} AS z FROM act WINDOW w AS (PARTITION BY net)"),
+    "level_vs_corr": sql(_PROFILE, f"SELECT net, region, {six('mean_r2')} AS mean_r2, {six('mean_signal')} AS mean_signal, {six('coef_var')} AS coef_var FROM prof"),
+    "filename_factors": """
+WITH f AS (SELECT 'exp1_s' || n_nationkey || '_' || CASE WHEN n_regionkey > 1 THEN 'L' ELSE 'R' END || '_fos_' || replace(n_name, '_', '.') || '_Annotated_counts.csv' AS file FROM nation),
+s AS (SELECT file, string_split(regexp_replace(file, '_An.*', ''), '_') AS p FROM f)
+SELECT file, p[1] AS experiment, p[2] AS subject, p[3] AS hemisphere, p[4] AS signal, p[5] AS "group" FROM s""",
+    "tree_sum": _TREE(f"SELECT net, sample, ancestor_id AS id, {six('sum(value)')} AS value FROM counts JOIN up USING (id) GROUP BY ALL"),
+    "subtree_filter": _TREE("SELECT t.id, t.parent_id, t.region FROM tree t JOIN up ON t.id = up.id AND up.ancestor_id = 2"),
+    "pattern_trim": _TREE(
+        ", kept AS (SELECT * FROM tree t WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.id = t.id AND up.ancestor_id = 3) AND NOT (region LIKE '%7%' AND region <> 'Supplier#000000007'))\nSELECT id, parent_id, region FROM kept WHERE id NOT IN (SELECT parent_id FROM kept WHERE parent_id IS NOT NULL)"
+    ),
+    "noncounted_child": _TREE(
+        ", tot AS (SELECT id, sum(value) AS total FROM (SELECT * FROM counts WHERE net = 'R' AND value < 0 UNION ALL SELECT * FROM counts WHERE id < 1005) GROUP BY id), ps AS (SELECT parent_id FROM tree LEFT JOIN tot USING (id) GROUP BY parent_id HAVING sum(coalesce(total, 0)) = 0)\nSELECT id, parent_id, region FROM tree t WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.parent_id = t.parent_id)"
+    ),
+    "anatomical_group_map": _TREE(
+        ", named AS (SELECT t.id AS ancestor_id, g.grp FROM tree t JOIN (VALUES ('root', 'other'), ('AFRICA', 'south'), ('ASIA', 'east'), ('Nation_3', 'own'), ('NATION_3', 'own')) g(root, grp) ON t.region = g.root), near AS (SELECT up.id, arg_min(grp, depth) AS grp FROM up JOIN named USING (ancestor_id) GROUP BY up.id)\nSELECT t.id, t.region, near.grp AS anatomical_group FROM tree t LEFT JOIN near ON t.id = near.id"
+    ),
+    "del_isolated": sql(GRAPH, "SELECT DISTINCT net, node FROM half WHERE abs(weight) > 0.3"),
+    "nodes_match_zero_fill": sql(GRAPH, f"SELECT a.net, a.node AS src, b.node AS dst, {six('coalesce(g.weight, 0.0)')} AS weight FROM nodes a JOIN nodes b ON a.net = b.net AND a.node < b.node LEFT JOIN g ON g.net = a.net AND g.src = a.node AND g.dst = b.node"),
+    "match_net_to_comm": sql(GRAPH, f"SELECT g.net, src, dst, {six('weight')} AS weight FROM g JOIN memb a ON g.net = a.net AND g.src = a.node AND a.comm IN (1, 2) JOIN memb b ON g.net = b.net AND g.dst = b.node AND b.comm IN (1, 2)"),
+    "agreement": sql(PARTITIONS, f"SELECT a.net, a.node AS src, b.node AS dst, {six('count(*) / 6.0')} AS weight FROM parts a JOIN parts b ON a.net = b.net AND a.part = b.part AND a.comm = b.comm AND a.node < b.node GROUP BY ALL"),
+    "perm_model": sql(PARTITIONS, f"SELECT net, part, {six('sum(s * (s - 1)) / (sum(s) * (sum(s) - 1))')} AS p FROM (SELECT net, part, comm, CAST(count(*) AS DOUBLE) AS s FROM parts GROUP BY ALL) GROUP BY net, part"),
+    "local_perm_model": sql(PARTITIONS, f"SELECT net, part, node, {six('(count(*) OVER (PARTITION BY net, part, comm) - 1) / CAST(count(*) OVER (PARTITION BY net, part) - 1 AS DOUBLE)')} AS p FROM parts"),
+    "relabel_partitions": sql(PARTITIONS, "SELECT net, part, node, CAST(dense_rank() OVER (PARTITION BY net, part ORDER BY f) AS INTEGER) AS comm FROM (SELECT *, min(node) OVER (PARTITION BY net, part, comm) AS f FROM parts)"),
+    "unique_partitions": sql(
+        PARTITIONS + ", two AS (SELECT * FROM parts UNION ALL SELECT net, part + 100, node, comm FROM parts), rl AS (SELECT net, part, node, CAST(dense_rank() OVER (PARTITION BY net, part ORDER BY f) AS INTEGER) AS comm FROM (SELECT *, min(node) OVER (PARTITION BY net, part, comm) AS f FROM two)), vec AS (SELECT net, part, list(comm ORDER BY node) AS v FROM rl GROUP BY ALL), kp AS (SELECT net, min(part) AS part FROM vec GROUP BY net, v)",
+        "SELECT rl.net, rl.part, rl.node, rl.comm FROM rl JOIN kp ON rl.net = kp.net AND rl.part = kp.part",
+    ),
+    "welch_t": sql(_ARMS, f"SELECT region, a, b, {six('(ma - mb) / sqrt(va / na + vb / nb)')} AS t, {six('pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1))')} AS df, {six('ma - mb')} AS diff FROM ab"),
+    "cohens_d_pairs": sql(_ARMS, f"SELECT region, a, b, {six('(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))')} AS d FROM ab"),
+    "cohens_d_one_sample": sql(_BAL, f"SELECT region, arm, {six('abs(4500.0 - avg(value)) / stddev_samp(value)')} AS d FROM bal GROUP BY ALL"),
+    "ols_activity_connectivity": sql(
+        _PROFILE + ", rg AS (SELECT net, count(*) AS n, avg(mean_signal) AS mx, avg(mean_r2) AS my, var_samp(mean_signal) AS vx, var_samp(mean_r2) AS vy, covar_samp(mean_signal, mean_r2) AS cxy FROM prof GROUP BY net), rb AS (SELECT *, cxy / vx AS beta, vy * (n - 1) AS nd, vy * (n - 1) - cxy / vx * cxy * (n - 1) AS dev FROM rg), rs AS (SELECT *, sqrt(dev / (n - 2) / (vx * (n - 1))) AS se FROM rb)",
+        f"SELECT net, n, {six('beta')} AS beta, {six('my - beta * mx')} AS intercept, {six('se')} AS std_error, {six('beta / se')} AS t, {six('1 - dev / nd')} AS r2, {six('pow(beta / se, 2)')} AS f, {six('dev')} AS deviance, {six('nd')} AS null_deviance FROM rs",
+    ),
+    "p_adjust_bh": sql(_ADJ, f"SELECT k, family, {six('p')} AS p, {six('CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / rk) OVER (PARTITION BY family ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END')} AS p_adjusted FROM qm"),
+    "p_adjust_holm": sql(_ADJ, f"SELECT k, family, {six('p')} AS p, {six('CASE WHEN p IS NOT NULL THEN least(1.0, max(p * (m - rk + 1)) OVER (PARTITION BY family ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END')} AS p_adjusted FROM qm"),
+    "p_adjust_bonferroni": sql(_ADJ, f"SELECT k, family, {six('p')} AS p, {six('CASE WHEN p IS NOT NULL THEN least(1.0, p * m) END')} AS p_adjusted FROM qm"),
+    "significant_comps": sql(_RES, f"SELECT contrast, node, metric, {six('diff')} AS diff, {six('p_value')} AS p_value, higher_group, significant FROM sg"),
+    "significant_comps_trimmed": sql(_RES, f"SELECT contrast, node, metric, {six('diff')} AS diff, {six('p_value')} AS p_value, higher_group, significant FROM sg WHERE significant = 1 AND starts_with(contrast, 'a ~')"),
+    "higher_group": sql(_RES, f"SELECT contrast, node, metric, {six('diff')} AS diff, {six('p_value')} AS p_value, higher_group FROM hg"),
+    "comparison_hubs": sql(
+        _RES + ", ea AS (SELECT *, unnest(string_split(contrast, ' ~ ')) AS g FROM sg)",
+        'SELECT node, metric, g AS "group", CAST(count(*) FILTER (significant = 1 AND g = higher_group) AS BIGINT) AS won, CAST(count(*) FILTER (significant = 1 AND g <> higher_group) AS BIGINT) AS lost, CAST(count(*) FILTER (significant = 1 AND g = higher_group) - count(*) FILTER (significant = 1 AND g <> higher_group) AS BIGINT) AS score FROM ea GROUP BY node, metric, g',
+    ),
+    "sig_func_effect": sql(_RES, "SELECT contrast, node, CAST(CASE WHEN p_value > 0.05 THEN 0 WHEN diff >= 0 THEN 1 ELSE -1 END AS INTEGER) AS effect FROM res"),
+    "perm_edges": sql(_perm(", mv AS (SELECT net, src || ' ~ ' || dst AS node, 'r' AS metric, round(coalesce(r, 0.0), 9) AS value FROM edges)"), "")[:-1] + _perm_out(*_FIRST),
+    "perm_nodal": sql(
+        _perm(
+            "," + SIGNED + ", dg AS (SELECT n.net, n.node, count(h.other) / CAST(any_value(n_nodes) - 1 AS DOUBLE) AS degree, coalesce(sum(weight), 0.0) AS strength FROM nodes n JOIN sizes USING (net) LEFT JOIN half h ON n.net = h.net AND n.node = h.node GROUP BY n.net, n.node), mv AS (SELECT net, node, 'degree' AS metric, round(degree, 9) AS value FROM dg UNION ALL SELECT net, node, 'strength', round(strength, 9) FROM dg UNION ALL SELECT net, node, 's_signed', round(s_asym, 9) FROM signed)"
+        ),
+        "",
+    )[:-1]
+    + _perm_out(*_SECOND),
+    "perm_general": sql(
+        _perm(
+            "," + QPARTS + ", gb AS (SELECT s.net, coalesce(mean_fc, 0.0) AS mean_fc, coalesce(m, 0) * 2.0 / (n_nodes * (n_nodes - 1)) AS density, q_signed FROM sizes s LEFT JOIN (SELECT net, avg(weight) AS mean_fc, count(*) AS m FROM g GROUP BY net) b ON s.net = b.net JOIN qsig ON s.net = qsig.net), mv AS (SELECT net, '' AS node, 'mean_fc' AS metric, round(mean_fc, 9) AS value FROM gb UNION ALL SELECT net, '', 'density', round(density, 9) FROM gb UNION ALL SELECT net, '', 'modularity', round(q_signed, 9) FROM gb)"
+        ),
+        "",
+    )[:-1]
+    + _perm_out("abs(x.value - y.value)", "x.level || ' ~ ' || y.level", ">="),
+    "perm_cbm": sql(_perm(_CBM), "")[:-1] + _perm_out(*_FIRST),
+    "perm_cbm_base": sql(_perm(_CBM), "")[:-1] + _perm_out(*_SECOND),
+}
+
+
+def _ami(pairs: str, keys: str) -> str:
+    """AMI of pairs (keys, c1, c2): EMI from the hypergeometric distribution of each two sizes, by lgamma."""
+    return f"""
+nij AS (SELECT {keys}, c1, c2, CAST(count(*) AS DOUBLE) AS m FROM {pairs} GROUP BY ALL),
+ai AS (SELECT {keys}, c1, sum(m) AS x FROM nij GROUP BY ALL), bj AS (SELECT {keys}, c2, sum(m) AS y FROM nij GROUP BY ALL),
+tn AS (SELECT {keys}, sum(m) AS n FROM nij GROUP BY ALL),
+mi AS (SELECT {keys}, sum(m / n * ln(n * m / (x * y))) AS mi FROM nij JOIN ai USING ({keys}, c1) JOIN bj USING ({keys}, c2) JOIN tn USING ({keys}) GROUP BY ALL),
+h1 AS (SELECT {keys}, -sum(x / n * ln(x / n)) AS h1 FROM ai JOIN tn USING ({keys}) GROUP BY ALL),
+h2 AS (SELECT {keys}, -sum(y / n * ln(y / n)) AS h2 FROM bj JOIN tn USING ({keys}) GROUP BY ALL),
+gr AS (SELECT {keys}, x, y, n, CAST(unnest(range(CAST(greatest(1, x + y - n) AS BIGINT), CAST(least(x, y) AS BIGINT) + 1)) AS DOUBLE) AS m FROM ai JOIN bj USING ({keys}) JOIN tn USING ({keys})),
+em AS (
+  SELECT {keys}, sum(m / n * ln(n * m / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1)
+         - lgamma(n + 1) - lgamma(m + 1) - lgamma(x - m + 1) - lgamma(y - m + 1) - lgamma(n - x - y + m + 1))) AS emi FROM gr GROUP BY ALL)"""
+
+
+def _ami_out(keys: str) -> str:
+    value = six("CASE WHEN abs(greatest(h1, h2) - emi) < 1e-12 THEN 1.0 ELSE (mi - emi) / (greatest(h1, h2) - emi) END")
+    return f"SELECT {keys}, {value} AS ami FROM mi JOIN h1 USING ({keys}) JOIN h2 USING ({keys}) JOIN em USING ({keys})"
+
+
+def _draws(source: str, by: str) -> str:
+    """dr (rep, by, sample, times): 30 bootstraps by md5 within `by` of the rows of source, and the rows as rep 0."""
+    return f"""
+pl AS (SELECT {by}, sample, row_number() OVER (PARTITION BY {by} ORDER BY sample) - 1 AS place, count(*) OVER (PARTITION BY {by}) AS total FROM {source}),
+dp AS (
+  SELECT rep, {by}, CASE WHEN rep = 0 THEN place ELSE CAST('0x' || substr(md5('0:' || rep || ':' || {by} || ':' || sample), 1, 12) AS BIGINT) % total END AS place
+  FROM pl CROSS JOIN (SELECT unnest(range(31)) AS rep)),
+dr AS (SELECT d.rep, {by}, p.sample, count(*) AS times FROM dp d JOIN pl p USING ({by}, place) GROUP BY ALL)"""
+
+
+def _boot_out(keys: str, value: str, more: bool) -> str:
+    ci = f", {six('2 * s0 - quantile_cont(x, 0.975)')} AS lower, {six('2 * s0 - quantile_cont(x, 0.025)')} AS upper" if more else ""
+    return f"""
+SELECT {keys}, {six("s0")} AS stat, {six("stddev_samp(x)")} AS std_error, {six("avg(CASE WHEN abs(x) > abs(s0) THEN 1.0 ELSE 0.0 END)")} AS p{ci}
+FROM (SELECT {keys}, {value} AS x FROM bt WHERE rep > 0) JOIN (SELECT {keys}, {value} AS s0 FROM bt WHERE rep = 0) USING ({keys}) GROUP BY {keys}, s0"""
+
+
+_CRITICAL = ", ".join(f"({n}, CAST({critical_r(n, 0.05)!r} AS DOUBLE))" for n in range(3, 150))
+ORACLE_SQL |= {
+    "corr_gram": ORACLE_SQL["corr_pearson"],
+    "threshold_p_rcrit": sql(EDGES + f", crit(n, lim) AS (VALUES {_CRITICAL})", f"SELECT e.net, src, dst, e.n, CAST(0.05 AS DOUBLE) AS cut, {six('CASE WHEN abs(r) > lim THEN r ELSE 0.0 END')} AS r FROM edges e JOIN crit ON e.n = crit.n"),
+    "normal_approx_null": sql(
+        PARTITIONS + ", lp AS (SELECT net, part, node, (count(*) OVER (PARTITION BY net, part, comm) - 1) / CAST(count(*) OVER (PARTITION BY net, part) - 1 AS DOUBLE) AS p FROM parts)",
+        f"SELECT net, node, {six(f'greatest(0.0, least(1.0, avg(p) + ({float(normal_quantile(0.05)[0])!r}) * sqrt(sum(p * (1 - p))) / count(*)))')} AS p FROM lp GROUP BY net, node",
+    ),
+    "ami_pairs": sql(PARTITIONS + ", pp AS (SELECT x.part AS a, y.part AS b, x.comm AS c1, y.comm AS c2 FROM parts x JOIN parts y ON x.node = y.node AND x.part < y.part)," + _ami("pp", "a, b"), _ami_out("a, b")),
+    "group_ami": sql(PARTITIONS + ", pp AS (SELECT 1 AS level, 'p' || x.part AS a, 'p' || y.part AS b, x.comm AS c1, y.comm AS c2 FROM parts x JOIN parts y ON x.node = y.node AND x.part < y.part)," + _ami("pp", "level, a, b"), _ami_out("level, a, b")),
+    "boot_ci": sql(
+        _BAL + "," + _draws("bal", "arm") + """,
+wm AS (
+  SELECT rep, region, arm, CAST(sum(times) AS DOUBLE) AS n, sum(times * value) AS s, sum(times * value * value) AS q
+  FROM bal JOIN dr USING (arm, sample) GROUP BY ALL),
+wv AS (SELECT rep, region, arm, n, s / n AS mean, (q - s * s / n) / (n - 1) AS v FROM wm),
+bt AS (
+  SELECT rep, x.region, x.arm AS a, y.arm AS b, (x.mean - y.mean) / sqrt(x.v / x.n + y.v / y.n) AS t
+  FROM wv x JOIN wv y USING (rep, region) WHERE x.arm < y.arm)""",
+        _boot_out("region, a, b", "t", True),
+    ),
+    "boot_p_value": sql(
+        _PROFILE + ", pts AS (SELECT net, region AS sample, mean_signal AS x, mean_r2 AS y FROM prof)," + _draws("pts", "net") + """,
+bm AS (
+  SELECT rep, net, CAST(sum(times) AS DOUBLE) AS n, sum(times * x) AS sx, sum(times * y) AS sy, sum(times * x * x) AS sxx, sum(times * x * y) AS sxy
+  FROM pts JOIN dr USING (net, sample) GROUP BY ALL),
+bt AS (SELECT rep, net, (sxy - sx * sy / n) / nullif(sxx - sx * sx / n, 0) AS beta FROM bm)""",
+        _boot_out("net", "beta", False),
+    ),
+}

@@ -218,7 +218,7 @@ def lookup_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def collapse_mean(spark: SparkSession, sf: str) -> DataFrame:
-    o = d.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("net"), F.date_format("o_orderdate", "yyyy-MM").alias("sample"), "o_orderstatus", F.lit("all").alias("region"), F.col("o_totalprice").alias("value"))
+    o = d.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("net"), F.date_format("o_orderdate", "yyyy-MM").alias("sample"), "o_orderstatus", F.lit("all").alias("region"), F.ln("o_totalprice").alias("value"))
     return prep.collapse(o, ["net", "sample"])
 
 
