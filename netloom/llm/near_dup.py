@@ -7,10 +7,12 @@
    other: all are compared with the smallest (its pivot), which is linear in a band's size.
 3. Candidates' signatures are compared batch by batch. With a uniform prior the similarity after m of n equal values is
    Beta(m + 1, n - m + 1); a pair goes as soon as the chance that it reaches the threshold is below `miss`.
-4. Each class's best surviving candidate is verified exactly on full shingle sets; verified links give components.
-5. Only where a band still holds classes of different components are the pairs between these components compared, in
-   the same way (3 and an exact check), so no candidate pair that could join two components is left out, and pairs
-   inside one are never made. Components of all verified links are the result.
+4. Surviving candidates are verified exactly on full shingle sets; verified links give components.
+5. Only where a band still holds classes of different components are its classes compared with each other, signatures
+   in blocks inside a task. A pair between components that passes 3 is noted in the row of its first class, in the
+   first band that both share; texts then meet in the same blocks and are verified there. A large band is cut into
+   blocks, and each two blocks meet in one task: no candidate pair that could join two components is left out, none is
+   ever a row of its own, and no task holds more than two blocks. Components of all verified links are the result.
 
 With 32 bands of 4 values a pair at similarity 0.75 shares no band with probability 5e-6.
 
@@ -29,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import stored
+from netloom.llm.common import short_batches, stored
 from netloom.llm.components import components
 
 WORDS, BANDS, ROWS, BATCH = 5, 32, 4, 32
+#: Classes of a band that are compared in one block.
+BLOCK = 512
+#: Bits of the table that tells which texts may be needed; its size does not depend on the data.
+FILTER_BITS = 1 << 24
 HASHES = BANDS * ROWS
 #: Word hashes kept in a worker, about 150 bytes each.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 
 
 class _WordHashes(dict):
@@ -114,16 +120,26 @@ def _fingerprints(df: DataFrame, seed: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n_shingles long, high long, low long, sig binary")
 
 
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """A key for each band of each signature."""
+    parts = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
+    for r in range(ROWS):
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+    return key.view(np.int64)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
+
+
 def _banded(classes: DataFrame) -> DataFrame:
     """band, rep: a row for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2])
-            for r in range(ROWS):
-                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["band", "rep"])
+            keys = _band_keys(_signatures(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["band", "rep"])
 
     return classes.select("rep", "sig").mapInArrow(run, "band long, rep long")
 
@@ -136,7 +152,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, threshold: float, miss: flo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, HASHES) for c in (2, 3))
+            x, y = _signatures(batch.column(2)), _signatures(batch.column(3))
             on, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
             for n, m in least:
                 matches[on] += (x[on, done:n] == y[on, done:n]).sum(axis=1)
@@ -148,11 +164,105 @@ def _promising(pairs: DataFrame, classes: DataFrame, threshold: float, miss: flo
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches long")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """The runs of equal values in the first `keys` columns, which may cross batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(key[x].tolist())
+            if held and now != last:
+                yield last, held
+                held = []
+            last = now
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield last, held
+
+
+def _matching(band: int, rep: np.ndarray, label: np.ndarray, block: np.ndarray, sig: np.ndarray, least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs with different labels (and, of two blocks, one in each) that pass every batch and share no
+    band before this one."""
+    left, right = [], []
+    two = block.min() != block.max()
+    bands = _band_keys(sig)
+    own = int(np.flatnonzero(bands[0] == band)[0])
+    for at in range(0, len(rep), 32):
+        part = slice(at, at + 32)
+        can = (label[part, None] != label[None, :]) & (rep[part, None] < rep[None, :])
+        if two:
+            can &= block[part, None] != block[None, :]
+        matches, done = (sig[part, None, :BATCH] == sig[None, :, :BATCH]).sum(axis=2), BATCH
+        i, j = np.nonzero(can & (matches >= least[0][1]))
+        matches = matches[i, j]
+        for n, m in least[1:]:
+            matches = matches + (sig[at + i, done:n] == sig[j, done:n]).sum(axis=1)
+            ok = matches >= m
+            i, j, matches, done = i[ok], j[ok], matches[ok], n
+        ok = ~(bands[at + i, :own] == bands[j, :own]).any(axis=1)
+        left.append(at + i[ok])
+        right.append(j[ok])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct: int, miss: float) -> DataFrame:
+    """u, v of the verified links between classes that share a band of told (band, rep, label) under different labels."""
+    least = [(n, least_matches(n, threshold_pct / 100, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
+    key = ["band", "low", "high"]
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, parts in _groups(batches, 3):
+            rep, label, block = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (3, 4, 5))
+            sig = np.concatenate([_signatures(p.column(6)) for p in parts])
+            i, j = _matching(now[0], rep, label, block, sig, least)
+            if not len(i):
+                continue
+            places, at = np.unique(np.concatenate([i, j])), np.argsort(i, kind="stable")
+            ends = np.searchsorted(i[at], places, "right")
+            partners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(rep[j[at]]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(places), k)) for k in now), pa.array(rep[places]), partners], names=[*key, "rep", "partners"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _groups(batches, 3):
+            sets = {rep: shingles(text) for p in parts for rep, text in zip(p.column(3).to_pylist(), p.column(5).to_pylist(), strict=True)}
+            found = [(rep, other) for p in parts for rep, others in zip(p.column(3).to_pylist(), p.column(4).to_pylist(), strict=True) for other in others if _linked(sets[rep], sets[other], threshold_pct)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
+
+    blocks = told.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    rows = told.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # In a band of one block a class is one row; else it is one row for each block that its own meets.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "label", "block")
+    rows = rows.join(classes.select("rep", "sig"), "rep").select(*key, "rep", "label", "block", "sig")
+    noted = stored(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(note, "band long, low long, high long, rep long, partners array<long>"), "noted")
+    texts = noted.join(_maybe_needed(docs, noted.select(F.col("rep").alias("id"))), F.col("rep") == F.col("doc_id")).select(*key, "rep", "partners", "text")
+    return texts.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "u long, v long").distinct()
+
+
+def _linked(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= pct * (len(x) + len(y) - shared)
+
+
+def _maybe_needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id may be among ids, by a bit table that is broadcast: at most FILTER_BITS / 64 rows of
+    16 bytes, 4 MB. All ids pass; others pass seldom while ids are few against the bits, so few texts are shuffled, and
+    always when they are many, which costs the shuffle of all texts but no row."""
+    word, bit = "CAST(pmod(xxhash64({0}), {1}) DIV 64 AS INT)", "shiftleft(CAST(1 AS BIGINT), CAST(pmod(xxhash64({0}), 64) AS INT))"
+    bits = ids.select(F.expr(word.format("id", FILTER_BITS)).alias("_word"), F.expr(bit.format("id")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    of = docs.withColumn("_w", F.expr(word.format("doc_id", FILTER_BITS))).join(F.broadcast(bits), F.col("_w") == F.col("_word"))
+    return of.filter(F.expr(f"(_mask & {bit.format('doc_id')}) != 0")).select("doc_id", "text")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
     """u, v of the pairs whose full shingle sets have 100 * intersection >= pct * union. Only texts of documents in a
     pair are moved."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = _maybe_needed(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, np.empty(0, np.uint64)
@@ -161,9 +271,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if (a, x) != last:
                     last, left = (a, x), shingles(x)
-                right = shingles(y)
-                shared = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * shared >= pct * (len(left) + len(right) - shared) and shared > 0)
+                keep.append(_linked(left, shingles(y), pct))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["u", "v"])
 
     with_b = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -171,8 +279,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-4, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df."""
+    short_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = stored(_fingerprints(docs, seed), "prints")
     found = prints.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
@@ -182,22 +291,13 @@ def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-9,
     members = stored(bands.join(crowded.select("band", "pivot"), "band"), "bands")
     star = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = stored(_promising(star, classes, threshold_pct / 100, miss), "star")
-    best = star.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-    first = stored(_verified(best, docs, threshold_pct), "links")
+    first = stored(_verified(star.select("a", "b"), docs, threshold_pct), "links")
     labels = stored(components(first), "labels")
 
-    def labelled(t: DataFrame, column: str, label: str) -> DataFrame:
-        of = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        return t.join(of, F.col(column) == F.col("_n"), "left").withColumn(label, F.coalesce("_c", column)).drop("_n", "_c")
-
-    # The other star pairs and, in bands of more than one component, the pairs between components.
-    again = labelled(labelled(star.join(best, ["a", "b"], "left_anti").select("a", "b"), "a", "la"), "b", "lb").filter("la != lb").select("a", "b")
-    told = labelled(members.filter("rep != pivot"), "rep", "label")
-    mixed = told.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
-    told = told.join(mixed, "band", "left_semi").select("band", "rep", "label")
-    cross = told.alias("p").join(told.alias("q"), F.expr("p.band = q.band AND p.label < q.label")).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
-    cross = _promising(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"), classes, threshold_pct / 100, miss).select("a", "b")
-    second = _verified(stored(again.unionByName(cross), "pairs"), docs, threshold_pct)
+    # Bands that still hold more than one component; with two classes there is no pair left.
+    told = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
+    mixed = told.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y AND n > 2").select("band")
+    second = _between(stored(told.join(mixed, "band", "left_semi"), "mixed"), classes, docs, threshold_pct, miss)
     final = components(first.unionByName(second))
 
     named = classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep").join(final, F.col("rep") == F.col("node"), "left").select("h", "l", F.coalesce("component", "rep").alias("name"))
