@@ -119,8 +119,9 @@ def spectral_density(m: np.ndarray, grid: np.ndarray, bandwidth: str = "Silverma
     if bandwidth == "Sturges":
         h = (v.max() - v.min()) / (np.ceil(np.log2(n)) + 1)
     else:
-        spread = min(v.std(ddof=1), (np.percentile(v, 75) - np.percentile(v, 25)) / 1.34) or v.std(ddof=1)
-        h = 0.9 * spread * n**-0.2
+        sd, middle = v.std(ddof=1), (np.percentile(v, 75) - np.percentile(v, 25)) / 1.34
+        # A quartile range of rounding errors, as of equal eigenvalues, says nothing.
+        h = 0.9 * (min(sd, middle) if middle > 1e-9 * sd else sd) * n**-0.2
     h = h or 1e-6
     y = np.exp(-0.5 * ((grid[:, None] - v[None, :]) / h) ** 2).sum(axis=1)
     return y / (y.sum() * (grid[1] - grid[0]))
