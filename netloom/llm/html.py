@@ -145,16 +145,15 @@ def unique_runs(pages: DataFrame, depth: int = 8, least_run: int = 1) -> DataFra
     block of at least `least_run` tokens stay, and blocks are joined by an empty line."""
     tokens = F.flatten(F.transform("blocks", lambda b, k: F.transform(F.split(b, " "), lambda w: F.struct(k.alias("block"), w.alias("word")))))
     p = pages.select("row", F.coalesce("host", F.lit("")).alias("host"), tokens.alias("t"), F.xxhash64("blocks").alias("digest"))
-    p = p.select("row", "host", "t", "digest", F.when(F.size("t") >= depth, F.sequence(F.lit(1), F.size("t") - (depth - 1))).alias("starts"))
-    window = F.array_join(F.transform(F.slice("t", F.col("at"), F.lit(depth)), lambda x: x["word"]), " ")
-    suffixes = p.select("row", "host", "digest", "t", F.explode("starts").alias("at")).select("row", "host", "digest", "at", window.alias("key"))
+    words = F.transform("t", lambda x: x["word"])
+    p = p.select("row", "host", "t", "digest", words.alias("words"))
+    # Windows are made inside their row: an exploded row holds its own window only, never the page.
+    window = F.transform(F.sequence(F.lit(1), F.size("words") - (depth - 1)), lambda at: F.struct(at.alias("at"), F.array_join(F.slice("words", at, F.lit(depth)), " ").alias("key")))
+    suffixes = p.filter(F.size("words") >= depth).select("row", "host", "digest", F.explode(window).alias("s")).select("row", "host", "digest", "s.at", "s.key")
     # Equal keys of distinct pages: neighbours in the sorted suffixes.
     repeated = suffixes.repartitionByRange("host", "key").sortWithinPartitions("host", "key").groupBy("host", "key").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("host", "key")
-    covered = suffixes.join(repeated, ["host", "key"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("hits"))
-    left = p.select("row", "t").join(covered, "row", "left").select("row", "t", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
-    each = left.select("row", F.posexplode("t").alias("pos", "tok"), "hits")
-    # A token is covered if a hit starts at it or at most depth - 1 tokens before.
-    each = each.filter(~F.arrays_overlap("hits", F.sequence(F.greatest(F.lit(1), F.col("pos") + 2 - depth), F.col("pos") + 1)))
+    hits = suffixes.join(repeated, ["host", "key"], "left_semi").select("row", F.explode(F.sequence(F.col("at") - 1, F.col("at") + (depth - 2))).alias("pos")).distinct()
+    each = p.select("row", F.posexplode("t").alias("pos", "tok")).join(hits, ["row", "pos"], "left_anti")
     runs = each.groupBy("row", F.col("tok.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("tok.word").alias("word")))).alias("words"))
     runs = runs.filter(F.size("words") >= least_run).select("row", "block", F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("text"))
     return runs.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
