@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions.dist import critical_r, t_two_sided
-from netloom.functions.exprs import average_rank, fisher_z
+from netloom.functions.exprs import adjusted, average_rank, fisher_z
 
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's r; null where a side does not vary (the built-in corr raises an error there in ANSI mode)."""
@@ -168,11 +168,16 @@ def vertices(activity: DataFrame, regions: DataFrame | None = None) -> DataFrame
     return out if regions is None else out.join(regions.withColumnRenamed("region", "node"), "node", "left")
 
 
-def build_networks(activity: DataFrame, factors: Sequence[str] | None = None, method: str = "pearson", weak_link: int | None = None, negs: str = "keep", kind: str | None = None, cuts: Sequence[float] = (0.0,), how: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(edges, vertices) of a net for each level of the factors' interaction, and each cut if there are several."""
+def build_networks(activity: DataFrame, factors: Sequence[str] | None = None, method: str = "pearson", weak_link: int | None = None, negs: str = "keep", kind: str | None = None, cuts: Sequence[float] = (0.0,), how: str | None = None, p_adjust: str = "none") -> tuple[DataFrame, DataFrame]:
+    """(edges, vertices) of a net for each level of the factors' interaction, and each cut if there are several.
+
+    p_adjust names a correction of p-values within each net, for kind="p"; a pair has one p-value."""
     if factors:
         activity = activity.withColumn("net", F.concat_ws(".", *factors))
-    edges = negatives(fill_undefined(corr_edges(activity, method), weak_link), negs)
+    edges = corr_edges(activity, method)
+    if kind == "p" and p_adjust != "none":
+        edges = adjusted(with_p(edges), "p", p_adjust, ["net"], "p")
+    edges = negatives(fill_undefined(edges, weak_link), negs)
     nodes = vertices(activity)
     if kind is not None:
         edges = threshold(edges, kind, cuts)
@@ -224,6 +229,17 @@ def map_networks(edges: DataFrame, fn, schema: str) -> DataFrame:  # noqa: ANN00
     return edges.groupBy("net").applyInPandas(run, schema)
 
 
+def map_networks_with(edges: DataFrame, other: DataFrame, fn, schema: str) -> DataFrame:  # noqa: ANN001
+    """fn(net, names, matrix, frame) -> pandas frame, for every net and its rows of a second table (net, ...), as of its
+    membership."""
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names, m = to_matrix(pdf)
+        return fn((pdf if len(pdf) else own)["net"].iloc[0], names, m, own)
+
+    return edges.groupBy("net").cogroup(other.groupBy("net")).applyInPandas(run, schema)
+
+
 def to_matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Rows with dst null name isolated nodes."""
     names = np.unique(np.concatenate([pdf["src"].to_numpy(str), pdf["dst"].dropna().to_numpy(str)]))

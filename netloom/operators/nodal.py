@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,34 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFra
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def nodal_measures(edges: DataFrame, nodes: DataFrame, metrics: Sequence[str] = ("degree", "strength", "signed_strength", "leverage", "burt", "transitivity", "nodal_efficiency", "betweenness", "closeness", "eigenvector")) -> DataFrame:
+    """net, node and a column for each metric, named in any case; burt works on |weights|."""
+    from netloom.operators.paths import METRICS, path_metrics
+
+    wanted = [m.lower() for m in metrics]
+    out = nodes.select("net", "node").distinct()
+    if {"degree", "strength"} & set(wanted):
+        out = out.join(degree_strength(edges, nodes), ["net", "node"])
+    if "signed_strength" in wanted:
+        out = out.join(signed_strength(edges, nodes).select("net", "node", F.col("s_signed").alias("signed_strength")), ["net", "node"])
+    if "leverage" in wanted:
+        out = out.join(leverage(edges, nodes), ["net", "node"])
+    if "burt" in wanted:
+        out = out.join(constraint(edges.withColumn("weight", F.abs("weight")), nodes), ["net", "node"], "left")
+    if "transitivity" in wanted:
+        out = out.join(transitivity(edges, nodes), ["net", "node"])
+    paths = [m for m in wanted if m in (*METRICS, "local_efficiency")]
+    if paths:
+        out = out.join(path_metrics(edges, nodes, paths), ["net", "node"])
+    if "efficiency_loss" in wanted:
+        from netloom.operators.paths import efficiency_loss
+
+        out = out.join(efficiency_loss(edges, nodes), ["net", "node"])
+        wanted = [x for m in wanted for x in (["global_loss", "local_loss"] if m == "efficiency_loss" else [m])]
+    # A network without edges has zeros.
+    return out.select("net", "node", *(F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in wanted))
+
+
 def general_measures(edges: DataFrame, nodes: DataFrame, membership: DataFrame) -> DataFrame:
     """net, mean_fc, gc_size, gc_pct, density, modularity (signed, against the membership)."""
     from netloom.operators.community import q_signed

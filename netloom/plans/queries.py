@@ -433,6 +433,12 @@ def gateway_bet(spark: SparkSession, sf: str) -> DataFrame:
     return community.gateway(d.graph(spark, sf), d.membership(spark, sf), "bet")
 
 
+@query
+def nodal_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodal metrics in one table."""
+    return nodal.nodal_measures(d.graph(spark, sf), d.nodes(spark, sf))
+
+
 # Inference.
 
 REPS = 20

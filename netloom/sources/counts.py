@@ -77,6 +77,18 @@ def ingest(spark: SparkSession, annotation_path: str, data_path: str, balanced:
     return regions, samples, prep.drop_zero_regions(activity).drop("net")
 
 
+def network_of_file(spark: SparkSession, path: str, clean: bool = False, **options: object) -> tuple[DataFrame, DataFrame]:
+    """(edges, vertices) of one table file with a row for each sample and a column for each region; options go to
+    `build_networks`."""
+    from netloom.operators import network, prep
+
+    wide = read_table(spark, path).withColumn("sample", F.monotonically_increasing_id())
+    names = [c for c in wide.columns if c != "sample"]
+    cells = wide.select("sample", F.explode(F.array(*(F.struct(F.lit(c).alias("region"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in names))).alias("c"))
+    activity = cells.select(F.lit(path.rsplit("/", 1)[-1]).alias("net"), "sample", "c.region", "c.value")
+    return network.build_networks(prep.clean(activity) if clean else activity, **options)
+
+
 def gaussian(spark: SparkSession, subjects: int = 50, groups: int = 2, size: int = 100, means: tuple[float, float] = (400.0, 400.0), sds: tuple[float, float] = (10.0, 50.0), diff: bool = False, seed: int = 0) -> DataFrame:
     """sample, level, region, value: Gaussian activity with group labels dealt at random; with diff the first half of
     the groups has the second mean and standard deviation."""

@@ -126,6 +126,22 @@ def test_networks_without_edges(spark) -> None:  # noqa: ANN001
     assert community.q_signed(none, m).first()["q_signed"] == 0
 
 
+def test_nodal_measures_and_files(spark, tmp_path) -> None:  # noqa: ANN001
+    e, n = _graph(spark, SQUARE, ["z"])
+    got = {r["node"]: r for r in nodal.nodal_measures(e, n, ("Degree", "burt", "Nodal_Efficiency", "efficiency_loss")).collect()}
+    assert got["b"]["degree"] == 0.5 and got["z"]["nodal_efficiency"] == 0 and got["a"]["global_loss"] is not None
+    none = nodal.nodal_measures(e.limit(0), n).collect()
+    assert all(r["burt"] == 0 and r["betweenness"] == 0 for r in none)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 1)) + 0.1 * rng.normal(size=(40, 2))
+    rows = np.column_stack([x, rng.normal(size=40)])
+    (tmp_path / "t.csv").write_text("a,b,c\n" + "\n".join(",".join(map(str, r)) for r in rows))
+    edges, nodes = counts.network_of_file(spark, str(tmp_path / "t.csv"), kind="p", cuts=(0.01,), p_adjust="holm")
+    assert [(r["src"], r["dst"]) for r in edges.collect()] == [("a", "b")] and nodes.count() == 3
+    sizes = network.map_networks_with(e, n, lambda net, names, m, own: own.groupby("net", as_index=False).size().rename(columns={"size": "k"}), "net string, k long")
+    assert sizes.first()["k"] == 5
+
+
 # Communities.
 
 TWO = [("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("d", "e", 1), ("e", "f", 1), ("d", "f", 1), ("c", "d", 1)]
