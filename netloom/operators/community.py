@@ -14,7 +14,7 @@ from netloom.operators.nodal import signed_strength
 def by_level(edges: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, membership) for levels (net, level, node, comm): a net for each net and level."""
     named = F.concat_ws("/", "net", "level")
-    e = edges.join(F.broadcast(levels.select("net", "level").distinct()), "net").select(named.alias("net"), "src", "dst", "weight")
+    e = edges.join(levels.select("net", "level").distinct(), "net").select(named.alias("net"), "src", "dst", "weight")
     return e, levels.select(named.alias("net"), "node", "comm")
 
 

@@ -28,7 +28,7 @@ def drop_zero_regions(activity: DataFrame, by: Sequence[str] = ("net", "region")
 
 def fill_absent(cells: DataFrame, samples: DataFrame, regions: DataFrame, keys: Sequence[str] = ("net", "sample")) -> DataFrame:
     """One row for each sample and region; absent cells are 0, cells of unknown regions are dropped."""
-    grid = samples.select(*keys).distinct().crossJoin(F.broadcast(regions.select("region").distinct()))
+    grid = samples.select(*keys).distinct().crossJoin(regions.select("region").distinct())
     return grid.join(cells, [*keys, "region"], "left").select(*keys, "region", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 

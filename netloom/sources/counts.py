@@ -49,7 +49,7 @@ def factors_of(file: Column) -> list[Column]:
 def fill_counts(counts: DataFrame, annotation: DataFrame) -> DataFrame:
     """file, id, acronym, value for every file and annotated id: the first value of an id in a file, 0 if absent."""
     first = counts.withColumn("_row", F.monotonically_increasing_id()).groupBy("file", "id").agg(F.min_by("value", "_row").alias("value"))
-    grid = counts.select("file").distinct().crossJoin(F.broadcast(annotation.select("id", "acronym")))
+    grid = counts.select("file").distinct().crossJoin(annotation.select("id", "acronym"))
     return grid.join(first, ["file", "id"], "left").select("file", "id", "acronym", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
