@@ -113,13 +113,12 @@ def write_token_files(df: DataFrame, vocab: str, end_id: int = 2, folder: str |
         fs, top = _filesystem(folder)
         name, out = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.ids.zst", None
         docs = tokens = 0
-        for batch in batches:
-            if out is None and batch.num_rows:
+        for doc_id, ids in encoder.encode_rows(batches):
+            if out is None:
                 fs.create_dir(top, recursive=True)
                 out = FrameWriter(fs.open_output_stream(f"{top}/.{name}.tmp"), level)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                out.add(doc_id, np.append(ids, ids.dtype.type(end_id)))
-                docs, tokens = docs + 1, tokens + len(ids) + 1
+            out.add(doc_id, np.append(ids, ids.dtype.type(end_id)))
+            docs, tokens = docs + 1, tokens + len(ids) + 1
         if out is not None:
             out.close()
             fs.move(f"{top}/.{name}.tmp", f"{top}/{name}")

@@ -9,6 +9,7 @@ fall apart again where a token starts with a space. Texts with other white space
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Cuts kept in a worker, about 200 bytes each, and the longest cut that is kept.
 CUTS_KEPT, LONGEST_KEPT = 600_000, 48
+#: Characters of the texts that are encoded together.
+GROUP_CHARS = 4_000_000
 #: White space other than the space.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _ENCODERS: dict[str, Encoder] = {}
@@ -61,11 +64,23 @@ class Encoder:
         for text in texts:
             group.append(text or "")
             size += len(text or "")
-            if size > 4_000_000:
+            if size > GROUP_CHARS:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
+    def encode_rows(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
+        """(first column, ids of the second column) of each row; groups of texts go across batches."""
+        waiting: deque = deque()
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                waiting.extend(batch.column(0).to_pylist())
+                yield from batch.column(1).to_pylist()
+
+        for ids in self.encode(texts()):
+            yield waiting.popleft(), ids
+
     def _known(self, cuts: list[str]) -> list[bytes]:
         """The ids of distinct cuts, each with a space before it."""
         # What was not used since the cuts were last set aside goes when they are set aside again.
@@ -106,7 +121,9 @@ class Encoder:
         which[begins] = len(known) + np.flatnonzero(~np.array(whole, bool))
         n = lengths[which]
         ends = np.cumsum(n)
-        text_ids = ids[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.repeat((starts[which] - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        text_ids = ids[at]
         bounds = iter(np.append(ends, 0)[cuts.offsets.to_numpy()[1:] - 1].tolist())
         at = 0
         for w, alone in zip(whole, plain, strict=True):
