@@ -89,19 +89,25 @@ def pack(df: DataFrame, vocab: str, length: int = 2048, end_id: int = 1, with_id
     def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(vocab), TaskContext.get().partitionId()
         seq = fill = 0
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, ids.dtype.type(end_id)).astype("<u4")
-                at = 0
-                while at < len(ids):
-                    piece = ids[at : at + length - fill]
-                    rows.append((part, doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids), seq, fill, *([piece.tolist()] if with_ids else ())))
-                    at, fill = at + len(piece), fill + len(piece)
-                    if fill == length:
-                        seq, fill = seq + 1, 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows: list[tuple] = []
+
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for doc_id, ids in encoder.encode_rows(batches):
+            ids = np.append(ids, ids.dtype.type(end_id)).astype("<u4")
+            at = 0
+            while at < len(ids):
+                piece = ids[at : at + length - fill]
+                rows.append((part, doc_id, at, len(piece), zlib.crc32(piece), len(ids), seq, fill, *([piece.tolist()] if with_ids else ())))
+                at, fill = at + len(piece), fill + len(piece)
+                if fill == length:
+                    seq, fill = seq + 1, 0
+            if len(rows) >= 4096:
+                yield written()
+                rows.clear()
+        if rows:
+            yield written()
 
     short_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(keyed, "doc_id long, text string, key long")
