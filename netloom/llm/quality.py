@@ -31,11 +31,11 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def line_passes(line: Column, noise_pct: int = 20, short_words: int = 3, phrase_words: int = 30) -> Column:
-    """Whether a line stays. noise_pct: share of words with symbols from which it goes; short_words: lines of so few
+def line_passes(line: Column, n: Column, noise_pct: int = 20, short_words: int = 3, phrase_words: int = 30) -> Column:
+    """Whether a line of n words stays. noise_pct: share of words with symbols from which it goes; short_words: lines of so few
     words need a sentence's end even where others do not; phrase_words: only lines up to that length go for a phrase."""
-    n = _count(line, WORD)
-    noise = _count(line, NOISE_WORD)
+    # Most lines have no symbol at all, which is quick to see.
+    noise = F.when(line.rlike(r"[#*$%&|<>]|!!"), _count(line, NOISE_WORD)).otherwise(F.lit(0))
     punctuation = line.rlike(ENDS) | (n > short_words * 4)
     navigation = _count(line, r"[|»›•]") * 5 > n
     boilerplate = (n <= phrase_words) & line.rlike(PHRASES)
@@ -53,7 +53,9 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     d = d.select("*", F.size("w").cast("long").alias("n_words"), F.when(F.size("w") >= 3, hashes).otherwise(F.array().cast("array<bigint>")).alias("h"), lines.alias("lines"))
     d = d.select("*", F.array_distinct("lines").alias("own"), (F.size(F.array_distinct("h")) < F.size("h")).alias("again"))
     windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("g"), i.alias("i"))))
-    d = d.select("*", F.when(F.col("again"), windows).alias("s"), F.filter("own", lambda x: line_passes(x)).alias("good"))
+    counted = F.transform("own", lambda x: F.struct(x.alias("line"), _count(x, WORD).alias("n")))
+    good = F.transform(F.filter(counted, lambda x: line_passes(x["line"], x["n"])), lambda x: x["line"])
+    d = d.select("*", F.when(F.col("again"), windows).alias("s"), good.alias("good"))
     same = F.filter("s", lambda x, k: (F.get("s", k - 1)["g"] == x["g"]) | (F.get("s", k + 1)["g"] == x["g"]))
     d = d.select("*", F.sort_array(F.transform(F.when(F.col("again") & (F.size("s") > 0), same), lambda x: x["i"])).alias("p"))
     gaps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.least(b - a, F.lit(3)))
