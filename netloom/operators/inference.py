@@ -79,7 +79,8 @@ def edge_metrics(activity: DataFrame, places: int | None = None) -> DataFrame:
 
 def _graph(activity: DataFrame, cut: float) -> tuple[DataFrame, DataFrame]:
     e = network.fill_undefined(network.corr_edges(activity))
-    return network.graph(e.filter(F.abs("r") > cut)), activity.select("net", F.col("region").alias("node")).distinct()
+    # Metrics read the edges several times; the pairs of all replicates are made once.
+    return network.checkpointed(network.graph(e.filter(F.abs("r") > cut))), network.checkpointed(activity.select("net", F.col("region").alias("node")).distinct())
 
 
 def nodal_metrics(activity: DataFrame, cut: float = 0.2, places: int | None = None) -> DataFrame:

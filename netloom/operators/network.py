@@ -196,6 +196,17 @@ def ends(edges: DataFrame) -> DataFrame:
     return edges.select("net", "weight", both.alias("e")).select("net", "e.node", "e.other", "weight")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder and read from there; for tables that several steps read. A local
+    folder is set only where the session has none."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="networks-"))
+    return df.checkpoint()
+
+
 def drop_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends(edges).select("net", "node").distinct(), ["net", "node"], "left_semi")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators.network import ends
+from netloom.operators.network import checkpointed, ends
 
 
 def _sizes(nodes: DataFrame) -> DataFrame:
@@ -88,18 +88,13 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFra
     """net, node, component (its smallest node): labels move to the least of the neighbours' until none changes.
 
     Labels are checkpointed in the shared folder each round, and jump over their own label to halve long paths."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="components-"))
-    e = ends(edges).select("net", "node", "other")
-    now = nodes.select("net", "node", F.col("node").alias("component")).distinct().checkpoint()
+    e = checkpointed(ends(edges).select("net", "node", "other"))
+    now = checkpointed(nodes.select("net", "node", F.col("node").alias("component")).distinct())
     for _ in range(rounds):
         seen = e.join(now.select("net", F.col("node").alias("other"), F.col("component").alias("c")), ["net", "other"]).groupBy("net", "node").agg(F.min("c").alias("c"))
         step = now.join(seen, ["net", "node"], "left").select("net", "node", "component", F.least("component", "c").alias("next"))
         jump = step.join(now.select("net", F.col("node").alias("next"), F.col("component").alias("far")), ["net", "next"], "left")
-        new = jump.select("net", "node", F.col("component").alias("old"), F.least("next", "far").alias("component")).checkpoint()
+        new = checkpointed(jump.select("net", "node", F.col("component").alias("old"), F.least("next", "far").alias("component")))
         now = new.drop("old")
         if new.filter("component != old").isEmpty():
             return now
