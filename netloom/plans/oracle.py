@@ -422,3 +422,48 @@ bt AS (SELECT rep, net, (sxy - sx * sy / n) / nullif(sxx - sx * sx / n, 0) AS be
         _boot_out("net", "beta", False),
     ),
 }
+
+
+def _distances(squarings: int = 5) -> str:
+    """dist (net, a, b, d): shortest distances over lengths 1 / |weight|, by squaring in (min, +)."""
+    steps = """,
+d0 AS (SELECT net, node AS a, other AS b, 1 / abs(weight) AS d FROM half UNION ALL SELECT net, node, node, 0.0 FROM nodes)"""
+    for k in range(squarings):
+        steps += f",\nd{k + 1} AS MATERIALIZED (SELECT x.net, x.a, y.b, min(x.d + y.d) AS d FROM d{k} x JOIN d{k} y ON x.net = y.net AND x.b = y.a GROUP BY ALL)"
+    return steps + f",\ndist AS (SELECT * FROM d{squarings} WHERE a <> b)"
+
+
+_LEVELS = EDGES + """,
+lv AS (SELECT unnest([1, 2]) AS level),
+nodes AS (SELECT DISTINCT a.net || '/' || level AS net, b.region AS node FROM cells a CROSS JOIN (SELECT DISTINCT region FROM cells) b CROSS JOIN lv),
+memb AS (SELECT net, node, CAST(CASE WHEN split_part(net, '/', 2) = '1' THEN CAST(substr(node, 7, 1) AS INTEGER) ELSE CAST(substr(node, 7, 1) AS INTEGER) % 2 END AS INTEGER) AS comm FROM nodes),
+g AS (SELECT net || '/' || level AS net, src, dst, r AS weight FROM edges CROSS JOIN lv WHERE abs(r) > 0.2),
+half AS (SELECT net, src AS node, dst AS other, weight FROM g UNION ALL SELECT net, dst, src, weight FROM g)"""
+
+
+def _value(a: str, b: str, source: str) -> str:
+    """net, node, v: the signed combination of two parts of source."""
+    return f"(SELECT m.net, m.node, coalesce({a}, 0.0) - coalesce(coalesce(sq, 0.0) / nullif(coalesce(sp, 0.0) + coalesce(sq, 0.0), 0), 0.0) * coalesce({b}, 0.0) AS v FROM memb m LEFT JOIN {source} USING (net, node))"
+
+
+ORACLE_SQL |= {
+    "nodal_efficiency": sql(GRAPH + _distances(), f"SELECT n.net, n.node, {six('coalesce(sum(1 / d), 0.0) / (any_value(n_nodes) - 1)')} AS nodal_efficiency FROM nodes n JOIN sizes USING (net) LEFT JOIN dist ON n.net = dist.net AND n.node = dist.a GROUP BY n.net, n.node"),
+    "closeness": sql(GRAPH + _distances(), f"SELECT n.net, n.node, {six('coalesce(count(d) / nullif(sum(d), 0), 0.0)')} AS closeness FROM nodes n LEFT JOIN dist ON n.net = dist.net AND n.node = dist.a GROUP BY n.net, n.node"),
+    "synthetic_source": "SELECT unnest(['1', '2']) AS level, CAST(2500 AS BIGINT) AS cells, CAST(100 AS BIGINT) AS regions",
+    "community_metrics_levels": sql(
+        _LEVELS + "," + BYCOMM + "," + _gateway("p", ">") + "," + _gateway("n", "<") + f""",
+vp AS (SELECT net, node, sp, sq, CASE WHEN sp > 0 THEN 1 - p2 / (sp * sp) ELSE 0 END AS a, CASE WHEN sq > 0 THEN 1 - q2 / (sq * sq) ELSE 0 END AS b FROM bt),
+vd AS (
+  SELECT bc.net, bc.node, any_value(sp) AS sp, any_value(sq) AS sq, sum({_LN.format("p", "sp")}) / ln(any_value(m)) AS a, sum({_LN.format("q", "sq")}) / ln(any_value(m)) AS b
+  FROM bc JOIN bt ON bc.net = bt.net AND bc.node = bt.node JOIN (SELECT net, count(DISTINCT comm) AS m FROM memb GROUP BY net) c ON bc.net = c.net GROUP BY ALL),
+vg AS (
+  SELECT coalesce(gp.net, gn.net) AS net, coalesce(gp.node, gn.node) AS node, coalesce(gp.gw, 0.0) AS a, coalesce(gn.gw, 0.0) AS b, coalesce(gp.s, 0.0) AS sp, coalesce(gn.s, 0.0) AS sq
+  FROM gp FULL JOIN gn ON gp.net = gn.net AND gp.node = gn.node),
+ih AS (SELECT h.net, h.node, weight FROM half h JOIN memb a ON h.net = a.net AND h.node = a.node JOIN memb b ON h.net = b.net AND h.other = b.node AND a.comm = b.comm),
+cs AS (SELECT net, node, comm, count(*) OVER (PARTITION BY net, comm) AS nn FROM memb),
+ipq AS (SELECT cs.net, cs.node, cs.comm, any_value(nn) AS nn, coalesce(sum(greatest(weight, 0.0)), 0.0) AS p, coalesce(sum(greatest(-weight, 0.0)), 0.0) AS q FROM cs LEFT JOIN ih ON cs.net = ih.net AND cs.node = ih.node GROUP BY cs.net, cs.node, cs.comm)""",
+        f"""SELECT i.net, i.node, i.comm, {six("p.v")} AS participation, {six("d.v")} AS diversity, {six("g.v")} AS gateway,
+       {six("coalesce(coalesce(i.p / nullif(nn - 1, 0), 0.0) - i.q / nullif(i.p + i.q, 0) * coalesce(i.q / nullif(nn - 1, 0), 0.0), 0.0)")} AS wcs
+FROM ipq i JOIN {_value("a", "b", "vp")} p USING (net, node) JOIN {_value("a", "b", "vd")} d USING (net, node) JOIN {_value("a", "b", "vg")} g USING (net, node)""",
+    ),
+}
