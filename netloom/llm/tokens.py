@@ -8,6 +8,7 @@ fall apart again where a token starts with a space. Texts with other white space
 
 from __future__ import annotations
 
+import json
 import os
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -42,6 +43,10 @@ class Encoder:
         self.width = np.dtype("<u2" if size <= 65536 else "<u4")
         #: Whether a token starts with a space, which byte-level vocabularies write as this letter.
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        model = json.loads(self.tokenizer.to_str())
+        before = model["pre_tokenizer"] or {}
+        #: Other kinds of vocabularies get whole texts.
+        self.cuttable = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model["normalizer"] is None
         special = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in special]
         #: Ids of cuts, by the cut without the space that it starts with.
@@ -105,7 +110,7 @@ class Encoder:
         return [kept[cut] if cut in kept else long[cut] for cut in cuts]
 
     def _group(self, group: list[str]) -> Iterator[np.ndarray]:
-        whole = [not text or _tangled(text) or any(s in text for s in self.special) for text in group]
+        whole = [not self.cuttable or not text or _tangled(text) or any(s in text for s in self.special) for text in group]
         cuts = pc.split_pattern(pa.array([text for w, text in zip(whole, group, strict=True) if not w], pa.large_string()), " ")
         begins = cuts.offsets.to_numpy()[:-1]
         coded = cuts.values.dictionary_encode()

@@ -33,6 +33,14 @@ def test_encoder_equals_library(library: Tokenizer) -> None:
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_get_whole_texts() -> None:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), Encoder(path)
+    assert not encoder.cuttable and Encoder(VOCAB).cuttable
+    for got, text in zip(encoder.encode(ODD), ODD, strict=True):
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 2), (4, 2)])
 def test_hilbert_neighbours_are_adjacent(dims: int, bits: int) -> None:
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
