@@ -33,7 +33,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
+    """The cells with zeros for absent ones. The aggregate is small against its input and read three times: once for
+    samples, regions and values each, so it is written once."""
+    c = network.checkpointed(cells(spark, sf_dir))
     return prep.fill_absent(c, c, c)
 
 
