@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: White space and words as the contracts define them (bytes 20 and 09 to 0D).
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +61,21 @@ def short_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, rows)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: one operator's cache at a time. Workers are reused, and the caches of
+    several operators together would not fit beside the executor's heap; another name frees what was kept."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not on every platform
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

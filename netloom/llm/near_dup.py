@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import short_batches, stored
+from netloom.llm.common import short_batches, stored, worker_cache
 from netloom.llm.components import components
 
 WORDS, BANDS, ROWS, BATCH = 5, 32, 4, 32
@@ -54,9 +54,6 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -68,7 +65,7 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     n = max(len(words) - k + 1, 1)
     out = np.full(n, np.uint64(min(len(words), k)))
     for j in range(min(len(words), k)):
@@ -279,7 +276,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-4, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df."""
     short_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from netloom.llm.common import worker_cache
+
 #: Cuts kept in a worker, about 200 bytes each, and the longest cut that is kept.
 CUTS_KEPT, LONGEST_KEPT = 600_000, 48
 #: Characters of the texts that are encoded together.
 GROUP_CHARS = 4_000_000
 #: White space other than the space.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def _tangled(text: str) -> bool:
@@ -55,9 +56,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        return worker_cache(f"encoder {path}", lambda: cls(path))
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
