@@ -5,8 +5,9 @@ goes to the others by weight. Within a source, documents are range-sorted by a s
 their word counts cut the order exactly at the budget. Budgets above a source's size repeat it whole first.
 
 Defined results: null text has no words; a null source is a source of its own, last in order; a null identifier hashes
-as the empty string; repeated rows count each for itself, in any order among them; a source without words has target 0;
-an empty table gives no rows; other columns are not looked at, whatever their names.
+as the empty string; repeated rows count each for itself, in any order among them; rows that share an identifier, or
+have none, are taken each by its own source and place; a source without words has target 0; an empty table gives no
+rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.common import SPACE_RUN, SPACES, n_words, placed, with_prefix
+from netloom.llm.common import SPACE_RUN, SPACES, n_words, placed, stored, with_prefix
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int = 3) -> DataFrame:
@@ -42,17 +43,17 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int =
     return s.select("source", "source_size", target.alias("target"), F.floor(target + 0.5).cast("long").alias("budget"))
 
 
-def _mixed(df: DataFrame, weights: Sequence[int], epochs: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _mixed(df: DataFrame, weights: Sequence[int], epochs: int, seed: int, id_col: str, text_col: str, source_col: str, row: Sequence[str] = ()) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
-    order = ["key", "doc_id", "size"]
+    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), *row)
+    order = ["key", "doc_id", "size", *row]
     table = placed(narrow, order, ["source"], tag="mix")
     plan = targets(table.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     plan = plan.withColumnRenamed("source", "plan_source")
     ran = with_prefix(table, order, {"before": "size"}, ["source"]).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     whole = F.when(F.col("source_size") > 0, F.expr("budget DIV greatest(source_size, 1)")).otherwise(F.lit(0).cast("long"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - whole * F.col("source_size") - F.col("before")))
-    return ran.select("doc_id", "size", "source_size", "target", whole.alias("whole"), part.cast("long").alias("part"))
+    return ran.select("doc_id", "size", "source_size", "target", whole.alias("whole"), part.cast("long").alias("part"), *row)
 
 
 def mix(df: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -69,13 +70,13 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_rows(df: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself, with the columns of df: a row for each time a document is taken whole, and one with its first
-    words for the document that the budget cuts. Identifiers should be unique and not null: rows that share one all
-    get what the first of them gets; rows without one are left out."""
-    taken = _mixed(df, weights, epochs, seed, id_col, text_col, source_col)
-    per_doc = taken.filter("doc_id IS NOT NULL AND (whole > 0 OR part > 0)").groupBy("doc_id").agg(F.max(F.struct("whole", "part", "size")).alias("m"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_mix_id"), F.expr("CAST(m.whole + IF(m.part = m.size AND m.size > 0, 1, 0) AS INT)").alias("_mix_n"), F.expr("IF(m.part < m.size, m.part, 0)").alias("_mix_part"))
-    rows = df.join(per_doc, F.col(id_col) == F.col("_mix_id"))
-    times = F.expr("sequence(1, _mix_n + IF(_mix_part > 0, 1, 0))")
-    rows = rows.filter("_mix_n > 0 OR _mix_part > 0").withColumn("_mix_k", F.explode(times))
-    cut = F.col("_mix_k") > F.col("_mix_n")
-    return rows.select(*(F.when(cut, first_words(F.col(text_col), F.col("_mix_part"))).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in df.columns))
+    words for the document that the budget cuts. What is taken goes by stored row keys: identifiers may repeat or be
+    null."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    of = dict(zip(df.columns, names, strict=True))
+    keyed = stored(df.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    taken = _mixed(keyed, weights, epochs, seed, of[id_col], of[text_col], of[source_col], ["row"]).filter("whole > 0 OR part > 0")
+    per_row = taken.select("row", F.expr("CAST(whole + IF(part = size AND size > 0, 1, 0) AS INT)").alias("n"), F.expr("IF(part < size, part, 0)").alias("first"))
+    rows = keyed.join(per_row, "row").filter("n > 0 OR first > 0").withColumn("k", F.explode(F.expr("sequence(1, n + IF(first > 0, 1, 0))")))
+    text = F.when(F.col("k") > F.col("n"), first_words(F.col(of[text_col]), F.col("first"))).otherwise(F.col(of[text_col]))
+    return rows.select(*((text if c == text_col else F.col(n)).alias(c) for n, c in zip(names, df.columns, strict=True)))

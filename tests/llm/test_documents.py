@@ -191,6 +191,24 @@ def test_mix_edges(spark, edges) -> None:  # noqa: ANN001
     assert mixed_rows(edges).columns == edges.columns
 
 
+def test_mixed_rows_with_shared_and_null_identifiers(spark) -> None:  # noqa: ANN001
+    rng = random.Random(11)
+    rows = [(rng.choice([None, k % 40]), f"row{k} " + " ".join(["w"] * rng.randint(0, 30)), s) for s in ("a", "b", "c") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").select("doc_id", "text", F.col("row").alias("source"), F.lit(1).alias("row"))
+    budget, size, taken = {}, defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    for r in targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect():
+        budget[r["source"]] = r["budget"]
+    seen = Counter()
+    for r in mixed_rows(df).collect():
+        taken[r["source"]] += len(r["text"].split())
+        seen[(r["doc_id"], r["source"], r["text"].split()[0])] += 1
+    assert taken == budget
+    whole = {s: budget[s] // size[s] for s in size}
+    assert all(whole[s] <= seen[(d, s, t.split()[0])] <= whole[s] + 1 for d, t, s in rows)
+
+
 # Sharding.
 
 
