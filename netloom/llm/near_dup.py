@@ -2,9 +2,9 @@
 
 1. One pass over whole texts hashes each document's distinct shingles (five words; the whole sequence where there are
    fewer) to 64 bits, and gives a digest of the set and a MinHash signature. Documents with equal sets are one class
-   from here on, with the smallest identifier as its name.
+   from here on, named by the smallest of its stored row keys; identifiers only come back in the output.
 2. Signatures are cut into bands; classes that share a band are candidates. A band's classes are not paired with each
-   other: all are compared with the smallest (its pivot), which is linear in a band's size.
+   other: all are compared with the one of the smallest identifier (its pivot), which is linear in a band's size.
 3. Candidates' signatures are compared batch by batch. With a uniform prior the similarity after m of n equal values is
    Beta(m + 1, n - m + 1); a pair goes as soon as the chance that it reaches the threshold is below `miss`.
 4. Surviving candidates are verified exactly on full shingle sets; verified links give components.
@@ -17,8 +17,9 @@
 With 32 bands of 4 values a pair at similarity 0.75 shares no band with probability 5e-6.
 
 Defined results: null and word-less texts have an empty set and stand alone; a null identifier never names a component
-unless its class has no other; rows that share an identifier are judged each by its own text; repeated rows have equal
-sets and so one component; an empty table gives no rows; other columns are not looked at.
+unless it has no other; rows that share an identifier are judged each by its own text; repeated rows have equal sets and
+so one component; of each component exactly one row is kept, one with the smallest identifier; an empty table gives no
+rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -105,16 +106,16 @@ def _fingerprints(df: DataFrame, seed: int) -> DataFrame:
         a, b = _coefficients(seed)
         for batch in batches:
             size, low, high, sig = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 size.append(len(s))
                 low.append((d & (1 << 64) - 1) - (1 << 63))
                 high.append((d >> 64) - (1 << 63))
                 sig.append(signature(s, a, b).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "high", "low", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sig, pa.binary())], names=["row", "doc_id", "n_shingles", "high", "low", "sig"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, high long, low long, sig binary")
+    return df.mapInArrow(run, "row long, doc_id long, n_shingles long, high long, low long, sig binary")
 
 
 def _band_keys(sig: np.ndarray) -> np.ndarray:
@@ -131,14 +132,16 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """band, rep: a row for each class and band."""
+    """band, rep, rank: a row for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = _band_keys(_signatures(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in (0, 2))], names=["band", "rep", "rank"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "band long, rep long")
+    # The order in which pivots are chosen, by identifier; any order gives right results.
+    rank = F.coalesce("lead.doc_id", F.lit(1 << 62) + F.col("lead.row"))
+    return classes.select("rep", "sig", rank.alias("rank")).mapInArrow(run, "band long, rep long, rank long")
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -206,8 +209,27 @@ def _matching(band: int, rep: np.ndarray, label: np.ndarray, block: np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
+def _forest(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of links, those that join what earlier ones do not: the same components with fewer links than nodes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    out = []
+    for u, v in links:
+        x, y = root(u), root(v)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((u, v))
+    return out
+
+
 def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct: int, miss: float) -> DataFrame:
-    """u, v of the verified links between classes that share a band of told (band, rep, label) under different labels."""
+    """u, v of verified links that join all linked classes that share a band of told (band, rep, label) under different labels."""
     least = [(n, least_matches(n, threshold_pct / 100, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
     key = ["band", "low", "high"]
 
@@ -226,7 +248,7 @@ def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _groups(batches, 3):
             sets = {rep: shingles(text) for p in parts for rep, text in zip(p.column(3).to_pylist(), p.column(5).to_pylist(), strict=True)}
-            found = [(rep, other) for p in parts for rep, others in zip(p.column(3).to_pylist(), p.column(4).to_pylist(), strict=True) for other in others if _linked(sets[rep], sets[other], threshold_pct)]
+            found = _forest((rep, other) for p in parts for rep, others in zip(p.column(3).to_pylist(), p.column(4).to_pylist(), strict=True) for other in others if _linked(sets[rep], sets[other], threshold_pct))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
 
@@ -237,7 +259,7 @@ def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct
     rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "label", "block")
     rows = rows.join(classes.select("rep", "sig"), "rep").select(*key, "rep", "label", "block", "sig")
     noted = stored(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(note, "band long, low long, high long, rep long, partners array<long>"), "noted")
-    texts = noted.join(_maybe_needed(docs, noted.select(F.col("rep").alias("id"))), F.col("rep") == F.col("doc_id")).select(*key, "rep", "partners", "text")
+    texts = noted.join(_maybe_needed(docs, noted.select(F.col("rep").alias("id"))), F.col("rep") == F.col("row")).select(*key, "rep", "partners", "text")
     return texts.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "u long, v long").distinct()
 
 
@@ -247,13 +269,13 @@ def _linked(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
 
 
 def _maybe_needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be among ids, by a bit table that is broadcast: at most FILTER_BITS / 64 rows of
+    """The rows of docs whose key may be among ids, by a bit table that is broadcast: at most FILTER_BITS / 64 rows of
     16 bytes, 4 MB. All ids pass; others pass seldom while ids are few against the bits, so few texts are shuffled, and
     always when they are many, which costs the shuffle of all texts but no row."""
     word, bit = "CAST(pmod(xxhash64({0}), {1}) DIV 64 AS INT)", "shiftleft(CAST(1 AS BIGINT), CAST(pmod(xxhash64({0}), 64) AS INT))"
     bits = ids.select(F.expr(word.format("id", FILTER_BITS)).alias("_word"), F.expr(bit.format("id")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
-    of = docs.withColumn("_w", F.expr(word.format("doc_id", FILTER_BITS))).join(F.broadcast(bits), F.col("_w") == F.col("_word"))
-    return of.filter(F.expr(f"(_mask & {bit.format('doc_id')}) != 0")).select("doc_id", "text")
+    of = docs.withColumn("_w", F.expr(word.format("row", FILTER_BITS))).join(F.broadcast(bits), F.col("_w") == F.col("_word"))
+    return of.filter(F.expr(f"(_mask & {bit.format('row')}) != 0")).select("row", "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
@@ -271,21 +293,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
                 keep.append(_linked(left, shingles(y), pct))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["u", "v"])
 
-    with_b = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = pairs.select("a", "b").join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of df."""
-    short_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _judged(docs: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed: int = 0) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept for each row of docs (row, doc_id, text), whose keys are stored."""
+    short_batches(docs.sparkSession)
     prints = stored(_fingerprints(docs, seed), "prints")
-    found = prints.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(found.groupBy("high", "low", "sig").agg(F.min("doc_id").alias("rep")), "classes")
+    named_by = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = stored(prints.filter("sig IS NOT NULL").groupBy("high", "low", "sig").agg(F.min("row").alias("rep"), named_by.alias("lead")), "classes")
     bands = _banded(classes)
-    crowded = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot != top")
-    members = stored(bands.join(crowded.select("band", "pivot"), "band"), "bands")
+    crowded = bands.groupBy("band").agg(F.min_by("rep", "rank").alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("top")).filter("low != top")
+    members = stored(bands.drop("rank").join(crowded.select("band", "pivot"), "band"), "bands")
     star = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = stored(_promising(star, classes, threshold_pct / 100, miss), "star")
     first = stored(_verified(star.select("a", "b"), docs, threshold_pct), "links")
@@ -297,13 +318,25 @@ def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-9,
     second = _between(stored(told.join(mixed, "band", "left_semi"), "mixed"), classes, docs, threshold_pct, miss)
     final = components(first.unionByName(second))
 
-    named = classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep").join(final, F.col("rep") == F.col("node"), "left").select("h", "l", F.coalesce("component", "rep").alias("name"))
-    rows = prints.select("doc_id", "n_shingles", "high", "low").join(named, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce("name", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep", "lead").join(final, F.col("rep") == F.col("node"), "left").select("h", "l", "lead", F.coalesce("component", "rep").alias("name"))
+    named = named.join(named.groupBy("name").agg(F.min("lead").alias("first")), "name").select("h", "l", "first")
+    rows = prints.select("row", "doc_id", "n_shingles", "high", "low").join(named, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
+    alone = F.col("first").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return rows.select("row", "doc_id", "n_shingles", component.alias("component_id"), (alone | F.col("row").eqNullSafe(F.col("first.row"))).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of df."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _judged(stored(docs, "docs").select("row", "doc_id", "text"), threshold_pct, miss, seed).drop("row")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """The rows of df that name their component, all columns as they were. Rows without an identifier stay."""
-    gone = near_duplicates(df, id_col=id_col, text_col=text_col, **options).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of df that are kept, one of each component, all columns as they were."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    of = dict(zip(df.columns, names, strict=True))
+    keyed = stored(df.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    docs = keyed.select("row", F.col(of[id_col]).cast("long").alias("doc_id"), F.col(of[text_col]).alias("text"))
+    gone = _judged(docs, **options).filter("NOT kept").select("row")
+    return keyed.join(gone, "row", "left_anti").select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)))

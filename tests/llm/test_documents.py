@@ -131,6 +131,17 @@ def test_near_duplicates_edges(spark, edges) -> None:  # noqa: ANN001
     assert drop_near_duplicates(edges).columns == edges.columns
 
 
+def test_near_duplicates_with_shared_and_null_identifiers(spark) -> None:  # noqa: ANN001
+    near, own = _copies(7, 6, (1, 1)), [t for k in range(20, 24) for t in _copies(k, 1, (0, 0))]
+    rows = [(2, near[0]), (7, near[1]), (7, own[0]), (7, own[1]), (None, near[2]), (None, near[3]), (2, own[2]), (None, own[3]), (9, near[4]), (9, near[5]), (None, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))
+    want = Counter([(2, near[0]), *(r for r in rows if r[1] not in near)])
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect())
+    assert got == Counter([(2, 2, True), (7, 2, False), (None, 2, False), (None, 2, False), (9, 2, False), (9, 2, False), (7, 7, True), (7, 7, True), (2, 2, True), (None, None, True), (None, None, True), (9, 9, True)])
+
+
 def test_pruning_bounds() -> None:
     least = [least_matches(n, 0.75, 1e-4) for n in (32, 64, 96, 128)]
     assert least == sorted(least) and all(m < 0.75 * n for m, n in zip(least, (32, 64, 96, 128), strict=True))
