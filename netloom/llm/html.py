@@ -3,13 +3,14 @@
 Suffix arrays alone do not give right results: passages that several articles share are removed with the boilerplate,
 and menus or adverts that differ from page to page stay (README has figures). So elements decide where a page has an
 article or main element: its blocks are kept, without the menus, headers, footers, sidebars, notices, adverts, forms and
-comments inside it. Pages without such an element are decided by the host: the token streams of its distinct pages are
-cut into suffixes, suffixes are range-sorted by host and their first `depth` tokens, runs of equal neighbours from
-distinct pages mark repeated substrings, and tokens that they cover are removed; the unique runs stay.
+comments inside it. Pages without such an element are decided by the host: near copies (verified as in near dedup) count
+as one page; the token streams are cut into all their windows of `depth` tokens, and a window is boilerplate if it is
+found on a tenth of the host's distinct pages, at least three; a whole block may be on two. Tokens that boilerplate covers
+are removed; the runs of the others stay. Where two pages or near copies are all that a host has, nothing is removed.
 
-A suffix array that is cut at `depth` finds the same covered tokens as a whole one, since a repeated substring of at
-least that length is covered by its windows. Its key has host and window, so a hot host is many keys; a hot window is
-reduced to two page digests in each map task before it is moved.
+Windows of `depth` tokens find the same covered tokens as a whole suffix array, since a repeated substring of at least
+that length is covered by its windows. Pages are counted by host, window and page first, so a hot host or window is many
+keys.
 
 Defined results: null html gives an empty text; a null address is a host of its own; a null identifier passes through;
 repeated rows count as one page for repetition and each get a row; an empty table gives no rows; other columns are not
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import short_batches, stored
+from netloom.llm.near_dup import near_duplicates
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s|/)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -45,6 +47,9 @@ _HINT = re.compile(
 )
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respond)(?=$|[\s_-])", re.I)
 
+#: The share of a host's distinct pages from which a repeated substring is boilerplate.
+SHARE = 0.1
+
 
 def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is left out, and whether its role makes it the main part."""
@@ -139,21 +144,30 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "page_id long, url string, text string, blocks array<string>")
 
 
-def unique_runs(pages: DataFrame, depth: int = 8, least_run: int = 1) -> DataFrame:
+def unique_runs(pages: DataFrame, depth: int = 8, least_run: int = 1, share: float = 0.0, least_pages: int = 2, copy_col: str | None = None) -> DataFrame:
     """row, text: of pages (row, host, blocks), what host suffix arrays leave. `depth`: tokens that a repeated substring
-    has at least. Tokens covered by one that is found in distinct pages of the host go; of the others, runs inside a
-    block of at least `least_run` tokens stay, and blocks are joined by an empty line."""
+    has at least. Tokens covered by one that is found in `share` of the host's distinct pages, at least `least_pages`, go,
+    and so do whole blocks found in that share and on two; rows with one value of `copy_col` count as one page. Of the
+    other tokens, runs inside a block of at least `least_run` stay, and blocks are joined by an empty line."""
     tokens = F.flatten(F.transform("blocks", lambda b, k: F.transform(F.split(b, " "), lambda w: F.struct(k.alias("block"), w.alias("word")))))
-    p = pages.select("row", F.coalesce("host", F.lit("")).alias("host"), tokens.alias("t"), F.xxhash64("blocks").alias("digest"))
+    p = pages.select("row", F.coalesce("host", F.lit("")).alias("host"), "blocks", tokens.alias("t"), (F.xxhash64("blocks") if copy_col is None else F.col(copy_col)).alias("digest"))
     words = F.transform("t", lambda x: x["word"])
-    p = p.select("row", "host", "t", "digest", words.alias("words"))
+    p = p.select("row", "host", "blocks", "t", "digest", words.alias("words"))
     # Windows are made inside their row: an exploded row holds its own window only, never the page.
     window = F.transform(F.sequence(F.lit(1), F.size("words") - (depth - 1)), lambda at: F.struct(at.alias("at"), F.array_join(F.slice("words", at, F.lit(depth)), " ").alias("key")))
     suffixes = p.filter(F.size("words") >= depth).select("row", "host", "digest", F.explode(window).alias("s")).select("row", "host", "digest", "s.at", "s.key")
-    # Equal keys of distinct pages: neighbours in the sorted suffixes.
-    repeated = suffixes.repartitionByRange("host", "key").sortWithinPartitions("host", "key").groupBy("host", "key").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("host", "key")
-    hits = suffixes.join(repeated, ["host", "key"], "left_semi").select("row", F.explode(F.sequence(F.col("at") - 1, F.col("at") + (depth - 2))).alias("pos")).distinct()
+    of_host = p.select("host", "digest").distinct().groupBy("host").agg(F.ceil(F.count(F.lit(1)) * share).alias("least"))
+
+    def repeated(keys: DataFrame, least: int) -> DataFrame:
+        n = keys.select("host", "key", "digest").distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+        return n.join(of_host, "host").filter("n >= least").select("host", "key")
+
+    hits = suffixes.join(repeated(suffixes, least_pages), ["host", "key"], "left_semi").select("row", F.explode(F.sequence(F.col("at") - 1, F.col("at") + (depth - 2))).alias("pos")).distinct()
     each = p.select("row", F.posexplode("t").alias("pos", "tok")).join(hits, ["row", "pos"], "left_anti")
+    if least_pages > 2:
+        blocks = p.select("row", "host", "digest", F.posexplode("blocks").alias("block", "key")).filter(F.size(F.split("key", " ")) >= depth)
+        gone = blocks.join(repeated(blocks, 2), ["host", "key"], "left_semi").select("row", "block")
+        each = each.withColumn("block", F.col("tok.block")).join(gone, ["row", "block"], "left_anti")
     runs = each.groupBy("row", F.col("tok.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("tok.word").alias("word")))).alias("words"))
     runs = runs.filter(F.size("words") >= least_run).select("row", "block", F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("text"))
     return runs.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
@@ -167,5 +181,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
     undecided = parsed.filter("blocks IS NOT NULL").select("page_id", "url", host.alias("host"), "blocks", F.monotonically_increasing_id().alias("row"))
     undecided = stored(undecided, "undecided")
-    rest = undecided.select("row", "page_id", "url").join(unique_runs(undecided.select("row", "host", "blocks"), depth), "row", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    if undecided.isEmpty():
+        return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    copies = near_duplicates(undecided.select("row", F.array_join("blocks", " ").alias("text")), id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("copy"))
+    pages = undecided.select("row", "host", "blocks").join(copies, "row")
+    rest = undecided.select("row", "page_id", "url").join(unique_runs(pages, depth, share=SHARE, least_pages=3, copy_col="copy"), "row", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     return done.unionByName(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -41,6 +41,19 @@ def test_extract(spark) -> None:  # noqa: ANN001
     assert extract(df.limit(0)).count() == 0
 
 
+def test_near_copies_and_passages_are_not_boilerplate(spark) -> None:  # noqa: ANN001
+    boiler = "home news sport weather travel shop account help search"
+    body = [[f"b{k}x{i}" for i in range(30)] for k in range(3)]
+    near = [" ".join(w) for w in [*body[:2], ["changed", *body[2][1:]]]]
+    body = [" ".join(w) for w in body]
+    quote = " ".join(f"quoted{i}" for i in range(12))
+    texts = [body, near] + [[f"own{k} " + " ".join(f"o{k}x{i}" for i in range(20)) + (f" {quote} end{k}" if k < 2 else "")] for k in range(12)]
+    page = lambda t, top=boiler: f"<div>{top}</div>" + "".join(f"<p>{x}</p>" for x in t)
+    rows = [(k, "https://big.example/", page(t)) for k, t in enumerate(texts)] + [(50, "https://two.example/", page(body, "")), (51, "https://two.example/", page(near, ""))]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: "\n\n".join(t) for k, t in enumerate(texts)}, 50: "\n\n".join(body), 51: "\n\n".join(near)}
+
+
 def test_suffixes_against_brute_force(spark) -> None:  # noqa: ANN001
     import random
 
