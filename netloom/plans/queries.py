@@ -263,9 +263,8 @@ def pattern_trim(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def noncounted_child(spark: SparkSession, sf: str) -> DataFrame:
-    """Parents whose own suppliers count nothing in one status lose them."""
-    c = d.counts(spark, sf).filter("net = 'R' AND value < 0")
-    return hierarchy.drop_uncounted_children(d.tree(spark, sf), c.unionByName(d.counts(spark, sf).filter("id < 1005"))).select("id", "parent_id", "region")
+    """Parents whose children count nothing of their own lose them."""
+    return hierarchy.drop_uncounted_children(d.tree(spark, sf), d.counts(spark, sf)).select("id", "parent_id", "region")
 
 
 @query

@@ -364,3 +364,20 @@ def test_hubs_use_exact_names(spark) -> None:  # noqa: ANN001
     s = report.significant(spark.createDataFrame(rows, "contrast string, node string, metric string, diff double, p_value double"))
     score = _by(report.hubs(s), "score", "group")
     assert score == {"a": 1, "ab": -2, "b": 1}
+
+
+def test_noncounted_child_reads_all_counts(spark) -> None:  # noqa: ANN001
+    from netloom.plans import data, queries
+
+    sf = "/root/testdata/sf0.001"
+    tree = {r["id"]: r["parent_id"] for r in data.tree(spark, sf).collect()}
+    counted = {r["l_suppkey"] + 1000 for r in data.table(spark, sf, "lineitem").filter("l_quantity > 0").select("l_suppkey").distinct().collect()}
+    parents = {tree[k] for k in counted if k in tree}
+    assert max(counted) > 1005
+    assert {r["id"] for r in queries.noncounted_child(spark, sf).collect()} == {k for k, up in tree.items() if up is None or up in parents}
+
+
+def test_children_that_count_nothing_go(spark) -> None:  # noqa: ANN001
+    tree = spark.createDataFrame([(0, None, "root"), (1, 0, "a"), (2, 0, "b"), (3, 1, "a1"), (4, 1, "a2"), (5, 2, "b1")], "id long, parent_id long, region string")
+    values = spark.createDataFrame([(1, 5.0), (3, 0.0), (4, 2.0), (5, 0.0)], "id long, value double")
+    assert {r["id"] for r in hierarchy.drop_uncounted_children(tree, values).collect()} == {0, 1, 2, 3, 4}
