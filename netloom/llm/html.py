@@ -12,15 +12,17 @@ Windows of `depth` tokens find the same covered tokens as a whole suffix array,
 that length is covered by its windows. Pages are counted by host, window and page first, so a hot host or window is many
 keys.
 
-Defined results: null html gives an empty text; a null address is a host of its own; a null identifier passes through;
+Defined results: null html gives an empty text; markup that never ends takes the rest of the page with it; a null address is a host of its own; a null identifier passes through;
 repeated rows count as one page for repetition and each get a row; an empty table gives no rows; other columns are not
 looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +32,12 @@ from pyspark.sql import functions as F
 from netloom.llm.common import short_batches, stored
 from netloom.llm.near_dup import near_duplicates
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A tag: name and attributes as browsers read them. Every part is possessive, so each character is read once; a quote
+#: that is never closed is part of a name, and the tag ends at its next `>`.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?=>)|[^\s>\"'][^\s>]*+))?+)*+)>")
+_COMMENT_END = re.compile(r"--!?>")
+#: Decimal references too long for Python's integers.
+_LONG_REFERENCE = re.compile(r"&#([0-9]{8,});?")
 _ATTR = re.compile(r"(?:^|\s|/)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 #: Elements whose content is not markup.
 _RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed", "noframes"}
@@ -71,61 +78,105 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
     return False, main
 
 
+def _decoded(text: str) -> str:
+    """Character references decoded, white space as one space."""
+
+    def short(m: re.Match) -> str:
+        digits = m[1].lstrip("0")
+        return f"&#{digits or 0};" if len(digits) < 8 else "\ufffd"
+
+    return " ".join(html.unescape(_LONG_REFERENCE.sub(short, text) if "&#" in text else text).split())
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, tag) of each piece of markup; the tag is None for comments, declarations and raw content.
+
+    One forward pass. Markup that never ends takes all that follows it, as in browsers; no later place is tried for it
+    again, so a page's time grows with its length."""
+    at, end, last = 0, len(page), page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        after = page[start + 1 : start + 2]
+        named = page[start + 2 : start + 3] if after == "/" else after
+        if not (after in ("/", "!", "?") and after or named.isalpha() and named.isascii()):
+            at = start + 1
+            continue
+        tag = None
+        if start > last:
+            at = end
+        elif page.startswith("<!--", start):
+            if page.startswith((">", "->"), start + 4):
+                at = page.index(">", start) + 1
+            else:
+                close = _COMMENT_END.search(page, start + 4)
+                at = end if close is None else close.end()
+        elif named.isalpha() and named.isascii():
+            tag = _TAG.match(page, start)
+            at = end if tag is None else tag.end()
+        else:
+            at = page.index(">", start) + 1
+        yield start, at, tag
+        if tag is not None and not tag[1] and (name := tag[2].lower()) in _RAW:
+            close = _raw_end(name).search(page, at)
+            stop = -1 if close is None else page.find(">", close.end())
+            at = end if stop < 0 else stop + 1
+            yield tag.end(), at, None
+
+
+@functools.cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
 def page_blocks(page: str | None) -> tuple[bool, list[str]]:
     """Whether the structure decides, and the blocks in page order: of the articles, else of the main element, else of
     the body without what is marked as something else."""
     page = page or ""
     found: dict[str, list[str]] = {"article": [], "main": [], "body": []}
     stack: list[tuple[str, bool, str]] = []
+    # How many elements of a name are open: an end without a start is seen at once, and every start is closed once.
+    opened: Counter[str] = Counter()
     zone, out = "body", False
     text: list[str] = []
 
     def flush() -> None:
         if text:
-            block = " ".join(html.unescape("".join(text)).split())
+            block = _decoded("".join(text))
             text.clear()
             if block and not out:
                 found[zone].append(block)
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None or m.start() > at:
-            stop = end if m is None else m.start()
-            if not out:
-                text.append(page[at:stop])
-            if m is None:
-                break
-        at = m.end()
-        if m[2] is None:
+    at = 0
+    for start, after, m in _markup(page):
+        if start > at and not out:
+            text.append(page[at:start])
+        at = after
+        if m is None:
             continue
         tag = m[2].lower()
-        if tag in _RAW and not m[1]:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end if close is None else close.end()
-            continue
         if tag == "br":
             text.append(" ")
-            continue
         if tag not in _BLOCK:
             continue
         flush()
         if tag not in _NEST:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    _, out, zone = stack[k]
-                    del stack[k:]
+            while opened[tag]:
+                name, out, zone = stack.pop()
+                opened[name] -= 1
+                if name == tag:
                     break
         elif not m[3].endswith("/"):
             stack.append((tag, out, zone))
+            opened[tag] += 1
             dropped, main = _marks(tag, m[3])
             out = out or dropped or tag == "header" and zone == "body"
             if not out and tag == "article":
                 zone = "article"
             elif not out and (tag == "main" or main) and zone == "body":
                 zone = "main"
+    if not out:
+        text.append(page[at:])
     flush()
     for name in ("article", "main"):
         if found[name]:
