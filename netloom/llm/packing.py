@@ -5,26 +5,39 @@ ranked by its place on a Hilbert curve. Documents are range-sorted by that key (
 large group of copies is cut over many ranges), encoded, and laid one after another into sequences, cut wherever one
 fills up: neighbours on the curve share sequences, and only the last sequence of a range is padded.
 
+Long texts lie close together on the curve, so ranges of equal row counts would differ much in bytes. Ranges are cut at
+equal bytes instead: keys and lengths alone are range-sorted first, distributed prefix sums of the lengths give the first
+key of each range, and the texts then move once, straight to their range. The number of ranges grows with the bytes, so
+a task's share does not.
+
 Defined results: null text is the end id alone, at the curve's middle; null identifiers come first among ties; repeated
-rows are packed each; an empty table gives no rows; other columns are not looked at.
+rows are packed each, in one range where they share the identifier; a text longer than a range is a range of its own; an
+empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.common import short_batches, stored
+from netloom.llm.common import placed, short_batches, stored, with_prefix
 from netloom.llm.tokens import Encoder
 
 BUCKETS, DIMS, BITS = 256, 4, 15
+#: Bytes of texts in a range, and the most ranges: the first keys of all of them, 16 bytes each, go to the driver and to
+#: every task. Beyond that product ranges hold more bytes each; a task reads its range as a stream.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 100_000
+#: Stands for a null identifier in keys.
+NO_ID = -(1 << 63)
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -76,12 +89,35 @@ def curve_keys(texts: list[str | None], seed: int = 0) -> np.ndarray:
     return hilbert_key(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def pack(df: DataFrame, vocab: str, length: int = 2048, end_id: int = 1, with_ids: bool = False, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _range_starts(keys: DataFrame, range_bytes: int) -> list[tuple[int, int]]:
+    """The first (key, id) of each range but the first, of stored keys (key, id, bytes)."""
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    target = max(range_bytes, total // MOST_RANGES + 1)
+    order = ["key", "id"]
+    cut = with_prefix(placed(keys, order, tag="curve"), order, {"before": "bytes"})
+    starts = cut.groupBy(F.expr(f"before DIV {target}").alias("range")).agg(F.min(F.struct(*order)).alias("first"))
+    return sorted((r["first"]["key"], r["first"]["id"]) for r in starts.collect())[1:]
+
+
+def pack(df: DataFrame, vocab: str, length: int = 2048, end_id: int = 1, with_ids: bool = False, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for)."""
 
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array(curve_keys(batch.column(1).to_pylist(), seed), pa.int64())
+            # The end id counts too: empty texts are not free.
+            size = pc.add(pc.coalesce(pc.binary_length(batch.column(1)), 0), 1).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, pc.coalesce(batch.column(0), NO_ID), size], names=["key", "id", "bytes"])
+
+    short_batches(df.sparkSession)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    starts = _range_starts(stored(docs.mapInArrow(measured, "key long, id long, bytes long"), "keys"), range_bytes)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(curve_keys(batch.column(1).to_pylist(), seed), pa.int64())], names=["doc_id", "text", "key"])
+            keys = curve_keys(batch.column(1).to_pylist(), seed)
+            at = [bisect_right(starts, k) for k in zip(keys.tolist(), pc.coalesce(batch.column(0), NO_ID).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(at, pa.int32())], names=["doc_id", "text", "key", "range"])
 
     names = ["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "seq", "offset"]
     schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.int32()))] * with_ids)
@@ -109,11 +145,10 @@ def pack(df: DataFrame, vocab: str, length: int = 2048, end_id: int = 1, with_id
         if rows:
             yield written()
 
-    short_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(keyed, "doc_id long, text string, key long")
-    ranged = rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "text")
+    moved = docs.mapInArrow(keyed, "doc_id long, text string, key long, range int").repartitionById(len(starts) + 1, "range")
+    ranged = moved.sortWithinPartitions("key", "doc_id").select("doc_id", "text")
     pieces = stored(ranged.mapInArrow(laid, ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids), "pieces")
-    # A row for each range.
+    # A row for each range, at most MOST_RANGES.
     first = pieces.groupBy("part").agg((F.max("seq") + 1).alias("n")).select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first_id"))
     out = pieces.join(F.broadcast(first), F.col("part") == F.col("of"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first_id") + F.col("seq")).alias("sequence_id"), "offset", *(["ids"] if with_ids else []))

@@ -129,6 +129,27 @@ def test_pack(spark, library) -> None:  # noqa: ANN001
     assert used / (2048 * len({r["sequence_id"] for r in pieces})) > 0.9
 
 
+def test_ranges_hold_equal_bytes(spark, library, monkeypatch) -> None:  # noqa: ANN001
+    """Long texts and copies lie together on the curve, yet no range holds much more than its bytes."""
+    from netloom.llm import packing
+
+    rows = [(k, f"word{k % 7} " * 2000) for k in range(60)] + [(100 + k, "the same short text") for k in range(900)] + [(2000 + k, f"t{k} u{k * 7}") for k in range(300)]
+    held = []
+
+    def watched(df, tag):  # noqa: ANN001, ANN202
+        out = kept(df, tag)
+        if tag == "pieces":
+            held.extend(r["n"] for r in out.groupBy("part").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n").collect())
+        return out
+
+    kept = packing.stored
+    monkeypatch.setattr(packing, "stored", watched)
+    pieces = pack(spark.createDataFrame(rows, "doc_id long, text string"), VOCAB, with_ids=True, range_bytes=30_000).collect()
+    _check_pack(pieces, rows, library, 2048)
+    total = sum(len(t) + 1 for _, t in rows)
+    assert total / 30_000 * 0.6 <= len(held) <= total / 30_000 + 1
+
+
 def test_pack_edges(spark, library) -> None:  # noqa: ANN001
     rows = [(None, "a b"), (1, None), (2, "long " * 9000), (3, "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int")
