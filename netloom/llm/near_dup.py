@@ -12,7 +12,12 @@
    in blocks inside a task. A pair between components that passes 3 is noted in the row of its first class, in the
    first band that both share; texts then meet in the same blocks and are verified there. A large band is cut into
    blocks, and each two blocks meet in one task: no candidate pair that could join two components is left out, none is
-   ever a row of its own, and no task holds more than two blocks. Components of all verified links are the result.
+   ever a row of its own, and no task holds more than two blocks. Blocks grow with the root of a band's size, so the
+   rows of n classes are n ** 1.5 / 16 and no more than n ** 2 / 16384, and they hold a bounded number of shingles.
+   Components of all verified links are the result.
+
+Sets whose sizes differ by more than the threshold allows cannot be linked (the intersection is no larger than the
+smaller set, the union no smaller than the larger), so such pairs go before anything is compared.
 
 With 32 bands of 4 values a pair at similarity 0.75 shares no band with probability 5e-6.
 
@@ -29,15 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import short_batches, stored, worker_cache
 from netloom.llm.components import components
 
 WORDS, BANDS, ROWS, BATCH = 5, 32, 4, 32
-#: Classes of a band that are compared in one block.
+#: Classes of a band that are compared in one block: 16 times the root of the band's classes, within BLOCK and
+#: 32 * BLOCK. A block of texts to verify holds about BLOCK_SHINGLES shingles (8 bytes each), or one document.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
+#: Rows of a table of bands, 16 bytes each, that may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_BANDS = 1_000_000
 #: Bits of the table that tells which texts may be needed; its size does not depend on the data.
 FILTER_BITS = 1 << 24
 HASHES = BANDS * ROWS
@@ -132,16 +141,21 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """band, rep, rank: a row for each class and band."""
+    """band, rep, rank, size: a row for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = _band_keys(_signatures(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in (0, 2))], names=["band", "rep", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in (0, 2, 3))], names=["band", "rep", "rank", "size"])
 
     # The order in which pivots are chosen, by identifier; any order gives right results.
     rank = F.coalesce("lead.doc_id", F.lit(1 << 62) + F.col("lead.row"))
-    return classes.select("rep", "sig", rank.alias("rank")).mapInArrow(run, "band long, rep long, rank long")
+    return classes.select("rep", "sig", rank.alias("rank"), "size").mapInArrow(run, "band long, rep long, rank long, size long")
+
+
+def _may_link(x: str, y: str, pct: int) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * pct
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -184,21 +198,24 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield last, held
 
 
-def _matching(band: int, rep: np.ndarray, label: np.ndarray, block: np.ndarray, sig: np.ndarray, least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs with different labels (and, of two blocks, one in each) that pass every batch and share no
-    band before this one."""
+def _matching(band: int, rep: np.ndarray, label: np.ndarray, block: np.ndarray, size: np.ndarray, sig: np.ndarray, least: list[tuple[int, int]], pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs with different labels (and, of two blocks, one in each) whose sizes permit a link, that pass
+    every batch and share no band before this one."""
     left, right = [], []
     two = block.min() != block.max()
     bands = _band_keys(sig)
     own = int(np.flatnonzero(bands[0] == band)[0])
-    for at in range(0, len(rep), 32):
-        part = slice(at, at + 32)
+    step = max(1, min(32, (1 << 17) // len(rep)))
+    for at in range(0, len(rep), step):
+        part = slice(at, at + step)
         can = (label[part, None] != label[None, :]) & (rep[part, None] < rep[None, :])
+        can &= np.minimum(size[part, None], size[None, :]) * 100 >= np.maximum(size[part, None], size[None, :]) * pct
         if two:
             can &= block[part, None] != block[None, :]
-        matches, done = (sig[part, None, :BATCH] == sig[None, :, :BATCH]).sum(axis=2), BATCH
-        i, j = np.nonzero(can & (matches >= least[0][1]))
-        matches = matches[i, j]
+        i, j = np.nonzero(can)
+        matches, done = (sig[at + i, :BATCH] == sig[j, :BATCH]).sum(axis=1), BATCH
+        ok = matches >= least[0][1]
+        i, j, matches = i[ok], j[ok], matches[ok]
         for n, m in least[1:]:
             matches = matches + (sig[at + i, done:n] == sig[j, done:n]).sum(axis=1)
             ok = matches >= m
@@ -229,15 +246,16 @@ def _forest(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct: int, miss: float) -> DataFrame:
-    """u, v of verified links that join all linked classes that share a band of told (band, rep, label) under different labels."""
+    """u, v of verified links that join all linked classes that share a band of told (band, rep, label, size, blocks)
+    under different labels; blocks is the band's number of blocks."""
     least = [(n, least_matches(n, threshold_pct / 100, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
     key = ["band", "low", "high"]
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, parts in _groups(batches, 3):
-            rep, label, block = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (3, 4, 5))
-            sig = np.concatenate([_signatures(p.column(6)) for p in parts])
-            i, j = _matching(now[0], rep, label, block, sig, least)
+            rep, label, block, size = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (3, 4, 5, 6))
+            sig = np.concatenate([_signatures(p.column(7)) for p in parts])
+            i, j = _matching(now[0], rep, label, block, size, sig, least, threshold_pct)
             if not len(i):
                 continue
             places, at = np.unique(np.concatenate([i, j])), np.argsort(i, kind="stable")
@@ -252,12 +270,11 @@ def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
 
-    blocks = told.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    rows = told.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = told.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # In a band of one block a class is one row; else it is one row for each block that its own meets.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "label", "block")
-    rows = rows.join(classes.select("rep", "sig"), "rep").select(*key, "rep", "label", "block", "sig")
+    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "label", "block", "size")
+    rows = rows.join(classes.select("rep", "sig"), "rep").select(*key, "rep", "label", "block", "size", "sig")
     noted = stored(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(note, "band long, low long, high long, rep long, partners array<long>"), "noted")
     texts = noted.join(_maybe_needed(docs, noted.select(F.col("rep").alias("id"))), F.col("rep") == F.col("row")).select(*key, "rep", "partners", "text")
     return texts.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "u long, v long").distinct()
@@ -303,19 +320,24 @@ def _judged(docs: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed:
     short_batches(docs.sparkSession)
     prints = stored(_fingerprints(docs, seed), "prints")
     named_by = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = stored(prints.filter("sig IS NOT NULL").groupBy("high", "low", "sig").agg(F.min("row").alias("rep"), named_by.alias("lead")), "classes")
+    classes = stored(prints.filter("sig IS NOT NULL").groupBy("high", "low", "sig").agg(F.min("row").alias("rep"), named_by.alias("lead"), F.max("n_shingles").alias("size")), "classes")
     bands = _banded(classes)
-    crowded = bands.groupBy("band").agg(F.min_by("rep", "rank").alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("top")).filter("low != top")
-    members = stored(bands.drop("rank").join(crowded.select("band", "pivot"), "band"), "bands")
-    star = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    crowded = bands.groupBy("band").agg(F.min_by(F.struct("rep", "size"), "rank").alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("top")).filter("low != top")
+    members = stored(bands.drop("rank").join(crowded.select("band", F.col("pivot.rep").alias("pivot"), F.col("pivot.size").alias("pivot_size")), "band"), "bands")
+    star = members.filter("rep != pivot").filter(_may_link("size", "pivot_size", threshold_pct)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = stored(_promising(star, classes, threshold_pct / 100, miss), "star")
     first = stored(_verified(star.select("a", "b"), docs, threshold_pct), "links")
     labels = stored(components(first), "labels")
 
     # Bands that still hold more than one component; with two classes there is no pair left.
-    told = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = told.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y AND n > 2").select("band")
-    second = _between(stored(told.join(mixed, "band", "left_semi"), "mixed"), classes, docs, threshold_pct, miss)
+    told = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"), "size")
+    mixed = told.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).filter("x != y AND n > 2")
+    wide = F.least(F.greatest(F.lit(16.0) * F.sqrt("n"), F.lit(float(BLOCK))), F.lit(32.0 * BLOCK))
+    blocks = F.ceil(F.greatest(F.col("n") / wide, F.col("shingles") / F.lit(float(BLOCK_SHINGLES)))).cast("long")
+    mixed = stored(mixed.select("band", blocks.alias("blocks")), "mixed")
+    # Joined by a shuffle, all rows of a crowded band would be in one task.
+    told = told.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_BANDS else mixed, "band")
+    second = _between(told, classes, docs, threshold_pct, miss)
     final = components(first.unionByName(second))
 
     named = classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep", "lead").join(final, F.col("rep") == F.col("node"), "left").select("h", "l", "lead", F.coalesce("component", "rep").alias("name"))

@@ -123,6 +123,22 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch) -> None:  # noqa:
     assert {r["doc_id"]: r["component_id"] for r in got} == _brute(docs)
 
 
+def test_near_duplicates_in_a_crowded_band(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Texts that share a long template fall into common bands without being linked; links between them are found, with
+    small blocks, blocks of few shingles and bands joined by a shuffle."""
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 4000)
+    monkeypatch.setattr(nd, "BROADCAST_BANDS", 0)
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(120)]
+    texts = [" ".join(template + [f"o{k}x{i}" for i in range(70)]) for k in range(80)]
+    texts += [" ".join(template + [f"o{k}x{i}" for i in range(70 + rng.randint(0, 60))]) for k in range(0, 80, 3)]
+    texts += [" ".join(template + [f"o{k}x{i}" for i in range(55)] + ["end"] * 3) for k in range(0, 80, 7)]
+    docs = dict(enumerate(texts))
+    got = near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == _brute(docs)
+
+
 def test_near_duplicates_edges(spark, edges) -> None:  # noqa: ANN001
     got = near_duplicates(edges).collect()
     assert len(got) == len(EDGES)
