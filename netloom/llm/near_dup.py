@@ -45,7 +45,8 @@ WORDS, BANDS, ROWS, BATCH = 5, 32, 4, 32
 #: 32 * BLOCK. A block of texts to verify holds about BLOCK_SHINGLES shingles (8 bytes each), or one document.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
-#: Rows of a table of bands, 16 bytes each, that may be broadcast; larger ones are joined by a shuffle.
+#: Rows of a table of crowded bands or of large components, under 50 bytes each, that may be broadcast; larger ones are
+#: joined by a shuffle.
 BROADCAST_BANDS = 1_000_000
 #: Bits of the table that tells which texts may be needed; its size does not depend on the data.
 FILTER_BITS = 1 << 24
@@ -315,6 +316,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
+def _with_first(linked: DataFrame) -> DataFrame:
+    """h, l, first: the smallest lead of each name. Names of many classes are joined by a broadcast, since a shuffle
+    would bring all of their classes into one task."""
+    firsts = stored(linked.groupBy("name").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    large = firsts.filter(F.col("n") > BLOCK).select("name", "first")
+    if large.count() > BROADCAST_BANDS:
+        return linked.join(firsts, "name").select("h", "l", "first")
+    small = firsts.filter(F.col("n") <= BLOCK).select("name", "first")
+    rest = linked.join(F.broadcast(large.select("name")), "name", "left_anti").join(small, "name")
+    return linked.join(F.broadcast(large), "name").select("h", "l", "first").unionByName(rest.select("h", "l", "first"))
+
+
 def _judged(docs: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed: int = 0) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept for each row of docs (row, doc_id, text), whose keys are stored."""
     short_batches(docs.sparkSession)
@@ -340,8 +353,9 @@ def _judged(docs: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed:
     second = _between(told, classes, docs, threshold_pct, miss)
     final = components(first.unionByName(second))
 
-    named = classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep", "lead").join(final, F.col("rep") == F.col("node"), "left").select("h", "l", "lead", F.coalesce("component", "rep").alias("name"))
-    named = named.join(named.groupBy("name").agg(F.min("lead").alias("first")), "name").select("h", "l", "first")
+    of = classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep", "lead").join(final, F.col("rep") == F.col("node"), "left")
+    linked = of.filter("component IS NOT NULL").select("h", "l", "lead", F.col("component").alias("name"))
+    named = of.filter("component IS NULL").select("h", "l", F.col("lead").alias("first")).unionByName(_with_first(linked))
     rows = prints.select("row", "doc_id", "n_shingles", "high", "low").join(named, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
     alone = F.col("first").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
