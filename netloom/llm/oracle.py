@@ -108,37 +108,68 @@ FROM p LEFT JOIN g ON p.payload = g.payload
 
 
 def _licenses() -> str:
-    """TF-IDF cosine without anchors: every line and every text is scored against every template."""
-    from netloom.llm.licenses import TEMPLATES, terms
+    """TF-IDF cosine without anchors: every unit of every text is scored against every template."""
+    from netloom.llm.license_texts import RESERVATION, TEMPLATES
+    from netloom.llm.licenses import terms
 
-    rows = ", ".join(f"('{name}', '{t}')" for name, text in sorted(TEMPLATES.items()) for t in sorted(terms(text)))
+    rows = ", ".join(f"({k}, '{t.license}', '{term}', {n}, {int(term in t.must.split())})" for k, t in enumerate(TEMPLATES) for term, n in sorted(terms(t.text).items()))
+    musts = ", ".join(f"({k}, {len(set(t.must.split()))})" for k, t in enumerate(TEMPLATES))
+    term = r"'[a-z0-9]+(?:\.[0-9]+)*'"
     return rf"""
-WITH tt(name, term) AS (VALUES {rows}),
+WITH tt(t, name, term, n, must) AS (VALUES {rows}),
+musts(t, musts) AS (VALUES {musts}),
 d AS (
-  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+  SELECT doc_id, coalesce(text, '') AS text,
          source || '/' || regexp_replace(CAST(doc_id // 10 AS VARCHAR), '(.)', '\1/', 'g') || CAST(doc_id AS VARCHAR) AS path
   FROM documents),
-dt AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*'))) AS term FROM d),
+dt AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), {term}))) AS term FROM d),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
 idf AS (
   SELECT v.term, ln((1 + (SELECT n FROM n)) / (1 + count(dt.doc_id))) + 1 AS idf
   FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN dt ON v.term = dt.term GROUP BY v.term),
-tl AS (SELECT name, sqrt(sum(idf * idf)) AS tl FROM tt JOIN idf USING (term) GROUP BY name),
-u AS (
-  SELECT doc_id, k AS unit, k = 1 OR k = len(lines) AS edge, lines[k] AS text
-  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM d)
-  UNION ALL SELECT doc_id, 0, true, text FROM d WHERE len(lines) > 1),
-ut AS (SELECT doc_id, unit, edge, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*'))) AS term FROM u),
+tl AS (SELECT t, any_value(name) AS name, sqrt(sum((n * idf) ** 2)) AS tl FROM tt JOIN idf USING (term) GROUP BY t),
+l AS (
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line, len(ls) AS n_lines
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
+m AS (
+  SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word, regexp_matches(line, '[A-Za-z0-9]') AS alnum,
+         regexp_matches(line, '^[ \t]*(?://|/\*|\*|#|--|;|<!--|%|!)') AS sign
+  FROM l),
+lines AS (
+  SELECT doc_id, line AS text, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, count(*) OVER (PARTITION BY doc_id) AS many
+  FROM m WHERE has_word),
+gaps AS (
+  SELECT *, sum(CASE WHEN alnum THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS para,
+         sum(CASE WHEN sign THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run
+  FROM m),
+paras AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text, count(*) AS lines,
+         para = min(para) OVER (PARTITION BY doc_id) OR para = max(para) OVER (PARTITION BY doc_id) AS edge
+  FROM gaps WHERE alnum GROUP BY doc_id, para),
+runs AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text, count(*) FILTER (alnum) AS lines, min(k) <= 2 OR max(k) = any_value(n_lines) AS edge
+  FROM gaps WHERE sign GROUP BY doc_id, run),
+units AS (
+  SELECT doc_id, text, i = 1 OR i = many AS edge FROM lines
+  UNION ALL SELECT doc_id, text, edge FROM paras WHERE lines > 1
+  UNION ALL SELECT doc_id, text, edge FROM runs WHERE lines > 1
+  UNION ALL SELECT doc_id, text, true FROM d JOIN (SELECT DISTINCT doc_id FROM lines WHERE many > 1) USING (doc_id)),
+u AS (SELECT *, row_number() OVER () AS unit FROM units),
+ut AS (
+  SELECT doc_id, unit, edge, term, count(*) AS tf
+  FROM (SELECT doc_id, unit, edge, unnest(regexp_extract_all(lower(text), {term})) AS term FROM u) GROUP BY ALL),
 ul AS (
-  SELECT doc_id, unit, sqrt(sum(coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) ** 2)) AS ul
-  FROM ut LEFT JOIN idf USING (term) GROUP BY doc_id, unit),
+  SELECT unit, sqrt(sum((tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1)) ** 2)) AS ul
+  FROM ut LEFT JOIN idf USING (term) GROUP BY unit),
 dot AS (
-  SELECT doc_id, unit, edge, name, sum(idf * idf) / any_value(tl) AS dot
-  FROM ut JOIN tt USING (term) JOIN idf USING (term) JOIN tl USING (name) GROUP BY doc_id, unit, edge, name),
-c AS (SELECT doc_id, edge, name, round(dot / ul, 6) AS score FROM dot JOIN ul USING (doc_id, unit)),
+  SELECT doc_id, unit, edge, t, sum(tf * n * idf * idf) AS dot, sum(must) AS found
+  FROM ut JOIN tt USING (term) JOIN idf USING (term) GROUP BY doc_id, unit, edge, t),
+c AS (
+  SELECT doc_id, edge, name, tl, round(dot / tl / ul, 6) AS score
+  FROM dot JOIN musts USING (t) JOIN tl USING (t) JOIN ul USING (unit) WHERE found = musts),
 own AS (
   SELECT doc_id, name AS own_license, score AS own_score, edge FROM c WHERE score >= 0.7
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name, edge DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY name = '{RESERVATION}', round(score * score * tl, 4) DESC, name, score DESC, edge DESC) = 1),
 f AS (
   SELECT d.doc_id, d.path, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS folder, own_license, own_score, coalesce(edge, false) AS is_licence
   FROM d LEFT JOIN own USING (doc_id)),
