@@ -93,7 +93,7 @@ def _any_of(near: set[str]) -> str:
 
 
 def _units(d: DataFrame, pattern: str) -> DataFrame:
-    """id, file, unit, edge, terms of the units that hold an anchor, of rows (id, file, text)."""
+    """id, file, unit, edge, terms (term, tf) of the units that hold an anchor, of rows (id, file, text)."""
 
     def marked(parts: Column) -> Column:
         return F.transform(parts, lambda x, k: F.struct(x.alias("text"), ((k == 0) | (k == F.size(parts) - 1)).alias("edge")))
@@ -105,7 +105,16 @@ def _units(d: DataFrame, pattern: str) -> DataFrame:
     whole = F.when(F.size("lines") > 1, F.array(F.struct("text", F.lit(True).alias("edge")))).otherwise(F.array().cast("array<struct<text:string,edge:boolean>>"))
     d = d.select("id", "file", F.concat(marked(F.col("lines")), several, whole).alias("units"))
     each = d.select("id", "file", F.posexplode(F.filter("units", lambda u: u["text"].rlike(pattern))).alias("unit", "u"))
-    return each.select("id", "file", "unit", F.col("u.edge").alias("edge"), _terms(F.col("u.text")).alias("terms"))
+    return _counted(each.select("id", "file", "unit", F.col("u.edge").alias("edge"), F.sort_array(_terms(F.col("u.text"))).alias("terms")))
+
+
+def _counted(units: DataFrame) -> DataFrame:
+    """Sorted terms as an array of (term, tf). Counted inside the row: a shuffle by unit and term would move every term."""
+    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    units = units.withColumn("starts", F.when(F.size("terms") > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("terms")))
+    pairs = F.zip_with("starts", F.slice(ends, F.lit(1), F.size("starts")), lambda a, b: F.struct(F.get("terms", a).alias("term"), (b - a).alias("tf")))
+    return units.select("id", "file", "unit", "edge", pairs.alias("terms"))
 
 
 class Model(NamedTuple):
@@ -145,7 +154,8 @@ def _scored(files: DataFrame, model: Model) -> DataFrame:
     template_table = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, term, part, must)")
     rows = ", ".join(f"({k}, '{t.license}', {length[k]!r}D, {len(set(t.must.split()))}, {str(t.license == RESERVATION).lower()})" for k, t in enumerate(templates))
     names = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, name, size, musts, bare)")
-    sparse = units.select("id", "file", "unit", "edge", F.explode("terms").alias("term")).groupBy("id", "file", "unit", "edge", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # The rows of a unit stay in its task until they are summed there, so one row for each unit and template is moved.
+    sparse = units.select("id", "file", "unit", "edge", F.explode("terms").alias("x")).select("id", "file", "unit", "edge", "x.term", "x.tf")
     norm = sparse.join(F.broadcast(term_table), "term", "left").groupBy("file", "unit").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), F.lit(2.0)))).alias("norm"))
     dots = sparse.join(F.broadcast(template_table), "term").groupBy("id", "file", "unit", "edge", "template").agg(F.sum(F.col("tf") * F.col("part")).alias("dot"), F.sum("must").alias("found"))
     dots = dots.join(F.broadcast(names), "template").filter("found = musts")
