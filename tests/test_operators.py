@@ -214,10 +214,82 @@ def test_spectral_is_deterministic_and_order_free() -> None:
     assert (same(c)[np.ix_(order, order)] == same(d)).all()
 
 
+def _random_matrix(rng, n: int, signed: bool = False) -> np.ndarray:  # noqa: ANN001
+    a = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.7), 1) + np.triu(np.full((n, n), 0.01), 1)
+    a = a * np.where(rng.random((n, n)) < 0.3, -1, 1) if signed else a
+    return a + a.T
+
+
+def _all_partitions(n: int):  # noqa: ANN202
+    def grow(labels: list[int]):  # noqa: ANN202
+        if len(labels) == n:
+            yield np.array(labels)
+            return
+        for c in range(max(labels, default=-1) + 2):
+            yield from grow([*labels, c])
+
+    yield from grow([])
+
+
+def _quality(b: np.ndarray, c: np.ndarray) -> float:
+    return b[c[:, None] == c[None, :]].sum()
+
+
+def test_divisions_against_brute_force() -> None:
+    rng = np.random.default_rng(4)
+    for _ in range(25):
+        a = _random_matrix(rng, 7)
+        b = partition.modularity_b(a)
+        c = partition.spectral_partition(a)
+        best = max(_quality(b, p) for p in _all_partitions(7))
+        assert _quality(b, np.zeros(7, int)) - 1e-9 <= _quality(b, c) <= best + 1e-9
+        # The pass of flips never loses, and is no worse than any single flip.
+        side = np.where(rng.random(7) < 0.5, 1.0, -1.0)
+        sub = b - np.diag(b.sum(axis=0))
+        got = partition.flipped(sub, side)
+        single = [side * np.where(np.arange(7) == k, -1, 1) for k in range(7)]
+        assert got @ sub @ got >= max(s @ sub @ s for s in [side, *single]) - 1e-9
+    two = np.kron(np.eye(2), np.ones((4, 4))) - np.eye(8) + 0.01
+    assert partition.spectral_partition(two).tolist() == [0] * 4 + [1] * 4
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_negative_share_against_its_definition(signed: bool) -> None:
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        a = _random_matrix(rng, 8, signed)
+        i, j = np.triu_indices(8, 1)
+        x, p = a[i, j], (a - partition.modularity_b(a))[i, j]
+        share = partition.NegativeShare(a)
+
+        def plain(gamma: float, x: np.ndarray = x, p: np.ndarray = p) -> float:
+            v = gamma * p - x
+            return np.maximum(v, 0).sum() / np.abs(v).sum()
+
+        for gamma in [*rng.normal(1, 2, 30), *(share.events + 1e-9)]:
+            assert share.at(gamma) == pytest.approx(plain(gamma), abs=1e-9)
+        if not signed:
+            want = np.linspace(plain(share.events[0]) + 1e-6, 1 - 1e-6, 40)
+            gammas = share.inverse(want)
+            assert (np.diff(gammas) >= -1e-12).all()
+            assert [plain(g) for g in gammas] == pytest.approx(want.tolist(), abs=1e-8)
+            g = partition.event_gammas(a, n=12, low=0.5)
+            assert g["b"].iloc[0] == pytest.approx(plain(0.5)) and g["gamma"].iloc[-1] == pytest.approx(share.events[-1])
+
+
+def test_searches_and_objectives_of_ones_own(spark) -> None:  # noqa: ANN001
+    e, n = _graph(spark, TWO)
+    halves = lambda a, gamma, seed: np.arange(len(a)) % 2 + 10 * 0 * int(gamma)
+    got = {r["node"]: r["comm"] for r in partition.partition_runs(e, n, runs=2, optimizer=halves).collect()}
+    assert set(got.values()) == {1, 2}
+    a = np.kron(np.eye(2), np.ones((3, 3))) - np.eye(6)
+    assert partition.signed_louvain(a, 1.0, lambda m, gamma: m - 0.5 * gamma).tolist() == [0, 0, 0, 1, 1, 1]
+
+
 def test_gammas(spark) -> None:  # noqa: ANN001
     e, n = _graph(spark, TWO)
     r = partition.gamma_ranges(e, n).first()
-    assert 0 < r["gamma_min"] < r["gamma_max"]
+    assert 0 < r["gamma_min"] < r["gamma_max"] and r["converged"]
     g = partition.event_gammas(network.to_matrix(e.toPandas())[1], n=10, samples=10)
     assert len(g) == 10 and np.isfinite(g["gamma"]).all() and (np.diff(g["gamma"]) > -1e-9).all()
 
