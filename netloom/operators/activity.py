@@ -39,12 +39,12 @@ def welch_test(values: DataFrame, keys: Sequence[str], arm: str, confidence: flo
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ok = f["t"].notna() & f["df"].notna()
-            f["p"] = [t_two_sided(t, d) if k else None for t, d, k in zip(f["t"], f["df"], ok, strict=True)]
-            half = [abs(x / t) * t_quantile((1 + confidence) / 2, d) if k and t else None for x, t, d, k in zip(f["diff"], f["t"], f["df"], ok, strict=True)]
-            half = pd.Series(half, index=f.index, dtype=float)
+            t, df = f["t"].to_numpy(float), f["df"].to_numpy(float)
+            f["p"] = t_two_sided(t, df)
+            with np.errstate(all="ignore"):
+                half = np.where(t != 0, np.abs(f["diff"].to_numpy(float) / t), np.nan) * t_quantile((1 + confidence) / 2, df)
             f["lower"], f["upper"] = f["diff"] - half, f["diff"] + half
-            yield f
+            yield f.astype({c: object for c in ("p", "lower", "upper")}).where(f.notna(), None)
 
     return w.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in w.dtypes) + ", p double, lower double, upper double")
 
@@ -81,23 +81,21 @@ def regression_test(points: DataFrame, keys: Sequence[str], x: str, y: str, mode
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for b, se, t, n, fv, dev, null in zip(f["beta"], f["std_error"], f["t"], f["n"], f["f"], f["deviance"], f["null_deviance"], strict=True):
-                if not (n > 2 and np.isfinite(t)):
-                    out.append([None] * 6)
-                    continue
-                half = se * t_quantile(0.975, n - 2)
-                row = [t_two_sided(t, n - 2), b - half, b + half]
+            b, se, t, n, fv, dev, null = (f[c].to_numpy(float) for c in ("beta", "std_error", "t", "n", "f", "deviance", "null_deviance"))
+            ok = (n > 2) & np.isfinite(t)
+            df = np.where(ok, n - 2, np.nan)
+            half = se * t_quantile(0.975, df)
+            new = {"p": t_two_sided(t, df), "lower": b - half, "upper": b + half}
+            with np.errstate(all="ignore"):
                 if model == "lm":
-                    row += [f_upper(fv, 1, n - 2), None, None]
+                    new |= {"model_p": f_upper(fv, 1, df), "pseudo_r2": np.full(len(f), np.nan), "ratio_p": np.full(len(f), np.nan)}
                 else:
-                    ratio = n * np.log(null / dev)
                     # Likelihoods of Gaussian models; deviances over the dispersion are chi-squared.
-                    top = 1 - np.exp(-ratio / n)
-                    most = 1 - np.exp(-n * np.log(2 * np.pi * null / n) / n - 1)
-                    row += [chi2_upper((null - dev) / (dev / (n - 2)), 1), top / most if most > 0 else None, chi2_upper(ratio, 1)]
-                out.append(row)
-            f[["p", "lower", "upper", "model_p", "pseudo_r2", "ratio_p"]] = pd.DataFrame(out, index=f.index, dtype=float)
+                    ratio = n * np.log(null / dev)
+                    top, most = 1 - np.exp(-ratio / n), 1 - np.exp(-np.log(2 * np.pi * null / n) - 1)
+                    new |= {"model_p": chi2_upper((null - dev) / (dev / df), 1), "pseudo_r2": np.where(most > 0, top / most, np.nan), "ratio_p": chi2_upper(ratio, 1)}
+            for c, v in new.items():
+                f[c] = pd.Series(np.where(ok, v, np.nan), index=f.index).astype(object).where(ok & ~np.isnan(v), None)
             yield f
 
     return r.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in r.dtypes) + ", p double, lower double, upper double, model_p double, pseudo_r2 double, ratio_p double")

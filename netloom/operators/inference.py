@@ -6,6 +6,7 @@ is a network like any other: `net` is `rep|level`, and one job computes the metr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -144,38 +145,34 @@ def entropy_similarity(matrices: dict[str, np.ndarray], points: int = 1024, band
     return out
 
 
-def _dense(activity: DataFrame) -> tuple[list, list, np.ndarray]:
-    """samples, regions and the dense block of one experiment: as many cells as it has, the input of all replicates."""
-    pdf = activity.select("sample", "region", "value").toPandas().pivot_table(index="sample", columns="region", values="value", aggfunc="first").sort_index().sort_index(axis=1)
-    return pdf.index.tolist(), pdf.columns.tolist(), pdf.to_numpy(float)
+#: Permutations that one task makes of an experiment it has read, at least.
+PERMUTATIONS_A_TASK = 50
 
 
 def anogva(activity: DataFrame, samples: DataFrame, resamples: int = 10_000, seed: int = 0, pairwise: bool = True) -> DataFrame:
     """contrast, kl, p_value: spectral divergence between the levels' networks, over all levels and by pairs; p is the
     share of permutations with a larger divergence.
 
-    Replicates are spread over tasks; the experiment's dense block goes to each of them, so it has to fit a task."""
-    names, _, x = _dense(activity)
-    level_of = {r["sample"]: r["level"] for r in samples.select("sample", "level").distinct().collect()}
-    labels = np.array([level_of[n] for n in names])
-    levels = sorted(set(labels))
-    groups = {"all": levels} | ({f"{a} ~ {b}": [a, b] for i, a in enumerate(levels) for b in levels[i + 1 :]} if pairwise else {})
+    The experiment's cells go once to each block of permutations, so one experiment has to fit a task."""
     spark = activity.sparkSession
-    shared = spark.sparkContext.broadcast((x, labels))
-
-    def run(frames):  # noqa: ANN001, ANN202
-        x, labels = shared.value
-        for f in frames:
-            rows = []
-            for rep in f["id"]:
-                own = labels if rep == 0 else np.random.default_rng([seed, int(rep)]).permutation(labels)
-                with np.errstate(all="ignore"):
-                    nets = {lv: np.nan_to_num(np.corrcoef(x[own == lv], rowvar=False)) - np.eye(x.shape[1]) for lv in levels}
-                rows += [(int(rep), c, entropy_similarity({lv: nets[lv] for lv in g})["KL"]) for c, g in groups.items()]
-            yield pd.DataFrame(rows, columns=["rep", "contrast", "kl"])
-
-    parts = max(1, min(resamples + 1, spark.sparkContext.defaultParallelism * 4))
-    null = spark.range(0, resamples + 1, 1, parts).mapInPandas(run, "rep long, contrast string, kl double")
+    blocks = max(1, min(math.ceil((resamples + 1) / PERMUTATIONS_A_TASK), 1000))
+    labelled = activity.select("sample", "region", "value").join(samples.select("sample", "level").distinct(), "sample")
+    copies = labelled.crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="sample", columns="region", values="value", aggfunc="first").sort_index().sort_index(axis=1)
+        labels = pdf.drop_duplicates("sample").set_index("sample")["level"].reindex(wide.index).to_numpy(str)
+        x, levels = wide.to_numpy(float), sorted(set(labels))
+        groups = {"all": levels} | ({f"{a} ~ {b}": [a, b] for i, a in enumerate(levels) for b in levels[i + 1 :]} if pairwise else {})
+        rows = []
+        for rep in range(int(pdf["block"].iloc[0]), resamples + 1, blocks):
+            own = labels if rep == 0 else np.random.default_rng([seed, rep]).permutation(labels)
+            with np.errstate(all="ignore"):
+                nets = {lv: np.nan_to_num(np.corrcoef(x[own == lv], rowvar=False)) - np.eye(x.shape[1]) for lv in levels}
+            rows += [(rep, c, entropy_similarity({lv: nets[lv] for lv in g})["KL"]) for c, g in groups.items()]
+        return pd.DataFrame(rows, columns=["rep", "contrast", "kl"])
+
+    null = copies.groupBy("block").applyInPandas(run, "rep long, contrast string, kl double")
     w = W.partitionBy("contrast")
     real = null.withColumn("real", F.max(F.when(F.col("rep") == 0, F.col("kl"))).over(w)).filter("rep > 0")
     return real.groupBy("contrast", F.col("real").alias("kl")).agg(F.avg((F.col("kl") > F.col("real")).cast("double")).alias("p_value")).select("contrast", "kl", "p_value")

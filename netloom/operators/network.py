@@ -6,6 +6,9 @@ map task. For many more samples than regions `gram_edges` moves one matrix for e
 
 from __future__ import annotations
 
+import hashlib
+import math
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -59,11 +62,11 @@ def with_p(edges: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def p(r: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for x, m in zip(r, n, strict=True):
-            ok = x is not None and np.isfinite(x) and m > 2
-            out.append((0.0 if abs(x) >= 1 else t_two_sided(x * np.sqrt((m - 2) / (1 - x * x)), m - 2)) if ok else None)
-        return pd.Series(out, dtype=object).astype(float)
+        x, df = r.to_numpy(float), n.to_numpy(float) - 2
+        inside = (np.abs(x) < 1) & (df > 0)
+        safe = np.where(inside, x, 0.0)
+        out = t_two_sided(safe * np.sqrt(np.where(inside, df, 1.0) / (1 - safe * safe)), df)
+        return pd.Series(np.where(inside, out, np.where((np.abs(x) >= 1) & (df > 0) & np.isfinite(x), 0.0, np.nan)))
 
     return edges.withColumn("p", p("r", "n")).withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
 
@@ -98,7 +101,8 @@ def threshold(edges: DataFrame, kind: str, cuts: Sequence[float]) -> DataFrame:
         many = many.join(F.broadcast(table), ["n", "cut"])
         passes = F.abs("r") > F.col("limit")
     elif kind == "cost":
-        limits = many.groupBy("net", "cut").agg(F.collect_list(F.abs("r")).alias("all")).select("net", "cut", _quantile(F.col("all"), 1 - F.col("cut")).alias("limit"))
+        each = [F.struct(F.lit(float(c)).alias("cut"), F.expr(f"percentile(abs(r), {1 - float(c)!r}D)").alias("limit")) for c in cuts]
+        limits = edges.groupBy("net").agg(F.array(*each).alias("all")).select("net", F.explode("all").alias("x")).select("net", "x.cut", "x.limit")
         many = many.join(limits, ["net", "cut"])
         passes = F.abs("r") >= F.col("limit")
     else:
@@ -106,14 +110,6 @@ def threshold(edges: DataFrame, kind: str, cuts: Sequence[float]) -> DataFrame:
     return many.withColumn("r", F.when(passes, F.col("r")).otherwise(F.lit(0.0))).drop("limit")
 
 
-def _quantile(values: Column, q: Column) -> Column:
-    """Linear interpolation between order statistics."""
-    at = (F.size(values) - 1) * q
-    low = F.floor(at).cast("int")
-    s = F.sort_array(values)
-    return F.get(s, low) + (at - low) * (F.get(s, F.least(low + 1, F.size(values) - 1)) - F.get(s, low))
-
-
 def normalize(edges: DataFrame, how: str) -> DataFrame:
     """fisherz; max_norm over a unit diagonal (the identity unless r is over 1), or max_edge_norm over the edges;
     max_min_norm to 0..1 over the edges of a net."""
@@ -129,32 +125,43 @@ def normalize(edges: DataFrame, how: str) -> DataFrame:
     raise ValueError(f"unknown normalization {how!r}")
 
 
+#: Bootstraps that one task makes of a network it has read.
+REPS_A_TASK = 50
+
+
 def boot_ratio(activity: DataFrame, resamples: int = 1000, seed: int = 87) -> DataFrame:
-    """net, src, dst, ratio: Fisher z of the correlation over the sd of its bootstrap; undefined ratios are 0."""
+    """net, src, dst, ratio: Fisher z of the correlation over the sd of its bootstrap; undefined ratios are 0.
+
+    Samples are drawn with replacement by md5(seed : rep : net : sample), so any engine draws the same. A net's cells go
+    once to each block of REPS_A_TASK replicates; sums over the blocks give the sd."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        net, block = pdf["net"].iloc[0], int(pdf["block"].iloc[0])
         wide = pdf.pivot_table(index="sample", columns="region", values="value", aggfunc="first").sort_index().sort_index(axis=1)
-        x, names = wide.to_numpy(float), wide.columns.to_numpy()
+        x, names, samples = wide.to_numpy(float), wide.columns.to_numpy(), wide.index.tolist()
         i, j = np.triu_indices(x.shape[1], 1)
-        rng = np.random.default_rng([seed, *map(ord, str(pdf["net"].iloc[0]))])
 
         def z(rows: np.ndarray) -> np.ndarray:
             with np.errstate(all="ignore"):
                 v = np.arctanh(np.clip(np.corrcoef(rows, rowvar=False)[i, j], -1, 1))
             return np.where(np.isinf(v), np.sign(v) * 4, v)
 
-        n = s = q = 0
-        for _ in range(resamples):
-            v = z(x[rng.integers(0, len(x), len(x))])
+        n = np.zeros(len(i))
+        s, q = n.copy(), n.copy()
+        for rep in range(block * REPS_A_TASK + 1, min((block + 1) * REPS_A_TASK, resamples) + 1):
+            drawn = [int(hashlib.md5(f"{seed}:{rep}:{net}:{name}".encode()).hexdigest()[:12], 16) % len(x) for name in samples]
+            v = z(x[drawn])
             good = np.isfinite(v)
             v = np.where(good, v, 0)
             n, s, q = n + good, s + v, q + v * v
-        with np.errstate(all="ignore"):
-            sd = np.sqrt((q - s * s / n) / (n - 1))
-            ratio = z(x) / sd
-        return pd.DataFrame({"net": pdf["net"].iloc[0], "src": names[i], "dst": names[j], "ratio": np.where(np.isfinite(ratio), ratio, 0.0)})
+        real = z(x) if block == 0 else np.full(len(i), np.nan)
+        return pd.DataFrame({"net": net, "src": names[i], "dst": names[j], "n": n, "s": s, "q": q, "z": real})
 
-    return activity.groupBy("net").applyInPandas(run, "net string, src string, dst string, ratio double")
+    blocks = activity.sparkSession.range(max(1, math.ceil(resamples / REPS_A_TASK))).withColumnRenamed("id", "block")
+    parts = activity.select("net", "sample", "region", "value").crossJoin(F.broadcast(blocks)).groupBy("net", "block").applyInPandas(run, "net string, src string, dst string, n double, s double, q double, z double")
+    total = parts.groupBy("net", "src", "dst").agg(*(F.sum(c).alias(c) for c in "nsq"), F.max(F.nanvl("z", F.lit(None).cast("double"))).alias("z"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.nullif("n", F.lit(0.0))) / F.nullif(F.col("n") - 1, F.lit(0.0)))
+    return total.select("net", "src", "dst", F.coalesce(F.col("z") / F.nullif(sd, F.lit(0.0)), F.lit(0.0)).alias("ratio"))
 
 
 def graph(edges: DataFrame, column: str = "r") -> DataFrame:
@@ -168,17 +175,18 @@ def vertices(activity: DataFrame, regions: DataFrame | None = None) -> DataFrame
     return out if regions is None else out.join(regions.withColumnRenamed("region", "node"), "node", "left")
 
 
-def build_networks(activity: DataFrame, factors: Sequence[str] | None = None, method: str = "pearson", weak_link: int | None = None, negs: str = "keep", kind: str | None = None, cuts: Sequence[float] = (0.0,), how: str | None = None, p_adjust: str = "none") -> tuple[DataFrame, DataFrame]:
+def build_networks(activity: DataFrame, factors: Sequence[str] | None = None, method: str = "pearson", weak_link: int | None = None, negs: str = "keep", kind: str | None = None, cuts: Sequence[float] = (0.0,), how: str | None = None, p_adjust: str = "none", regions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, vertices) of a net for each level of the factors' interaction, and each cut if there are several.
 
-    p_adjust names a correction of p-values within each net, for kind="p"; a pair has one p-value."""
+    p_adjust names a correction of p-values within each net, for kind="p"; a pair has one p-value. regions (region, ...)
+    gives the vertices their attributes."""
     if factors:
         activity = activity.withColumn("net", F.concat_ws(".", *factors))
     edges = corr_edges(activity, method)
     if kind == "p" and p_adjust != "none":
         edges = adjusted(with_p(edges), "p", p_adjust, ["net"], "p")
     edges = negatives(fill_undefined(edges, weak_link), negs)
-    nodes = vertices(activity)
+    nodes = vertices(activity, regions)
     if kind is not None:
         edges = threshold(edges, kind, cuts)
         if len(cuts) > 1:
@@ -197,13 +205,16 @@ def ends(edges: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder and read from there; for tables that several steps read. A local
-    folder is set only where the session has none."""
+    """df written once to the shared checkpoint folder and read from there; for tables that several steps read. Without
+    such a folder a local one is made, in local mode only: other machines could not read it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="networks-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="networks-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators.network import map_networks, to_matrix, with_isolated
@@ -41,10 +42,10 @@ def efficiency(m: np.ndarray) -> np.ndarray:
     return inv.sum(axis=1) / (n - 1)
 
 
-def local_efficiency(m: np.ndarray) -> np.ndarray:
-    """Efficiency of the graph of each node's neighbours."""
+def local_efficiency(m: np.ndarray, of: Sequence[int] | None = None) -> np.ndarray:
+    """Efficiency of the graph of each node's neighbours; of some nodes only, if they are given."""
     out = np.zeros(len(m))
-    for v in range(len(m)):
+    for v in range(len(m)) if of is None else of:
         near = np.flatnonzero(m[v])
         if len(near) > 1:
             out[v] = efficiency(m[np.ix_(near, near)]).mean()
@@ -117,22 +118,33 @@ def path_metrics(edges: DataFrame, nodes: DataFrame, metrics: Sequence[str] = ME
     return map_networks(with_isolated(edges, nodes), run, "net string, node string, " + ", ".join(f"{m} double" for m in metrics))
 
 
+#: Removals that one task computes of a network it has read.
+REMOVALS_A_TASK = 16
+
+
 def efficiency_loss(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """net, node, global_loss, local_loss: relative loss of mean efficiency, and of mean local efficiency, when the node
-    is removed. Removals of one network are spread over tasks: each gets the network's edges and one node."""
+    is removed.
+
+    A network's edges go once to each block of removed nodes. What the whole network has is computed once there, and a
+    removal changes the local efficiency of the node's neighbours only."""
+    order = F.row_number().over(W.partitionBy("net").orderBy("node")) - 1
+    work = nodes.select("net", "node").distinct().select("net", "node", order.alias("place"))
+    work = work.select("net", "node", F.expr(f"place DIV {REMOVALS_A_TASK}").alias("block"))
     full = with_isolated(edges, nodes)
-    packed = full.groupBy("net").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("edges"))
-    work = packed.join(nodes.select("net", "node").distinct(), "net").repartition("net", "node")
-
-    def run(frames):  # noqa: ANN001, ANN202
-        for f in frames:
-            rows = []
-            for net, e, node in zip(f["net"], f["edges"], f["node"], strict=True):
-                names, m = to_matrix(pd.DataFrame([dict(x) if isinstance(x, dict) else x.asDict() for x in e]))
-                keep = names != node
-                cut = m[np.ix_(keep, keep)]
-                pairs = [(efficiency(m).mean(), efficiency(cut).mean()), (local_efficiency(m).mean(), local_efficiency(cut).mean())]
-                rows.append((net, node, *(1 - b / a if a else 0.0 for a, b in pairs)))
-            yield pd.DataFrame(rows, columns=["net", "node", "global_loss", "local_loss"])
-
-    return work.mapInPandas(run, "net string, node string, global_loss double, local_loss double")
+    copies = full.join(work.select("net", "block").distinct().toDF("net", "to_block"), "net").select(*(F.col(c).alias(c) for c in full.columns), F.col("to_block").alias("block"))
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names, m = to_matrix(pdf)
+        whole, local = efficiency(m).mean(), local_efficiency(m)
+        rows = []
+        for node in own["node"]:
+            keep = names != node
+            cut, left = m[np.ix_(keep, keep)], local[keep]
+            near = np.flatnonzero(m[~keep][0][keep])
+            left[near] = local_efficiency(cut, near)[near]
+            pairs = [(whole, efficiency(cut).mean() if len(cut) else 0.0), (local.mean(), left.mean() if len(cut) else 0.0)]
+            rows.append((own["net"].iloc[0], node, *(1 - b / a if a else 0.0 for a, b in pairs)))
+        return pd.DataFrame(rows, columns=["net", "node", "global_loss", "local_loss"])
+
+    return copies.groupBy("net", "block").cogroup(work.groupBy("net", "block")).applyInPandas(run, "net string, node string, global_loss double, local_loss double")
