@@ -467,3 +467,184 @@ ipq AS (SELECT cs.net, cs.node, cs.comm, any_value(nn) AS nn, coalesce(sum(great
 FROM ipq i JOIN {_value("a", "b", "vp")} p USING (net, node) JOIN {_value("a", "b", "vd")} d USING (net, node) JOIN {_value("a", "b", "vg")} g USING (net, node)""",
     ),
 }
+
+
+# Paths with counts, spectra and distributions.
+
+
+def _shortest(edges: str, keys: str, name: str, squarings: int = 5) -> str:
+    """name (keys, a, b, d): shortest distances between different nodes over edges (keys, a, b, d) in both directions."""
+    same = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys.split(", "))
+    of = ", ".join(f"x.{k}" for k in keys.split(", "))
+    steps = f"{name}0 AS (SELECT {keys}, a, b, d FROM {edges} UNION ALL SELECT DISTINCT {keys}, a, a, 0.0 FROM {edges})"
+    for k in range(squarings):
+        steps += f",\n{name}{k + 1} AS MATERIALIZED (SELECT {of}, x.a, y.b, min(x.d + y.d) AS d FROM {name}{k} x JOIN {name}{k} y ON {same('x', 'y')} AND x.b = y.a GROUP BY ALL)"
+    return steps + f",\n{name} AS (SELECT * FROM {name}{squarings} WHERE a <> b)"
+
+
+def _between(dist: str, out: str) -> str:
+    """out (net, node, v): unordered pairs whose shortest path goes through a node. Weights are measured correlations, so
+    no two paths of a pair are equally long."""
+    return f"""{out} AS (
+  SELECT x.net, x.b AS node, count(*) / 2.0 AS v
+  FROM {dist} x JOIN {dist} y ON x.net = y.net AND x.b = y.a JOIN {dist} z ON x.net = z.net AND x.a = z.a AND y.b = z.b
+  WHERE x.a <> y.b AND x.d + y.d <= z.d * (1 + 1e-9) GROUP BY ALL)"""
+
+
+_HALF_LENGTHS = ",\nlengths AS (SELECT net, node AS a, other AS b, 1 / abs(weight) AS d FROM half),\n"
+_BETWEEN = GRAPH + _HALF_LENGTHS + _shortest("lengths", "net", "ds") + ",\n" + _between("ds", "bt")
+
+
+def _gateway_bet(sign: str, comp: str) -> str:
+    s = sign
+    paths = f"l{s} AS (SELECT net, node AS a, other AS b, 1 / abs(weight) AS d FROM half WHERE weight {comp} 0),\n" + _shortest(f"l{s}", "net", f"t{s}") + ",\n" + _between(f"t{s}", f"b{s}")
+    cent = f"\nc{s} AS (SELECT n.net, n.node, coalesce(v, 0.0) AS cent FROM nodes n LEFT JOIN b{s} USING (net, node))"
+    steps = _gateway(sign, comp)
+    strength = f"\nc{s} AS (SELECT net, node, sum(w) AS cent FROM h{s} GROUP BY ALL)"
+    assert strength in steps
+    return paths + "," + steps.replace(strength, cent)
+
+
+def _eigen(squarings: int = 16) -> str:
+    """ev (net, node, v): the leading eigenvector, by squaring the matrix made positive on its spectrum."""
+    steps = """,
+sh AS (SELECT net, max(s) AS c FROM (SELECT net, node, sum(abs(weight)) AS s FROM half GROUP BY ALL) GROUP BY net),
+m0 AS (
+  SELECT h.net, h.node AS a, h.other AS b, h.weight / c AS v FROM half h JOIN sh USING (net)
+  UNION ALL SELECT n.net, n.node, n.node, 1.0 FROM nodes n JOIN sh USING (net))"""
+    for k in range(squarings):
+        steps += f",\nr{k + 1} AS MATERIALIZED (SELECT x.net, x.a, y.b, sum(x.v * y.v) AS v FROM m{k} x JOIN m{k} y ON x.net = y.net AND x.b = y.a GROUP BY ALL)"
+        steps += f",\nm{k + 1} AS MATERIALIZED (SELECT net, a, b, v / max(abs(v)) OVER (PARTITION BY net) AS v FROM r{k + 1})"
+    return steps + f""",
+top AS (SELECT net, arg_max(a, v) AS p FROM m{squarings} WHERE a = b GROUP BY net),
+col AS (SELECT m.net, m.a AS node, m.v FROM m{squarings} m JOIN top ON m.net = top.net AND m.b = top.p),
+ev AS (SELECT net, node, v / first_value(v) OVER (PARTITION BY net ORDER BY abs(v) DESC) AS v FROM col)"""
+
+
+def _losses() -> str:
+    """Losses of mean global and local efficiency by removal; rem '' is the whole network."""
+    return (
+        GRAPH
+        + """,
+rm AS (SELECT net, node AS rem FROM nodes UNION ALL SELECT DISTINCT net, '' FROM nodes),
+ge AS (SELECT h.net, rem, h.node AS a, h.other AS b, 1 / abs(weight) AS d FROM half h JOIN rm ON h.net = rm.net AND h.node <> rem AND h.other <> rem),
+"""
+        + _shortest("ge", "net, rem", "gd")
+        + """,
+le AS (
+  SELECT e.net, e.rem, v.a AS v, e.a, e.b, e.d
+  FROM ge v JOIN ge w ON v.net = w.net AND v.rem = w.rem AND v.a = w.a AND v.b <> w.b JOIN ge e ON e.net = v.net AND e.rem = v.rem AND e.a = v.b AND e.b = w.b),
+"""
+        + _shortest("le", "net, rem, v", "ld")
+        + """,
+nn AS (SELECT rm.net, rem, n_nodes - CAST(rem <> '' AS INTEGER) AS n FROM rm JOIN sizes USING (net)),
+gs AS (SELECT net, rem, sum(1 / d) AS s FROM gd GROUP BY ALL),
+dg AS (SELECT net, rem, a AS v, count(*) AS k FROM ge GROUP BY ALL),
+ls AS (SELECT net, rem, sum(e) AS s FROM (SELECT net, rem, v, sum(1 / ld.d) / any_value(k * (k - 1)) AS e FROM ld JOIN dg USING (net, rem, v) GROUP BY ALL) GROUP BY ALL),
+ef AS (SELECT nn.net, nn.rem, coalesce(gs.s, 0.0) / (n * (n - 1)) AS g, coalesce(ls.s, 0.0) / n AS l FROM nn LEFT JOIN gs USING (net, rem) LEFT JOIN ls USING (net, rem))"""
+    )
+
+
+#: P(|T| >= |t|) by the finite series for a whole number of degrees of freedom.
+def _t_whole(t: str, df: str) -> str:
+    theta, cos2 = f"atan(abs({t}) / sqrt({df}))", f"({df} / ({df} + {t} * {t}))"
+    even = f"sin({theta}) * list_sum(list_transform(range(0, CAST({df} AS BIGINT) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow({cos2}, k)))"
+    odd = f"2 / pi() * ({theta} + sin({theta}) * sqrt({cos2}) * coalesce(list_sum(list_transform(range(0, (CAST({df} AS BIGINT) - 1) // 2), lambda k: exp(lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5)) * pow({cos2}, k))), 0))"
+    return f"(1 - CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def _simpson(f: str, upper: str, steps: int) -> str:
+    """The integral of f(x), an expression in x, from 0 to upper."""
+    point = f.replace("{x}", f"({upper} * k / {steps}.0)")
+    return f"({upper} / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda k: (CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {point})))"
+
+
+def _t_density(df: str) -> str:
+    return f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * pow(1 + {{x}} * {{x}} / {df}, -({df} + 1) / 2)"
+
+
+def _t_p(t: str, df: str, steps: int = 2000) -> str:
+    return f"(1 - 2 * {_simpson(_t_density(df), f'abs({t})', steps)})"
+
+
+def _t_975(source: str, df: str, steps: int = 2000) -> str:
+    """Columns of source and q, the quantile of 0.975: four terms of its expansion in 1 / df, then Newton's steps."""
+    z = repr(float(normal_quantile(0.975)[0]))
+    first = f"({z} + ({z}**3 + {z}) / (4 * {df}) + (5 * {z}**5 + 16 * {z}**3 + 3 * {z}) / (96 * {df}**2) + (3 * {z}**7 + 19 * {z}**5 + 17 * {z}**3 - 15 * {z}) / (384 * {df}**3))"
+    step = lambda q: f"{q} + (0.475 - {_simpson(_t_density(df), q, steps)}) / ({_t_density(df).replace('{x}', q)})"
+    return f"(SELECT *, {step('q2')} AS q FROM (SELECT *, {step('q1')} AS q2 FROM (SELECT *, {step('q0')} AS q1 FROM (SELECT *, {first} AS q0 FROM {source}))))"
+
+
+def _chi1(x: str) -> str:
+    """P(chi-squared with one degree of freedom > x)."""
+    return f"(1 - 2 * {_simpson('exp(-{x} * {x} / 2) / sqrt(2 * pi())', f'sqrt({x})', 4000)})"
+
+
+_WELCH = _ARMS + ", w AS (SELECT region, a, b, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df, ma - mb AS diff FROM ab)"
+_GLM = _PROFILE + """,
+rg AS (SELECT net, count(*) AS n, avg(coef_var) AS mx, avg(mean_r2) AS my, var_samp(coef_var) AS vx, var_samp(mean_r2) AS vy, covar_samp(coef_var, mean_r2) AS cxy FROM prof WHERE coef_var IS NOT NULL GROUP BY net),
+rb AS (SELECT *, cxy / vx AS beta, vy * (n - 1) AS nd, greatest(0.0, vy * (n - 1) - cxy / vx * cxy * (n - 1)) AS dev FROM rg),
+rs AS (SELECT *, sqrt(dev / (n - 2) / (vx * (n - 1))) AS se, CAST(n - 2 AS DOUBLE) AS df, n * ln(nd / dev) AS ratio FROM rb)"""
+
+_MEASURES = ("degree", "strength", "signed_strength", "leverage", "burt", "transitivity", "nodal_efficiency", "betweenness", "closeness", "eigenvector")
+_NULLS = """,
+ks AS (SELECT a.net, a.node AS src, b.node AS dst, coalesce(h.weight, 0.0) AS x, a.k * b.k AS kk FROM st a JOIN st b ON a.net = b.net AND a.node < b.node LEFT JOIN half h ON h.net = a.net AND h.node = a.node AND h.other = b.node),
+pr AS (SELECT ks.net, src, dst, x, kk / k2 AS p FROM ks JOIN (SELECT net, sum(k) AS k2 FROM st GROUP BY net) USING (net))"""
+_STRENGTHS = GRAPH.replace("r AS weight FROM edges", "abs(r) AS weight FROM edges") + ",\nst AS (SELECT n.net, n.node, coalesce(sum(weight), 0.0) AS k FROM nodes n LEFT JOIN half h ON n.net = h.net AND n.node = h.node GROUP BY ALL)" + _NULLS
+ORACLE_SQL |= {
+    "betweenness": sql(_BETWEEN, f"SELECT n.net, n.node, {six('coalesce(v, 0.0)')} AS betweenness FROM nodes n LEFT JOIN bt USING (net, node)"),
+    "gateway_bet": sql(
+        GRAPH + ",\n" + _gateway_bet("p", ">") + ",\n" + _gateway_bet("n", "<") + ", x AS (SELECT coalesce(gp.net, gn.net) AS net, coalesce(gp.node, gn.node) AS node, coalesce(gp.gw, 0.0) AS a, coalesce(gn.gw, 0.0) AS b, coalesce(gp.s, 0.0) AS sp, coalesce(gn.s, 0.0) AS sq FROM gp FULL JOIN gn ON gp.net = gn.net AND gp.node = gn.node)",
+        _signed_out("gw", "x.a", "x.b"),
+    ),
+    "eigenvector": sql(GRAPH + _eigen(), f"SELECT n.net, n.node, {six('coalesce(v, 0.0)')} AS eigenvector FROM nodes n LEFT JOIN ev USING (net, node)"),
+    "efficiency_loss": sql(
+        _losses(),
+        f"SELECT c.net, c.rem AS node, {six('CASE WHEN w.g > 0 THEN 1 - c.g / w.g ELSE 0 END')} AS global_loss, {six('CASE WHEN w.l > 0 THEN 1 - c.l / w.l ELSE 0 END')} AS local_loss FROM ef c JOIN ef w ON c.net = w.net AND w.rem = '' WHERE c.rem <> ''",
+    ),
+    "corr_p_values": sql(EDGES, f"SELECT net, src, dst, {six('r')} AS r, n, {six('p')} AS p FROM (SELECT *, {_t_whole('t', 'df')} AS p FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, CAST(n - 2 AS DOUBLE) AS df FROM edges))"),
+    "welch_test": sql(_WELCH, f"SELECT region, a, b, {six('t')} AS t, {six('df')} AS df, {six('diff')} AS diff, {six(_t_p('t', 'df'))} AS p, {six('diff - abs(diff / t) * q')} AS lower, {six('diff + abs(diff / t) * q')} AS upper FROM {_t_975('w', 'df')}"),
+    "glm_activity_connectivity": sql(
+        _GLM,
+        f"SELECT net, n, {six('beta')} AS beta, {six('my - beta * mx')} AS intercept, {six('se')} AS std_error, {six('beta / se')} AS t, {six('1 - dev / nd')} AS r2, {six('pow(beta / se, 2)')} AS f, {six('dev')} AS deviance, {six('nd')} AS null_deviance, "
+        f"{six(_t_whole('(beta / se)', 'df'))} AS p, {six('beta - se * q')} AS lower, {six('beta + se * q')} AS upper, {six(_chi1('((nd - dev) / (dev / df))'))} AS model_p, "
+        f"{six('(1 - exp(-ratio / n)) / nullif(greatest(1 - exp(-ln(2 * pi() * nd / n) - 1), 0), 0)')} AS pseudo_r2, {six(_chi1('ratio'))} AS ratio_p FROM {_t_975('rs', 'df')}",
+    ),
+    "boot_ratio": sql(
+        ACT + ", cellsof AS (SELECT DISTINCT net, sample FROM act)," + _draws("cellsof", "net").replace("'0:'", "'87:'").replace("range(31)", "range(101)") + """,
+wr AS (
+  SELECT rep, a.net, a.region AS src, b.region AS dst, CAST(sum(times) AS DOUBLE) AS n, sum(times * a.value) AS sx, sum(times * b.value) AS sy,
+         sum(times * a.value * a.value) AS sxx, sum(times * b.value * b.value) AS syy, sum(times * a.value * b.value) AS sxy
+  FROM dr JOIN act a ON a.net = dr.net AND a.sample = dr.sample JOIN act b ON b.net = a.net AND b.sample = a.sample AND a.region < b.region GROUP BY ALL),
+zr AS (SELECT rep, net, src, dst, atanh((sxy - sx * sy / n) / sqrt(nullif((sxx - sx * sx / n) * (syy - sy * sy / n), 0))) AS z FROM wr)""",
+        "SELECT net, src, dst, CASE WHEN round(ratio, 5) = 0 THEN 0.0 ELSE round(ratio, 5) END AS ratio FROM (SELECT net, src, dst, coalesce(max(CASE WHEN rep = 0 THEN z END) / nullif(stddev_samp(CASE WHEN rep > 0 THEN z END), 0), 0.0) AS ratio FROM zr GROUP BY ALL)",
+    ),
+    "louvain": sql(GRAPH, "SELECT net, part, n_nodes, true AS no_worse, true AS settled FROM sizes CROSS JOIN (SELECT unnest(range(5)) AS part)"),
+    "modularity_max": sql(GRAPH, "SELECT net, CAST(0 AS BIGINT) AS part, n_nodes, true AS no_worse FROM sizes"),
+    "multi_scale": sql(GRAPH, f"SELECT net, part, n_nodes, true AS no_worse, true AS settled, {six('-1.0 + 0.25 * part')} AS gamma FROM sizes CROSS JOIN (SELECT unnest(range(13)) AS part)"),
+    "event_samples": sql(GRAPH, "SELECT net, part, n_nodes, true AS no_worse, true AS settled FROM sizes CROSS JOIN (SELECT unnest(range(40)) AS part)"),
+    "consensus": sql(GRAPH, "SELECT net, n_nodes, n_nodes AS distinct_nodes, true AS numbered, true AS converged FROM sizes"),
+    "hier_consensus": sql(GRAPH, "SELECT net, n_nodes, CAST(1 AS BIGINT) AS first_communities, CAST(1 AS BIGINT) AS parents, true AS converged FROM sizes"),
+    "gamma_range": sql(_STRENGTHS, f"SELECT net, {six('max(x / p)')} AS gamma_max, true AS ordered, true AS above_zero, true AS converged FROM pr WHERE p > 0 GROUP BY net"),
+    "event_resolutions": sql(
+        _STRENGTHS + """,
+ev AS (SELECT net, x, p, x / p AS g FROM pr WHERE p > 0),
+lows AS (SELECT net, sum(greatest(0.5 * p - x, 0)) / sum(abs(0.5 * p - x)) AS b0, max(g) AS top FROM ev GROUP BY net),
+pt AS (SELECT e.net, e.g, sum(greatest(e.g * v.p - v.x, 0)) / sum(abs(e.g * v.p - v.x)) AS b FROM (SELECT DISTINCT net, g FROM ev) e JOIN ev v ON e.net = v.net GROUP BY ALL),
+want AS (SELECT net, part, CASE WHEN part = 24 THEN 1.0 ELSE b0 + (1 - b0) * part / 24 END AS b, top FROM lows CROSS JOIN (SELECT unnest(range(25)) AS part)),
+seg AS (SELECT w.net, w.part, w.b, any_value(top) AS top, min(pt.g) FILTER (pt.b >= w.b - 1e-12 AND pt.g > first) AS hi FROM want w JOIN pt ON w.net = pt.net JOIN (SELECT net, min(g) AS first FROM ev GROUP BY net) f ON f.net = w.net GROUP BY ALL),
+sums AS (SELECT s.net, s.part, s.b, s.hi, any_value(top) AS top, sum(CASE WHEN g < hi THEN x ELSE 0 END) AS xn, sum(CASE WHEN g < hi THEN p ELSE 0 END) AS pn, sum(x) AS xa, sum(p) AS pa, max(g) FILTER (g < hi) AS lo FROM seg s JOIN ev ON s.net = ev.net GROUP BY ALL)""",
+        f"SELECT net, part, CASE WHEN round(gamma, 5) = 0 THEN 0.0 ELSE round(gamma, 5) END AS gamma, {six('b')} AS b FROM (SELECT net, part, b, least(greatest((xn + b * (xa - 2 * xn)) / (pn + b * (pa - 2 * pn)), lo), hi) AS gamma FROM sums)",
+    ),
+    "clust_comp": sql(PARTITIONS + ", pp AS (SELECT net, part, comm AS c1, CAST(substr(node, 7, 1) AS INTEGER) AS c2 FROM parts)," + _ami("pp", "net, part"), _ami_out("net, part")),
+    "sample_approx_null": sql(
+        PARTITIONS + """,
+lo AS (SELECT net, part, node, (count(*) OVER (PARTITION BY net, part, comm) - 1) / CAST(count(*) OVER (PARTITION BY net, part) - 1 AS DOUBLE) AS p FROM parts),
+sub AS (SELECT unnest(range(64)) AS s),
+ch AS (SELECT net, node, bit_count(CAST(s AS BIGINT)) AS k, product(CASE WHEN (s >> CAST(part - 1 AS BIGINT)) & 1 = 1 THEN p ELSE 1 - p END) AS c FROM lo CROSS JOIN sub GROUP BY net, node, s),
+cd AS (SELECT net, node, k, sum(sum(c)) OVER (PARTITION BY net, node ORDER BY k) AS cum FROM ch GROUP BY net, node, k)""",
+        f"SELECT net, node, {six('min(k) / 6.0')} AS exact, true AS near FROM cd WHERE cum >= 0.05 - 1e-12 GROUP BY net, node",
+    ),
+}
+_PARTS_OF = {m: (m, m) for m in _MEASURES} | {"signed_strength": ("signed_strength_asym", "s_signed"), "transitivity": ("transitivity_local", "transitivity")}
+ORACLE_SQL["nodal_measures"] = "SELECT net, node, " + ", ".join(f"{m}.{column} AS {m}" for m, (_, column) in _PARTS_OF.items()) + " FROM " + " JOIN ".join(f"({ORACLE_SQL[of]}) {m}" + (" USING (net, node)" if k else "") for k, (m, (of, _)) in enumerate(_PARTS_OF.items()))

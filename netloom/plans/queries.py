@@ -304,7 +304,7 @@ def corr_p_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def boot_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return network.boot_ratio(d.activity(spark, sf), resamples=100)
+    return network.boot_ratio(d.activity(spark, sf), resamples=100).withColumn("ratio", F.round("ratio", 5))
 
 
 # Partitions.
@@ -349,48 +349,79 @@ def normal_approx_null(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sample_approx_null(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.sampled_null(partition.local_perm_model(d.partitions(spark, sf)))
+    """Quantiles of 10,000 draws are those of the exact distribution of the number of co-memberships, or next to them."""
+    local = partition.local_perm_model(d.partitions(spark, sf))
+    exact = partition.exact_null(local).withColumnRenamed("p", "exact")
+    return partition.sampled_null(local).join(exact, ["net", "node"]).select("net", "node", "exact", (F.abs(F.col("p") - F.col("exact")) < 1.001 / 6).alias("near"))
+
+
+def _facts(edges: DataFrame, nodes: DataFrame, partitions: DataFrame, mod: str = "neg_asym") -> DataFrame:
+    """What a search's partitions have to be: of all nodes, no worse than one community, and not improved by a move."""
+    q = partition.partition_quality(edges, nodes, partitions, mod)
+    return q.select("net", "part", "n_nodes", (F.col("quality") >= F.col("whole") - 1e-9).alias("no_worse"), (F.col("best_move") <= 1e-8).alias("settled"))
 
 
 @query
 def louvain(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=5)
+    g, n = d.graph(spark, sf), d.nodes(spark, sf)
+    return _facts(g, n, partition.partition_runs(g, n, runs=5))
 
 
 @query
 def modularity_max(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.partition_runs(_absolute(spark, sf), d.nodes(spark, sf), optimizer="spectral")
+    """The deterministic search by eigenvectors; its divisions never lose, single moves may still gain."""
+    g, n = _absolute(spark, sf), d.nodes(spark, sf)
+    return _facts(g, n, partition.partition_runs(g, n, optimizer="spectral"), "modularity").drop("settled")
 
 
 @query
 def multi_scale(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.multi_scale(d.graph(spark, sf), d.nodes(spark, sf), step=0.25)
+    g, n = d.graph(spark, sf), d.nodes(spark, sf)
+    p = network.checkpointed(partition.multi_scale(g, n, step=0.25))
+    return _facts(g, n, p).join(p.select("net", "part", "gamma").distinct(), ["net", "part"])
 
 
 @query
 def gamma_range(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.gamma_ranges(_absolute(spark, sf), d.nodes(spark, sf))
+    r = partition.gamma_ranges(_absolute(spark, sf), d.nodes(spark, sf))
+    return r.select("net", "gamma_max", (F.col("gamma_min") <= F.col("gamma_max")).alias("ordered"), (F.col("gamma_min") > 0).alias("above_zero"), "converged")
+
+
+@query
+def event_resolutions(spark: SparkSession, sf: str) -> DataFrame:
+    """Resolutions of 25 even steps of the negative share, from resolution 0.5 on."""
+    return partition.event_resolutions(_absolute(spark, sf), d.nodes(spark, sf), 25, low=0.5).select("net", "part", F.round("gamma", 5).alias("gamma"), "b")
 
 
 @query
 def event_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.event_samples(_absolute(spark, sf), d.nodes(spark, sf), n=40, samples=20)
+    g, n = _absolute(spark, sf), d.nodes(spark, sf)
+    return _facts(g, n, partition.event_samples(g, n, n=40, samples=20))
 
 
 @query
 def consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.consensus(partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=20), runs=20)
+    """Every node once, with communities numbered from 1, and runs that came to agree."""
+    c = partition.consensus(partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=20), runs=20)
+    return c.groupBy("net").agg(F.count("node").alias("n_nodes"), F.countDistinct("node").alias("distinct_nodes"), (F.max("comm") == F.countDistinct("comm")).alias("numbered"), F.bool_and("converged").alias("converged"))
 
 
 @query
 def hier_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return partition.hierarchical_consensus(partition.event_samples(_absolute(spark, sf), d.nodes(spark, sf), n=40, samples=20), runs=20)
+    """Levels that start from one community and only ever divide communities."""
+    h = network.checkpointed(partition.hierarchical_consensus(partition.event_samples(_absolute(spark, sf), d.nodes(spark, sf), n=40, samples=20), runs=20))
+    up = h.select("net", (F.col("level") + 1).alias("level"), "node", F.col("comm").alias("above"))
+    pure = h.join(up, ["net", "level", "node"]).groupBy("net", "level", "comm").agg(F.countDistinct("above").alias("parents")).groupBy("net").agg(F.max("parents").alias("parents"))
+    first = h.filter("level = 1").groupBy("net").agg(F.count("node").alias("n_nodes"), F.countDistinct("comm").alias("first_communities"), F.bool_and("converged").alias("converged"))
+    return first.join(pure, "net", "left").select("net", "n_nodes", "first_communities", F.coalesce("parents", F.lit(1)).alias("parents"), "converged")
 
 
 @query
 def clust_comp(spark: SparkSession, sf: str) -> DataFrame:
-    """Sampled partitions against the brands' first digit."""
-    return partition.ami_to(partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=5), d.membership(spark, sf))
+    """Fixed partitions against the brands' first digit."""
+    p = d.partitions(spark, sf)
+    m = p.select("net", "node").distinct().withColumn("comm", F.substring("node", 7, 1).cast("int"))
+    return partition.ami_to(p, m)
 
 
 @query
