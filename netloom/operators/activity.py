@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.dist import chi2_upper, f_upper, t_quantile, t_two_sided
+from netloom.functions.exprs import adjusted
+from netloom.operators.network import corr_edges
+from netloom.operators.prep import level_profile
 
 
 def moments(values: DataFrame, keys: Sequence[str], arm: str) -> DataFrame:
@@ -147,3 +150,36 @@ def boot_regression(points: DataFrame, keys: Sequence[str], x: str, y: str, resa
     t, a, b = F.col("times"), F.col(x), F.col(y)
     m = w.groupBy("rep", *keys).agg(F.sum(t).alias("n"), F.sum(t * a).alias("sx"), F.sum(t * b).alias("sy"), F.sum(t * a * a).alias("sxx"), F.sum(t * a * b).alias("sxy"))
     return m.select("rep", *keys, ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.nullif(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.lit(0.0))).alias("beta"))
+
+
+def bootstrap(values: DataFrame, keys: Sequence[str], statistic: Callable[[DataFrame], DataFrame], strata: Sequence[str] = (), resamples: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """boot_summary of any statistic: a function from rows (rep, keys, the columns of values, times) to (rep, keys,
+    stat), where times is how often the row was drawn. values: sample, keys, strata and what the statistic reads."""
+    weights = resample_weights(values.select("sample", *strata), resamples, list(strata), seed)
+    drawn = values.join(weights, [*strata, "sample"])
+    return boot_summary(statistic(drawn).withColumnRenamed("stat", "_value"), keys, "_value", confidence=confidence)
+
+
+def factor_comparison(activity: DataFrame, factor: str, isolated: Sequence[str] = (), boot: bool = False, resamples: int = 1000, seed: int = 0, fdr: bool = False) -> DataFrame:
+    """net, region, a, b, t, (std_error,) p, lower, upper, (adj_p): the levels of `factor` compared in each region, apart
+    for each combination of the isolated factors. activity: sample, region, value and the factors; Welch's test, or the
+    bootstrap of its t; fdr adjusts p within a net."""
+    values = activity.withColumn("net", F.concat_ws(".", *isolated) if isolated else F.lit(factor))
+    keys = ["net", "region"]
+    if boot:
+        out = boot_summary(boot_welch(values, keys, factor, resamples, seed), [*keys, "a", "b"], "t").withColumnRenamed("stat", "t")
+    else:
+        out = welch_test(values, keys, factor).select(*keys, "a", "b", "t", "p", "lower", "upper")
+    return adjusted(out, "p", "bh", ["net"], "adj_p") if fdr else out
+
+
+def activity_connectivity(activity: DataFrame, model: str = "lm", boot: bool = False, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """net, predictor and the regression of mean r squared on mean_signal and on coef_var, a row for each: by
+    `regression_test`, or the bootstrap of the slope. activity: net, sample, region, value; nets are levels of factors."""
+    profile = level_profile(activity, corr_edges(activity))
+    pair = F.explode(F.array(*(F.struct(F.lit(c).alias("predictor"), F.col(c).alias("x")) for c in ("mean_signal", "coef_var"))))
+    points = profile.select("net", F.col("region").alias("sample"), F.col("mean_r2").alias("y"), pair.alias("v")).select("net", "sample", "y", "v.predictor", "v.x")
+    keys = ["net", "predictor"]
+    if boot:
+        return boot_summary(boot_regression(points.filter("x IS NOT NULL"), keys, "x", "y", resamples, seed), keys, "beta").withColumnRenamed("stat", "beta")
+    return regression_test(points, keys, "x", "y", model)

@@ -7,7 +7,7 @@ is a network like any other: `net` is `rep|level`, and one job computes the metr
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.operators import community, network, nodal
+from netloom.operators import community, network, nodal, paths
 
 
 def permuted_labels(samples: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
@@ -72,9 +72,14 @@ def _long(wide: DataFrame, columns: list[str], places: int | None) -> DataFrame:
     return wide.select("net", F.col("node") if "node" in wide.columns else F.lit("").alias("node"), pairs.alias("m")).select("net", "node", "m.metric", "m.value")
 
 
-def edge_metrics(activity: DataFrame, places: int | None = None) -> DataFrame:
-    """The correlation of every edge, 0 where it is undefined; the node is `src ~ dst`."""
-    e = network.fill_undefined(network.corr_edges(activity))
+def edge_metrics(activity: DataFrame, places: int | None = None, weak_link: int | None = None, negs: str = "keep", kind: str | None = None, cut: float = 0.0, how: str | None = None) -> DataFrame:
+    """The correlation of every edge, 0 (or 10**-weak_link) where it is undefined, with the policies, threshold and
+    normalisation of built networks; the node is `src ~ dst`."""
+    e = network.negatives(network.fill_undefined(network.corr_edges(activity), weak_link), negs)
+    if kind is not None:
+        e = network.threshold(e, kind, [cut]).drop("cut")
+    if how is not None:
+        e = network.normalize(e, how)
     return _long(e.select("net", F.concat_ws(" ~ ", "src", "dst").alias("node"), "r"), ["r"], places)
 
 
@@ -84,34 +89,40 @@ def _graph(activity: DataFrame, cut: float) -> tuple[DataFrame, DataFrame]:
     return network.checkpointed(network.graph(e.filter(F.abs("r") > cut))), network.checkpointed(activity.select("net", F.col("region").alias("node")).distinct())
 
 
-def nodal_metrics(activity: DataFrame, cut: float = 0.2, places: int | None = None) -> DataFrame:
+#: Metrics of `nodal_measures`; any of them can be compared.
+NODAL = ("degree", "strength", "signed_strength", "leverage", "burt", "transitivity", "nodal_efficiency", "betweenness", "closeness", "eigenvector")
+
+
+def nodal_metrics(activity: DataFrame, cut: float = 0.2, metrics: Sequence[str] = NODAL, places: int | None = None) -> DataFrame:
     edges, nodes = _graph(activity, cut)
-    wide = nodal.degree_strength(edges, nodes).join(nodal.signed_strength(edges, nodes).select("net", "node", "s_signed"), ["net", "node"])
-    return _long(wide, ["degree", "strength", "s_signed"], places)
+    return _long(nodal.nodal_measures(edges, nodes, metrics), [m.lower() for m in metrics], places)
 
 
-def global_metrics(activity: DataFrame, membership: DataFrame, cut: float = 0.2, places: int | None = None) -> DataFrame:
-    """mean_fc, density and signed modularity against a membership (node, comm)."""
+def global_metrics(activity: DataFrame, membership: DataFrame, cut: float = 0.2, places: int | None = None, quality: Callable[[DataFrame, DataFrame], DataFrame] = community.q_signed) -> DataFrame:
+    """mean_fc, gc_size, gc_pct, density and modularity against a membership (node, comm); `quality` gives the latter as
+    (net, value) of edges and a membership (net, node, comm). What is undefined is null, and then no replicate counts it."""
     edges, nodes = _graph(activity, cut)
     m = nodes.join(membership, "node")
+    q = quality(edges, m)
+    q = q.select("net", F.col(next(c for c in q.columns if c != "net")).alias("modularity"))
     n = nodes.groupBy("net").agg(F.count(F.lit(1)).alias("n"))
-    base = n.join(edges.groupBy("net").agg(F.avg("weight").alias("mean_fc"), F.count(F.lit(1)).alias("m")), "net", "left").join(community.q_signed(edges, m), "net", "left")
-    wide = base.select("net", F.coalesce("mean_fc", F.lit(0.0)).alias("mean_fc"), (F.coalesce("m", F.lit(0)) * 2.0 / (F.col("n") * (F.col("n") - 1))).alias("density"), F.coalesce("q_signed", F.lit(0.0)).alias("modularity"))
-    return _long(wide, ["mean_fc", "density", "modularity"], places)
+    base = n.join(edges.groupBy("net").agg(F.avg("weight").alias("mean_fc"), F.count(F.lit(1)).alias("m")), "net", "left").join(q, "net", "left").join(paths.giant_sizes(edges, nodes), "net")
+    wide = base.select("net", "mean_fc", F.col("gc_size").cast("double").alias("gc_size"), (F.col("gc_size") * 100.0 / F.col("n")).alias("gc_pct"), (F.coalesce("m", F.lit(0)) * 2.0 / (F.col("n") * (F.col("n") - 1))).alias("density"), "modularity")
+    return _long(wide, ["mean_fc", "gc_size", "gc_pct", "density", "modularity"], places)
 
 
-def community_node_metrics(activity: DataFrame, membership: DataFrame, cut: float = 0.2, base: str | None = None, places: int | None = None) -> DataFrame:
-    """Signed participation and within-community strength. membership: level, node, comm; each net takes that of its
-    own level, or all take that of the level `base`."""
+def community_node_metrics(activity: DataFrame, membership: DataFrame, cut: float = 0.2, base: str | None = None, metrics: tuple[str, ...] = ("participation", "diversity", "gateway", "wcs"), places: int | None = None) -> DataFrame:
+    """Signed community metrics of each node. membership: level, node, comm; each net takes that of its own level, or all
+    take that of the level `base`."""
     edges, nodes = _graph(activity, cut)
     level = F.split("net", r"\|", 2)[1]
     if base is None:
         m = nodes.withColumn("level", level).join(membership, ["level", "node"]).select("net", "node", "comm")
     else:
         m = nodes.join(membership.filter(F.col("level") == base).select("node", "comm"), "node")
+    m = network.checkpointed(m)
     edges, _ = network.match_to_membership(edges, m)
-    wide = community.participation(edges, m).select("net", "node", F.col("p_signed").alias("participation")).join(community.within_community_strength(edges, m), ["net", "node"])
-    return _long(wide, ["participation", "wcs"], places)
+    return _long(community.community_metrics(edges, m, metrics).drop("comm"), list(metrics), places)
 
 
 def spectral_density(m: np.ndarray, grid: np.ndarray, bandwidth: str = "Silverman") -> np.ndarray:

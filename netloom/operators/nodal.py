@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,12 +129,15 @@ def nodal_measures(edges: DataFrame, nodes: DataFrame, metrics: Sequence[str] =
     return out.select("net", "node", *(F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in wanted))
 
 
-def general_measures(edges: DataFrame, nodes: DataFrame, membership: DataFrame) -> DataFrame:
-    """net, mean_fc, gc_size, gc_pct, density, modularity (signed, against the membership)."""
+def general_measures(edges: DataFrame, nodes: DataFrame, membership: DataFrame, quality: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """net, mean_fc, gc_size, gc_pct, density, modularity against the membership: signed, or what `quality` gives as
+    (net, value) of edges and membership."""
     from netloom.operators.community import q_signed
 
     n = _sizes(nodes)
     base = edges.groupBy("net").agg(F.avg("weight").alias("mean_fc"), F.count(F.lit(1)).alias("m"))
     giant = components(edges, nodes).groupBy("net", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("net").agg(F.max("c").alias("gc_size"))
-    out = n.join(base, "net", "left").join(giant, "net", "left").join(q_signed(edges, membership), "net", "left")
+    q = (quality or q_signed)(edges, membership)
+    q = q.select("net", F.col(next(c for c in q.columns if c != "net")).alias("q_signed"))
+    out = n.join(base, "net", "left").join(giant, "net", "left").join(q, "net", "left")
     return out.select("net", F.coalesce("mean_fc", F.lit(0.0)).alias("mean_fc"), "gc_size", (F.col("gc_size") * 100.0 / F.col("n_nodes")).alias("gc_pct"), (F.coalesce("m", F.lit(0)) * 2.0 / F.nullif(F.col("n_nodes") * (F.col("n_nodes") - 1), F.lit(0))).alias("density"), F.coalesce("q_signed", F.lit(0.0)).alias("modularity"))

@@ -118,6 +118,23 @@ def path_metrics(edges: DataFrame, nodes: DataFrame, metrics: Sequence[str] = ME
     return map_networks(with_isolated(edges, nodes), run, "net string, node string, " + ", ".join(f"{m} double" for m in metrics))
 
 
+def giant_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """net, gc_size: nodes of the largest component. For many networks of a size that fits a task; `nodal.components`
+    serves networks of any size."""
+
+    def run(net: str, names: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        label = np.arange(len(m))
+        linked = (m != 0) | np.eye(len(m), dtype=bool)
+        while True:
+            new = np.where(linked, label[None, :], len(m)).min(axis=1)
+            new = new[new]
+            if (new == label).all():
+                return pd.DataFrame({"net": [net], "gc_size": [int(np.bincount(label).max())]})
+            label = new
+
+    return map_networks(with_isolated(edges, nodes), run, "net string, gc_size long")
+
+
 #: Removals that one task computes of a network it has read.
 REMOVALS_A_TASK = 16
 

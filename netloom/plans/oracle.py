@@ -234,8 +234,8 @@ prof AS (
   WHERE gone = 0 AND mean_r2 < 1)"""
 
 
-def _perm(metric: str) -> str:
-    """Steps up to `mv` (rep, level, node, metric, value) under md5 permutations of the samples' labels."""
+def _perm_graph() -> str:
+    """The steps of GRAPH with a net for each level of each md5 permutation of the samples' labels."""
     return (
         ACT.replace("act AS (", "act0 AS (")
         + """,
@@ -251,6 +251,13 @@ act AS (SELECT l.rep || '|' || l.level AS net, l.sample, a.region, a.value FROM
 nodes AS (SELECT DISTINCT net, region AS node FROM act),
 memb AS (SELECT net, node, CAST(substr(node, 7, 1) AS INTEGER) AS comm FROM nodes),"""
         + HALF
+    )
+
+
+def _perm(metric: str) -> str:
+    """Steps up to `sp` (rep, level, node, metric, value) from those up to `mv` (net, node, metric, value)."""
+    return (
+        _perm_graph()
         + metric
         + ", sp AS (SELECT CAST(split_part(net, '|', 1) AS BIGINT) AS rep, split_part(net, '|', 2) AS level, node, metric, value FROM mv)"
     )
@@ -267,18 +274,6 @@ GROUP BY n.contrast, n.node, n.metric, r.diff"""
 
 _FIRST = ("x.value - y.value", "x.level || ' ~ ' || y.level", ">")
 _SECOND = ("y.value - x.value", "y.level || ' ~ ' || x.level", ">")
-_CBM = (
-    "," + BYCOMM + """,
-par AS (
-  SELECT m.net, m.node, coalesce(a, 0.0) - coalesce(sq / nullif(sp + sq, 0), 0.0) * coalesce(b, 0.0) AS value
-  FROM memb m LEFT JOIN (SELECT net, node, sp, sq, CASE WHEN sp > 0 THEN 1 - p2 / (sp * sp) ELSE 0 END AS a, CASE WHEN sq > 0 THEN 1 - q2 / (sq * sq) ELSE 0 END AS b FROM bt) t ON m.net = t.net AND m.node = t.node),
-ih AS (SELECT h.net, h.node, weight FROM half h JOIN memb a ON h.net = a.net AND h.node = a.node JOIN memb b ON h.net = b.net AND h.other = b.node AND a.comm = b.comm),
-cs AS (SELECT net, node, count(*) OVER (PARTITION BY net, comm) AS nn FROM memb),
-ipq AS (SELECT cs.net, cs.node, any_value(nn) AS nn, coalesce(sum(greatest(weight, 0.0)), 0.0) AS p, coalesce(sum(greatest(-weight, 0.0)), 0.0) AS q FROM cs LEFT JOIN ih ON cs.net = ih.net AND cs.node = ih.node GROUP BY cs.net, cs.node),
-mv AS (
-  SELECT net, node, 'participation' AS metric, round(value, 9) AS value FROM par
-  UNION ALL SELECT net, node, 'wcs', round(coalesce(coalesce(p / nullif(nn - 1, 0), 0.0) - q / nullif(p + q, 0) * coalesce(q / nullif(nn - 1, 0), 0.0), 0.0), 9) FROM ipq)"""
-)
 _TREE = lambda body: "WITH RECURSIVE " + TREE + "\n" + body
 ORACLE_SQL |= {
     "clean_data": sql(
@@ -336,22 +331,6 @@ SELECT file, p[1] AS experiment, p[2] AS subject, p[3] AS hemisphere, p[4] AS si
     ),
     "sig_func_effect": sql(_RES, "SELECT contrast, node, CAST(CASE WHEN p_value > 0.05 THEN 0 WHEN diff >= 0 THEN 1 ELSE -1 END AS INTEGER) AS effect FROM res"),
     "perm_edges": sql(_perm(", mv AS (SELECT net, src || ' ~ ' || dst AS node, 'r' AS metric, round(coalesce(r, 0.0), 9) AS value FROM edges)"), "")[:-1] + _perm_out(*_FIRST),
-    "perm_nodal": sql(
-        _perm(
-            "," + SIGNED + ", dg AS (SELECT n.net, n.node, count(h.other) / CAST(any_value(n_nodes) - 1 AS DOUBLE) AS degree, coalesce(sum(weight), 0.0) AS strength FROM nodes n JOIN sizes USING (net) LEFT JOIN half h ON n.net = h.net AND n.node = h.node GROUP BY n.net, n.node), mv AS (SELECT net, node, 'degree' AS metric, round(degree, 9) AS value FROM dg UNION ALL SELECT net, node, 'strength', round(strength, 9) FROM dg UNION ALL SELECT net, node, 's_signed', round(s_asym, 9) FROM signed)"
-        ),
-        "",
-    )[:-1]
-    + _perm_out(*_SECOND),
-    "perm_general": sql(
-        _perm(
-            "," + QPARTS + ", gb AS (SELECT s.net, coalesce(mean_fc, 0.0) AS mean_fc, coalesce(m, 0) * 2.0 / (n_nodes * (n_nodes - 1)) AS density, q_signed FROM sizes s LEFT JOIN (SELECT net, avg(weight) AS mean_fc, count(*) AS m FROM g GROUP BY net) b ON s.net = b.net JOIN qsig ON s.net = qsig.net), mv AS (SELECT net, '' AS node, 'mean_fc' AS metric, round(mean_fc, 9) AS value FROM gb UNION ALL SELECT net, '', 'density', round(density, 9) FROM gb UNION ALL SELECT net, '', 'modularity', round(q_signed, 9) FROM gb)"
-        ),
-        "",
-    )[:-1]
-    + _perm_out("abs(x.value - y.value)", "x.level || ' ~ ' || y.level", ">="),
-    "perm_cbm": sql(_perm(_CBM), "")[:-1] + _perm_out(*_FIRST),
-    "perm_cbm_base": sql(_perm(_CBM), "")[:-1] + _perm_out(*_SECOND),
 }
 
 
@@ -648,3 +627,48 @@ cd AS (SELECT net, node, k, sum(sum(c)) OVER (PARTITION BY net, node ORDER BY k)
 }
 _PARTS_OF = {m: (m, m) for m in _MEASURES} | {"signed_strength": ("signed_strength_asym", "s_signed"), "transitivity": ("transitivity_local", "transitivity")}
 ORACLE_SQL["nodal_measures"] = "SELECT net, node, " + ", ".join(f"{m}.{column} AS {m}" for m, (_, column) in _PARTS_OF.items()) + " FROM " + " JOIN ".join(f"({ORACLE_SQL[of]}) {m}" + (" USING (net, node)" if k else "") for k, (m, (of, _)) in enumerate(_PARTS_OF.items()))
+
+
+def _perm_of(parts: dict[str, tuple[str, str]], out: tuple[str, str, str]) -> str:
+    """The comparison of metrics (name -> query, column) of other queries, run over the permuted nets."""
+    each = []
+    for metric, (of, column) in parts.items():
+        text = ORACLE_SQL[of]
+        assert GRAPH in text
+        node = "''" if of == "general_measures" else "node"
+        each.append(f"SELECT net, {node} AS node, '{metric}' AS metric, CAST({column} AS DOUBLE) AS value FROM ({text.replace(GRAPH, _perm_graph())})")
+    return sql(_perm(", mv AS (" + "\n  UNION ALL ".join(each) + ")"), "")[:-1] + _perm_out(*out)
+
+
+_CBM = {"participation": ("participation", "p_signed"), "diversity": ("diversity", "h_signed"), "gateway": ("gateway_str", "gw_signed"), "wcs": ("within_community_strength", "wcs")}
+_PRICES = """
+pv AS (SELECT o_orderpriority AS net, o_orderstatus AS arm, ln(o_totalprice) AS value FROM orders WHERE o_orderstatus IN ('F', 'O')),
+mo AS (SELECT net, arm, count(value) AS n, avg(value) AS mean, var_samp(value) AS v FROM pv GROUP BY ALL),
+ab AS (SELECT x.net, x.arm AS a, y.arm AS b, x.n AS na, y.n AS nb, x.mean AS ma, y.mean AS mb, x.v AS va, y.v AS vb FROM mo x JOIN mo y ON x.net = y.net AND x.arm < y.arm),
+w AS (SELECT net, a, b, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df, ma - mb AS diff FROM ab)"""
+_BOTH = _PROFILE + """,
+pts AS (SELECT net, 'mean_signal' AS predictor, mean_signal AS x, mean_r2 AS y FROM prof UNION ALL SELECT net, 'coef_var', coef_var, mean_r2 FROM prof WHERE coef_var IS NOT NULL),
+rg AS (SELECT net, predictor, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cxy FROM pts GROUP BY ALL),
+rb AS (SELECT *, cxy / vx AS beta, vy * (n - 1) AS nd, greatest(0.0, vy * (n - 1) - cxy / vx * cxy * (n - 1)) AS dev FROM rg),
+rs AS (SELECT *, sqrt(dev / (n - 2) / (vx * (n - 1))) AS se, CAST(n - 2 AS DOUBLE) AS df FROM rb)"""
+_P_LM = _t_whole("(beta / se)", "df")
+ORACLE_SQL |= {
+    "perm_nodal": _perm_of({m: _PARTS_OF[m] for m in _MEASURES[:-1]}, _SECOND),
+    "perm_general": _perm_of({m: ("general_measures", m) for m in ("mean_fc", "gc_size", "gc_pct", "density", "modularity")}, ("abs(x.value - y.value)", "x.level || ' ~ ' || y.level", ">=")),
+    "perm_cbm": _perm_of(_CBM, _FIRST),
+    "perm_cbm_base": _perm_of(_CBM, _SECOND),
+    "functional_effect": sql(
+        EDGES + ", fe AS (SELECT net, src || ' ~ ' || dst AS node, round(CASE WHEN abs(r) > 0.1 THEN atanh(abs(r)) ELSE 0.0 END, 6) AS value FROM edges)",
+        f"SELECT x.net || ' ~ ' || y.net AS contrast, x.node, 'r' AS metric, {six('x.value - y.value')} AS diff FROM fe x JOIN fe y ON x.node = y.node AND x.net < y.net",
+    ),
+    "factor_comp": sql(
+        _PRICES + f", wt AS (SELECT net, a, b, t, diff, q, {_t_p('t', 'df')} AS p FROM {_t_975('w', 'df')})",
+        f"SELECT net, 'price' AS region, a, b, {six('t')} AS t, {six('p')} AS p, {six('diff - abs(diff / t) * q')} AS lower, {six('diff + abs(diff / t) * q')} AS upper, {six('p')} AS adj_p FROM wt",
+    ),
+    "factor_comp_boot": "SELECT 'segment' AS net, region, a, b, stat AS t, std_error, p, lower, upper FROM (" + ORACLE_SQL["boot_ci"] + ")",
+    "activity_vs_connectivity": sql(
+        _BOTH,
+        f"SELECT net, predictor, n, {six('beta')} AS beta, {six('my - beta * mx')} AS intercept, {six('se')} AS std_error, {six('beta / se')} AS t, {six('1 - dev / nd')} AS r2, {six('pow(beta / se, 2)')} AS f, {six('dev')} AS deviance, {six('nd')} AS null_deviance, "
+        f"{six(_P_LM)} AS p, {six('beta - se * q')} AS lower, {six('beta + se * q')} AS upper, {six(_P_LM)} AS model_p, CAST(NULL AS DOUBLE) AS pseudo_r2, CAST(NULL AS DOUBLE) AS ratio_p FROM {_t_975('rs', 'df')}",
+    ),
+}

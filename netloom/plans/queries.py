@@ -493,26 +493,34 @@ def perm_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def perm_nodal(spark: SparkSession, sf: str) -> DataFrame:
     a, s = _samples(spark, sf)
-    return inference.permutation_test(a, s, lambda x: inference.nodal_metrics(x, places=9), REPS, first_minus_second=False)
+    return inference.permutation_test(a, s, lambda x: inference.nodal_metrics(x, metrics=inference.NODAL[:-1], places=6), REPS, first_minus_second=False)
 
 
 @query
 def perm_general(spark: SparkSession, sf: str) -> DataFrame:
     a, s = _samples(spark, sf)
     m = _brand_comm(spark, sf).select("node", "comm").distinct()
-    return inference.permutation_test(a, s, lambda x: inference.global_metrics(x, m, places=9), REPS, absolute=True, comparator=">=")
+    return inference.permutation_test(a, s, lambda x: inference.global_metrics(x, m, places=6), REPS, absolute=True, comparator=">=")
 
 
 @query
 def perm_cbm(spark: SparkSession, sf: str) -> DataFrame:
     a, s = _samples(spark, sf)
-    return inference.permutation_test(a, s, lambda x: inference.community_node_metrics(x, _brand_comm(spark, sf), places=9), REPS)
+    return inference.permutation_test(a, s, lambda x: inference.community_node_metrics(x, _brand_comm(spark, sf), places=6), REPS)
 
 
 @query
 def perm_cbm_base(spark: SparkSession, sf: str) -> DataFrame:
     a, s = _samples(spark, sf)
-    return inference.permutation_test(a, s, lambda x: inference.community_node_metrics(x, _brand_comm(spark, sf), base="A", places=9), REPS, first_minus_second=False)
+    return inference.permutation_test(a, s, lambda x: inference.community_node_metrics(x, _brand_comm(spark, sf), base="A", places=6), REPS, first_minus_second=False)
+
+
+@query
+def functional_effect(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences of thresholded, normalised edges between levels."""
+    a, s = _samples(spark, sf)
+    m = inference.edge_metrics(inference.permuted_activity(a, s, 0), 6, negs="abs", kind="r", cut=0.1, how="fisherz")
+    return inference.contrasts(m).drop("rep")
 
 
 @query
@@ -558,6 +566,24 @@ def glm_activity_connectivity(spark: SparkSession, sf: str) -> DataFrame:
     return act.regression_test(prep.level_profile(d.activity(spark, sf), d.edges(spark, sf)), ["net"], "coef_var", "mean_r2", "glm")
 
 
+@query
+def factor_comp(spark: SparkSession, sf: str) -> DataFrame:
+    """Order prices by status, apart for each priority, with adjusted p-values."""
+    o = d.table(spark, sf, "orders").filter("o_orderstatus IN ('F', 'O')")
+    o = o.select(F.col("o_orderkey").cast("string").alias("sample"), F.lit("price").alias("region"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.ln("o_totalprice").alias("value"))
+    return act.factor_comparison(o, "status", ["priority"], fdr=True)
+
+
+@query
+def factor_comp_boot(spark: SparkSession, sf: str) -> DataFrame:
+    return act.factor_comparison(_balances(spark, sf).withColumnRenamed("arm", "segment"), "segment", boot=True, resamples=30)
+
+
+@query
+def activity_vs_connectivity(spark: SparkSession, sf: str) -> DataFrame:
+    return act.activity_connectivity(d.activity(spark, sf))
+
+
 def _some_p(spark: SparkSession, sf: str) -> DataFrame:
     """p-values with ties and a null."""
     c = d.table(spark, sf, "customer")
