@@ -35,6 +35,50 @@ def permuted_activity(activity: DataFrame, samples: DataFrame, resamples: int, s
     return activity.join(labels, "sample").select(F.concat_ws("|", "rep", "level").alias("net"), "sample", "region", "value")
 
 
+#: Replicates that one task makes of an experiment it has read, and the cells of an experiment that may be read so.
+REPS_A_TASK, CELLS_A_TASK = 50, 20_000_000
+
+
+def permuted_edges(activity: DataFrame, samples: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
+    """net (rep|level), src, dst, r, n: corr_edges of permuted_activity by matrix products. The experiment's cells go once
+    to each block of replicates, instead of once to each replicate and then into pairs."""
+    labels = permuted_labels(samples, resamples, seed).withColumn("block", F.expr(f"rep DIV {REPS_A_TASK}"))
+    blocks = activity.sparkSession.range(resamples // REPS_A_TASK + 1).withColumnRenamed("id", "block")
+    cells = activity.select("sample", "region", F.col("value").cast("double").alias("value")).crossJoin(F.broadcast(blocks)).toDF("cell_sample", "region", "value", "block")
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="cell_sample", columns="region", values="value", aggfunc="first").sort_index(axis=1)
+        names, place = wide.columns.to_numpy(str), {name: k for k, name in enumerate(wide.index)}
+        x, (i, j) = wide.to_numpy(float), np.triu_indices(wide.shape[1], 1)
+        out = []
+        for (rep, level), f in own.groupby(["rep", "level"]):
+            r, n = pairwise_r(x[[place[name] for name in f["sample"] if name in place]])
+            out.append(pd.DataFrame({"net": f"{rep}|{level}", "src": names[i], "dst": names[j], "r": r[i, j], "n": n[i, j]})[n[i, j] > 0])
+        edges = pd.concat(out) if out else pd.DataFrame({"net": [], "src": [], "dst": [], "r": [], "n": []})
+        return edges.astype({"r": object}).where(edges["r"].notna(), None) if edges["r"].isna().any() else edges
+
+    return cells.groupBy("block").cogroup(labels.groupBy("block")).applyInPandas(run, "net string, src string, dst string, r double, n long")
+
+
+def pairwise_r(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(r, n) between the columns of x over the rows where both have a value; nan where one does not vary."""
+    here = ~np.isnan(x)
+    with np.errstate(all="ignore"):
+        middle = np.where(here.any(axis=0), np.nansum(x, axis=0) / np.maximum(here.sum(axis=0), 1), 0.0)
+        v, m = np.where(here, x - middle, 0.0), here.astype(float)
+        n, s, q = m.T @ m, v.T @ m, (v * v).T @ m
+        cov, var = v.T @ v - s * s.T / n, q - s * s / n
+        # Rounding errors of a column that does not vary are no variance.
+        scale = np.where(here, np.abs(x), 0.0).max(axis=0, initial=0.0)
+        var = np.where(var > n * (1e-13 * scale[:, None]) ** 2, var, np.nan)
+        return cov / np.sqrt(var * var.T), n.astype(int)
+
+
+def _edges(activity: DataFrame) -> DataFrame:
+    """The correlations of activity, which may be a table of them already."""
+    return activity if "src" in activity.columns else network.corr_edges(activity)
+
+
 def contrasts(metrics: DataFrame, first_minus_second: bool = True, absolute: bool = False) -> DataFrame:
     """rep, contrast, node, metric, diff of each pair of levels a < b. metrics: net (rep|level), node, metric, value.
 
@@ -58,10 +102,13 @@ def p_values(diffs: DataFrame, comparator: str = ">", two_sided: bool = True) ->
 
 
 def permutation_test(activity: DataFrame, samples: DataFrame, metric_fn: Callable[[DataFrame], DataFrame], resamples: int = 10_000, seed: int = 0, first_minus_second: bool = True, absolute: bool = False, comparator: str = ">") -> DataFrame:
-    """p_values of metric_fn (activity with net -> net, node, metric, value) under permuted labels.
+    """p_values of metric_fn (-> net, node, metric, value) under permuted labels.
 
-    metric_fn may round; ties between a replicate and the data then count by `comparator`."""
-    metrics = metric_fn(permuted_activity(activity, samples, resamples, seed))
+    metric_fn takes the correlations of all replicates (net, src, dst, r, n), or their activity (net, sample, region,
+    value) where an experiment has more than CELLS_A_TASK cells; the metrics below take either. It may round; ties
+    between a replicate and the data then count by `comparator`."""
+    small = activity.limit(CELLS_A_TASK + 1).count() <= CELLS_A_TASK
+    metrics = metric_fn((permuted_edges if small else permuted_activity)(activity, samples, resamples, seed))
     return p_values(contrasts(metrics, first_minus_second, absolute), comparator)
 
 
@@ -75,7 +122,7 @@ def _long(wide: DataFrame, columns: list[str], places: int | None) -> DataFrame:
 def edge_metrics(activity: DataFrame, places: int | None = None, weak_link: int | None = None, negs: str = "keep", kind: str | None = None, cut: float = 0.0, how: str | None = None) -> DataFrame:
     """The correlation of every edge, 0 (or 10**-weak_link) where it is undefined, with the policies, threshold and
     normalisation of built networks; the node is `src ~ dst`."""
-    e = network.negatives(network.fill_undefined(network.corr_edges(activity), weak_link), negs)
+    e = network.negatives(network.fill_undefined(_edges(activity), weak_link), negs)
     if kind is not None:
         e = network.threshold(e, kind, [cut]).drop("cut")
     if how is not None:
@@ -84,9 +131,10 @@ def edge_metrics(activity: DataFrame, places: int | None = None, weak_link: int
 
 
 def _graph(activity: DataFrame, cut: float) -> tuple[DataFrame, DataFrame]:
-    e = network.fill_undefined(network.corr_edges(activity))
     # Metrics read the edges several times; the pairs of all replicates are made once.
-    return network.checkpointed(network.graph(e.filter(F.abs("r") > cut))), network.checkpointed(activity.select("net", F.col("region").alias("node")).distinct())
+    e = network.checkpointed(network.fill_undefined(_edges(activity)))
+    nodes = network.ends(e.withColumnRenamed("r", "weight")).select("net", "node") if "src" in activity.columns else activity.select("net", F.col("region").alias("node"))
+    return network.graph(e.filter(F.abs("r") > cut)), network.checkpointed(nodes.distinct())
 
 
 #: Metrics of `nodal_measures`; any of them can be compared.
