@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Sequence
 from typing import TypeVar
 
@@ -23,10 +24,13 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A local one is set only where the session has none."""
+    """The folder all executors share: spark.checkpoint.dir. A local one is made only where the session has none, and in
+    local mode only: on a cluster, other machines could not read it."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corpus-work-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -38,10 +42,18 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all that this application's operators wrote to the shared folder; results not yet read are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}")
+
+
+#: Paths of stored tables by the table's number, for `dropped`.
+_PATHS: dict[int, str] = {}
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -49,7 +61,29 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` gave, once all that reads them is stored itself."""
+    for t in tables:
+        if (path := _PATHS.pop(id(t), None)) is not None:
+            _delete(t.sparkSession, path)
+
+
+def written(spark: SparkSession) -> set[str]:
+    """The folders that this application's operators have in the shared folder now."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(f.getPath()) for f in fs.listStatus(at)} if fs.exists(at) else set()
+
+
+def drop_folders(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
 
 
 def short_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import stored
+from netloom.llm.common import dropped, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if seen == mark or seen[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         mark = seen
-        now = stored(_small_star(_large_star(now)), "edges")
+        last, now = now, stored(_small_star(_large_star(now)), "edges")
+        dropped(last)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import short_batches, stored, worker_cache
+from netloom.llm.common import dropped, short_batches, stored, worker_cache
 from netloom.llm.components import components
 
 WORDS, BANDS, ROWS, BATCH = 5, 32, 4, 32
@@ -246,9 +246,9 @@ def _forest(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct: int, miss: float) -> DataFrame:
+def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct: int, miss: float) -> tuple[DataFrame, DataFrame]:
     """u, v of verified links that join all linked classes that share a band of told (band, rep, label, size, blocks)
-    under different labels; blocks is the band's number of blocks."""
+    under different labels, and a stored table that they are read from; blocks is the band's number of blocks."""
     least = [(n, least_matches(n, threshold_pct / 100, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
     key = ["band", "low", "high"]
 
@@ -278,7 +278,7 @@ def _between(told: DataFrame, classes: DataFrame, docs: DataFrame, threshold_pct
     rows = rows.join(classes.select("rep", "sig"), "rep").select(*key, "rep", "label", "block", "size", "sig")
     noted = stored(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(note, "band long, low long, high long, rep long, partners array<long>"), "noted")
     texts = noted.join(_maybe_needed(docs, noted.select(F.col("rep").alias("id"))), F.col("rep") == F.col("row")).select(*key, "rep", "partners", "text")
-    return texts.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "u long, v long").distinct()
+    return texts.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "u long, v long").distinct(), noted
 
 
 def _linked(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
@@ -350,8 +350,10 @@ def _judged(docs: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed:
     mixed = stored(mixed.select("band", blocks.alias("blocks")), "mixed")
     # Joined by a shuffle, all rows of a crowded band would be in one task.
     told = told.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_BANDS else mixed, "band")
-    second = _between(told, classes, docs, threshold_pct, miss)
+    second, noted = _between(told, classes, docs, threshold_pct, miss)
     final = components(first.unionByName(second))
+    # All that came before is in `final`.
+    dropped(members, star, first, labels, mixed, noted)
 
     of = classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep", "lead").join(final, F.col("rep") == F.col("node"), "left")
     linked = of.filter("component IS NOT NULL").select("h", "l", "lead", F.col("component").alias("name"))
@@ -365,7 +367,10 @@ def _judged(docs: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed:
 def near_duplicates(df: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return _judged(stored(docs, "docs").select("row", "doc_id", "text"), threshold_pct, miss, seed).drop("row")
+    docs = stored(docs, "docs")
+    out = _judged(docs.select("row", "doc_id", "text"), threshold_pct, miss, seed).drop("row")
+    dropped(docs)
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.llm.common import placed, short_batches, stored, with_prefix
+from netloom.llm.common import dropped, placed, short_batches, stored, with_prefix
 from netloom.llm.tokens import Encoder
 
 BUCKETS, DIMS, BITS = 256, 4, 15
@@ -94,9 +94,12 @@ def _range_starts(keys: DataFrame, range_bytes: int) -> list[tuple[int, int]]:
     total = keys.agg(F.sum("bytes")).first()[0] or 0
     target = max(range_bytes, total // MOST_RANGES + 1)
     order = ["key", "id"]
-    cut = with_prefix(placed(keys, order, tag="curve"), order, {"before": "bytes"})
+    table = placed(keys, order, tag="curve")
+    cut = with_prefix(table, order, {"before": "bytes"})
     starts = cut.groupBy(F.expr(f"before DIV {target}").alias("range")).agg(F.min(F.struct(*order)).alias("first"))
-    return sorted((r["first"]["key"], r["first"]["id"]) for r in starts.collect())[1:]
+    first = sorted((r["first"]["key"], r["first"]["id"]) for r in starts.collect())
+    dropped(table)
+    return first[1:]
 
 
 def pack(df: DataFrame, vocab: str, length: int = 2048, end_id: int = 1, with_ids: bool = False, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -111,7 +114,9 @@ def pack(df: DataFrame, vocab: str, length: int = 2048, end_id: int = 1, with_id
 
     short_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    starts = _range_starts(stored(docs.mapInArrow(measured, "key long, id long, bytes long"), "keys"), range_bytes)
+    keys = stored(docs.mapInArrow(measured, "key long, id long, bytes long"), "keys")
+    starts = _range_starts(keys, range_bytes)
+    dropped(keys)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

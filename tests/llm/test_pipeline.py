@@ -124,10 +124,30 @@ def test_stages_of_an_empty_table(spark) -> None:  # noqa: ANN001
 
 
 def test_stages_with_nulls_and_clashing_names(spark) -> None:  # noqa: ANN001
-    text = " ".join(f"word{i}" for i in range(80)) + "."
-    rows = [(1, text, None, "x", 1), (2, None, "s", "y", 2), (None, text + " more.", "s", None, 3), (1, text, None, "x", 1), (3, text.upper(), "s", "z", 4)]
+    text, own = (" ".join(f"{w}{i}" for i in range(80)) + "." for w in ("word", "own"))
+    rows = [(1, text, None, "x", 1), (2, None, "s", "y", 2), (None, text + " more.", "s", None, 3), (1, text, None, "x", 1), (3, text.upper(), "s", "z", 4), (None, own, "s", None, 5)]
     now = spark.createDataFrame(rows, "doc_id long, text string, source string, norm string, size int")
-    for _, stage in corpus_pipeline.STAGES[:4]:
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
         now = stage(spark, now, SF)
         assert now.columns == ["doc_id", "text", "source", "norm", "size"]
-    assert {r["doc_id"] for r in now.collect()} == {1}
+        # The row without an identifier that is like no other stays through every stage.
+        assert any(r["doc_id"] is None and r["text"] == own for r in now.collect()) or k == 3
+    # 160 words; s weighs 1 and the null source 2: 53 words of one, 107 of the other.
+    got = Counter((r["doc_id"], r["size"], len(r["text"].split())) for r in now.collect())
+    assert got == Counter([(None, 5, 53), (1, 1, 80), (1, 1, 27)])
+    pieces = corpus_pipeline.STAGES[4][1](spark, now, SF).collect()
+    assert {r["doc_id"] for r in pieces} == {None, 1}
+
+
+def test_run_leaves_only_what_its_result_reads(spark) -> None:  # noqa: ANN001
+    from netloom.llm.common import release, shared_dir, stored, written
+
+    release(spark)
+    pieces = corpus_pipeline.run(spark, SF)
+    assert pieces.count() > 0
+    names = sorted(f.rstrip("/").rsplit("/", 1)[1].rsplit("-", 1)[0] for f in written(spark))
+    assert names == ["mixing", "pieces"]
+    kept = stored(spark.range(3).toDF("a"), "kept")
+    assert kept.count() == 3 and shared_dir(spark)
+    release(spark)
+    assert not written(spark)
