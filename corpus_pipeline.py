@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import stored
+from netloom.llm.common import drop_folders, stored, written
 from netloom.llm.exact_dedup import drop_exact_duplicates
 from netloom.llm.mixing import mixed_rows
 from netloom.llm.near_dup import drop_near_duplicates
@@ -59,8 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is stored in the shared folder and read by the next stage."""
+    """The stages over documents; each result is stored in the shared folder and read by the next stage. What a stage
+    read and wrote on its way is deleted once its result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    read: set[str] = set()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = written(spark)
+        result = stage(spark, docs, sf_dir)
+        on_the_way = written(spark) - before
+        docs = stored(result, name.replace(" ", "-"))
+        drop_folders(spark, on_the_way | read)
+        read = written(spark) - before - on_the_way
     return STAGES[-1][1](spark, docs, sf_dir)
