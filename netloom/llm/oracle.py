@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from netloom.llm.quality import PHRASES
+
 EXACT_DEDUP = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -61,7 +63,7 @@ good AS (
   SELECT doc_id, CAST(sum(n) AS BIGINT) AS clean_words FROM lw
   WHERE (regexp_matches(line, '[.!?:;\x{2026}"''\x{201d}\x{2019}\x{bb})\]][\x20\x09-\x0D]*$') OR n > 12)
     AND noise * 100 < n * 20 AND NOT bars * 5 > n
-    AND NOT (n <= 30 AND regexp_matches(line, '(?i)(?:all rights reserved|cookies? (?:policy|settings)|we use cookies|enable javascript|privacy policy|terms of (?:use|service)|sign (?:in|up)\b|log ?in\b|subscribe (?:now|to)|click here|share (?:this|on)|skip to (?:main )?content|back to top)'))
+    AND NOT (n <= 30 AND regexp_matches(line, '(?i)(?:{phrases})'))
   GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -73,7 +75,7 @@ b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_fail
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_words,
        NOT base_failed AND clean_words * 100 >= n_words * 50 AS kept
 FROM b
-"""
+""".replace("{phrases}", PHRASES)
 
 SHARDING = r"""
 WITH crc_table AS (

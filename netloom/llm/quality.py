@@ -23,8 +23,19 @@ from netloom.llm.common import WORD, words
 ENDS = r"[.!?:;…\"'”’»)\]][\x20\x09-\x0D]*$"
 #: A word that carries a symbol, or ends in two exclamation marks.
 NOISE_WORD = r"[^\x20\x09-\x0D]*(?:[#*$%&|<>]|!!)[^\x20\x09-\x0D]*"
-#: Site phrases that make a short line boilerplate.
-PHRASES = r"(?i)(?:all rights reserved|cookies? (?:policy|settings)|we use cookies|enable javascript|privacy policy|terms of (?:use|service)|sign (?:in|up)\b|log ?in\b|subscribe (?:now|to)|click here|share (?:this|on)|skip to (?:main )?content|back to top)"
+#: Site phrases that make a short line boilerplate, in English, German, French and Spanish. Fixed values; any case.
+PHRASES = "|".join(
+    (
+        r"all rights reserved|cookies? (?:policy|settings)|we use cookies|enable javascript|privacy policy|terms of (?:use|service)",
+        r"sign (?:in|up)\b|log ?in\b|subscribe (?:now|to)|click here|share (?:this|on)|skip to (?:main )?content|back to top",
+        r"alle rechte vorbehalten|cookie-(?:einstellungen|richtlinie)|wir verwenden cookies|datenschutzerklärung|nutzungsbedingungen",
+        r"jetzt (?:anmelden|abonnieren|registrieren)|hier klicken|zum inhalt springen|nach oben scrollen|javascript aktivieren",
+        r"tous droits réservés|politique de confidentialité|conditions d.utilisation|nous utilisons des cookies|gérer les cookies",
+        r"se connecter\b|abonnez-vous|cliquez ici|aller au contenu|retour en haut|activer javascript",
+        r"todos los derechos reservados|política de (?:privacidad|cookies)|términos (?:de uso|y condiciones)|utilizamos cookies",
+        r"iniciar sesión|suscríbete|haga clic aquí|saltar al contenido|volver arriba|activar javascript",
+    )
+)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -38,7 +49,7 @@ def line_passes(line: Column, n: Column, noise_pct: int = 20, short_words: int =
     noise = F.when(line.rlike(r"[#*$%&|<>]|!!"), _count(line, NOISE_WORD)).otherwise(F.lit(0))
     punctuation = line.rlike(ENDS) | (n > short_words * 4)
     navigation = _count(line, r"[|»›•]") * 5 > n
-    boilerplate = (n <= phrase_words) & line.rlike(PHRASES)
+    boilerplate = (n <= phrase_words) & line.rlike(f"(?iu)(?:{PHRASES})")
     return punctuation & (noise * 100 < n * noise_pct) & ~navigation & ~boilerplate
 
 

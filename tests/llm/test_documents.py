@@ -279,6 +279,15 @@ def test_quality_base(spark) -> None:  # noqa: ANN001
         assert r["base_failed"] == (len(w) < 50 or 100 * covered > 50 * len(w))
 
 
+def test_site_phrases_in_four_languages(spark) -> None:  # noqa: ANN001
+    good = "\n".join(f"A sentence of text number {k} with words of its own stands here and ends." for k in range(6))
+    phrases = ["Click here to go on with the story.", "Alle Rechte vorbehalten.", "TOUS DROITS RÉSERVÉS.", "Política de privacidad del sitio.", "Jetzt anmelden und mehr lesen."]
+    near = ["Hier war ein Klick zu hören.", "Les droits de tous sont importants.", "Los derechos de todos importan."]
+    rows = [(k, good + "\n" + x) for k, x in enumerate(phrases + near)]
+    got = {r["doc_id"]: r["clean_text"] for r in measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] == (good if k < len(phrases) else t) for k, t in rows] == [True] * len(rows)
+
+
 def test_quality_lines(spark, edges) -> None:  # noqa: ANN001
     good = " ".join(f"word{i}" for i in range(60)) + "."
     bad = "\n".join(["Home | News | About", "LOUD!! NOISE!! HERE!!", "Accept our cookie policy now.", "no end", good])
