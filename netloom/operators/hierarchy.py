@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.operators.network import checkpointed
+
 #: Subtrees that trimming removes, and where one region moves first.
 REMOVED_SUBTREES = (1009, 1024, 73, 512, 354)
 MOVED_REGION, MOVED_TO = "Fields of Forel", 290
@@ -119,8 +121,10 @@ def leaves(regions: DataFrame) -> DataFrame:
 
 def trim(regions: DataFrame, root: int = 8, removed: Sequence[int] = REMOVED_SUBTREES, rules: Sequence = TRIM_RULES) -> DataFrame:
     """The leaves that stay after removing subtrees and the names that rules match."""
-    moved = without_subtrees(regions, removed).withColumn("parent_id", F.when(F.col("region") == MOVED_REGION, F.lit(MOVED_TO)).otherwise(F.col("parent_id")))
-    return leaves(subtree(moved, root).filter(~matches_rules(F.col("region"), rules)))
+    # The second closure's recursion would run the first one anew in every round.
+    moved = checkpointed(without_subtrees(regions, removed)).withColumn("parent_id", F.when(F.col("region") == MOVED_REGION, F.lit(MOVED_TO)).otherwise(F.col("parent_id")))
+    # Leaves read the kept regions twice, and both closures with them.
+    return leaves(checkpointed(subtree(moved, root).filter(~matches_rules(F.col("region"), rules))))
 
 
 def drop_uncounted_children(regions: DataFrame, activity: DataFrame) -> DataFrame:

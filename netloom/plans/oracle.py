@@ -296,7 +296,7 @@ SELECT file, p[1] AS experiment, p[2] AS subject, p[3] AS hemisphere, p[4] AS si
         ", kept AS (SELECT * FROM tree t WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.id = t.id AND up.ancestor_id = 3) AND NOT (region LIKE '%7%' AND region <> 'Supplier#000000007'))\nSELECT id, parent_id, region FROM kept WHERE id NOT IN (SELECT parent_id FROM kept WHERE parent_id IS NOT NULL)"
     ),
     "noncounted_child": _TREE(
-        ", tot AS (SELECT id, sum(value) AS total FROM (SELECT * FROM counts WHERE net = 'R' AND value < 0 UNION ALL SELECT * FROM counts WHERE id < 1005) GROUP BY id), ps AS (SELECT parent_id FROM tree LEFT JOIN tot USING (id) GROUP BY parent_id HAVING sum(coalesce(total, 0)) = 0)\nSELECT id, parent_id, region FROM tree t WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.parent_id = t.parent_id)"
+        ", tot AS (SELECT id, sum(value) AS total FROM counts GROUP BY id), ps AS (SELECT parent_id FROM tree LEFT JOIN tot USING (id) GROUP BY parent_id HAVING sum(coalesce(total, 0)) = 0)\nSELECT id, parent_id, region FROM tree t WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.parent_id = t.parent_id)"
     ),
     "anatomical_group_map": _TREE(
         ", named AS (SELECT t.id AS ancestor_id, g.grp FROM tree t JOIN (VALUES ('root', 'other'), ('AFRICA', 'south'), ('ASIA', 'east'), ('Nation_3', 'own'), ('NATION_3', 'own')) g(root, grp) ON t.region = g.root), near AS (SELECT up.id, arg_min(grp, depth) AS grp FROM up JOIN named USING (ancestor_id) GROUP BY up.id)\nSELECT t.id, t.region, near.grp AS anatomical_group FROM tree t LEFT JOIN near ON t.id = near.id"
@@ -672,3 +672,53 @@ ORACLE_SQL |= {
         f"{six(_P_LM)} AS p, {six('beta - se * q')} AS lower, {six('beta + se * q')} AS upper, {six(_P_LM)} AS model_p, CAST(NULL AS DOUBLE) AS pseudo_r2, CAST(NULL AS DOUBLE) AS ratio_p FROM {_t_975('rs', 'df')}",
     ),
 }
+
+
+# The rest of preparation, trees and hierarchies.
+
+
+def _trimmed() -> str:
+    from netloom.operators.hierarchy import MOVED_REGION, REMOVED_SUBTREES, TRIM_RULES
+    from netloom.plans.queries import TRIM_NAMES
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    names = ", ".join(map(text, TRIM_NAMES))
+    rules = " OR ".join("(" + " AND ".join(f"regexp_matches(region, {text(p)})" for p in patterns) + (f" AND region NOT IN ({', '.join(map(text, kept))})" if kept else "") + ")" for patterns, kept in TRIM_RULES)
+    # No name of the list is the one that moves, and no subtree of the test tree is one of those that go.
+    assert MOVED_REGION not in TRIM_NAMES and not {0, *range(1, 6)} & set(REMOVED_SUBTREES)
+    return _TREE(
+        f", removed AS (SELECT up.id FROM up WHERE up.ancestor_id IN ({', '.join(map(str, REMOVED_SUBTREES))})), nm AS (SELECT id, parent_id, [{names}][id % {len(TRIM_NAMES)} + 1] AS region FROM tree), kept AS (SELECT * FROM nm WHERE id NOT IN (SELECT id FROM removed) AND NOT ({rules}))\n"
+        "SELECT id, parent_id, region FROM kept WHERE id NOT IN (SELECT parent_id FROM kept WHERE parent_id IS NOT NULL)"
+    )
+
+
+_LEVERAGE = ", t AS (SELECT h.net, h.node, (a.k - b.k) / nullif(a.k + b.k, 0) AS term FROM half h JOIN k a ON h.net = a.net AND h.node = a.node JOIN k b ON h.net = b.net AND h.other = b.node)"
+_LEVERAGE_OUT = f"SELECT n.net, n.node, {six('CASE WHEN count(term) = 0 OR count(term) < count(t.net) THEN -1.0 ELSE avg(term) END')} AS leverage FROM nodes n LEFT JOIN t ON n.net = t.net AND n.node = t.node GROUP BY n.net, n.node"
+_LEVELED = PARTITIONS + """,
+m1 AS (SELECT 'p' || part AS net, 1 AS level, node, comm % 2 AS comm FROM parts UNION ALL SELECT 'p' || part, 2, node, CASE WHEN part <= 3 THEN comm ELSE comm % 2 END FROM parts)"""
+ORACLE_SQL |= {
+    "clean_data_zeros": sql(
+        ACT + ", v AS (SELECT net, sample, region, CASE WHEN value >= 20 THEN value END AS value FROM act), k AS (SELECT *, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) OVER w AS gone, avg(value) OVER w AS mean FROM v WINDOW w AS (PARTITION BY net, region))",
+        f"SELECT net, sample, region, {six('coalesce(value, mean)')} AS value FROM k WHERE gone < 0.25",
+    ),
+    "norm_max_diagonal": sql(EDGES, f"SELECT net, src, dst, {six('4 * r / greatest(1.0, max(4 * r) OVER (PARTITION BY net))')} AS r, n FROM edges"),
+    "leverage_strength": sql(GRAPH + ", k AS (SELECT net, node, sum(abs(weight)) AS k FROM half GROUP BY ALL)" + _LEVERAGE, _LEVERAGE_OUT),
+    "leverage_degree": sql(GRAPH + ", k AS (SELECT net, node, CAST(count(*) AS DOUBLE) AS k FROM half GROUP BY ALL)" + _LEVERAGE, _LEVERAGE_OUT),
+    "drop_layer_1": _TREE(", ly AS (SELECT id, parent_id, region || ', layer ' || (id % 4) AS region FROM tree)\nSELECT id, parent_id, region FROM ly WHERE NOT (region LIKE '%layer 1%' AND id IN (SELECT id FROM up WHERE ancestor_id = 2))"),
+    "trim_default_rules": _trimmed(),
+    "color_annotation": _TREE(
+        ", pl AS (SELECT id, parent_id, dense_rank() OVER (ORDER BY parent_id) AS place FROM tree WHERE parent_id IS NOT NULL)\n"
+        "SELECT id, parent_id, 'hsl(' || CAST(floor((1987.0::DOUBLE + place * 137.508::DOUBLE) % 360) AS INTEGER) || ',65%,50%)' AS color, ['red', 'green', 'blue'][(place - 1) % 3 + 1] AS of_palette FROM pl"
+    ),
+    "rename_tree": _TREE("SELECT id, parent_id, regexp_replace(region, '[-# ]', '.', 'g') AS region FROM tree"),
+    "level_order": "SELECT o_orderstatus || '.' || o_orderpriority AS level, CAST(row_number() OVER (ORDER BY o_orderpriority, o_orderstatus) AS INTEGER) AS level_idx FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders)",
+    "group_ami_levels": sql(
+        _LEVELED + ", pp AS (SELECT x.level, x.net AS a, y.net AS b, x.comm AS c1, y.comm AS c2 FROM m1 x JOIN m1 y ON x.level = y.level AND x.node = y.node AND x.net < y.net)," + _ami("pp", "level, a, b"),
+        _ami_out("level, a, b"),
+    ),
+    "group_ami_pairs": sql(
+        PARTITIONS + ", tg AS (SELECT 'p' || x.part AS net, x.node AS n1, y.node AS n2, CAST(x.comm = y.comm AS INTEGER) AS same FROM parts x JOIN parts y ON x.part = y.part), pp AS (SELECT 1 AS level, x.net AS a, y.net AS b, x.same AS c1, y.same AS c2 FROM tg x JOIN tg y ON x.n1 = y.n1 AND x.n2 = y.n2 AND x.net < y.net)," + _ami("pp", "level, a, b"),
+        _ami_out("level, a, b"),
+    ),
+    "anogva_test": f"SELECT {six('k * CAST(0.02 AS DOUBLE)')} AS alpha, true AS is_share, true AS grows FROM (SELECT unnest(range(51)) AS k)",
+}

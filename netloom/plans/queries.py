@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import exprs
@@ -664,3 +664,93 @@ def community_metrics_levels(spark: SparkSession, sf: str) -> DataFrame:
     m = d.membership(spark, sf)
     levels = m.withColumn("level", F.lit(1)).unionByName(m.select("net", "node", F.lit(2).alias("level"), (F.col("comm") % 2).alias("comm")))
     return community.community_metrics(d.graph(spark, sf), levels)
+
+
+# The rest of preparation, trees and hierarchies.
+
+
+@query
+def clean_data_zeros(spark: SparkSession, sf: str) -> DataFrame:
+    """Zeros count as missing."""
+    a = d.activity(spark, sf).withColumn("value", F.when(F.col("value") >= 20, F.col("value")).otherwise(F.lit(0.0)))
+    return prep.clean(a, real_zeros=False, missing_below=0.25)
+
+
+@query
+def norm_max_diagonal(spark: SparkSession, sf: str) -> DataFrame:
+    return network.normalize(d.edges(spark, sf).withColumn("r", F.col("r") * 4), "max_norm")
+
+
+@query
+def leverage_strength(spark: SparkSession, sf: str) -> DataFrame:
+    return nodal.leverage(_absolute(spark, sf), d.nodes(spark, sf), signed=False)
+
+
+@query
+def leverage_degree(spark: SparkSession, sf: str) -> DataFrame:
+    return nodal.leverage(d.graph(spark, sf), d.nodes(spark, sf), weighted=False, signed=False)
+
+
+def _layered(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree with a layer in each name."""
+    return d.tree(spark, sf).withColumn("region", F.concat("region", F.lit(", layer "), (F.col("id") % 4).cast("string")))
+
+
+@query
+def drop_layer_1(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.drop_layer_1(_layered(spark, sf), root=2).select("id", "parent_id", "region")
+
+
+@query
+def trim_default_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The default rules over names that they match and keep."""
+    named = d.tree(spark, sf).withColumn("region", F.get(F.array(*map(F.lit, TRIM_NAMES)), (F.col("id") % len(TRIM_NAMES)).cast("int")))
+    return hierarchy.trim(named, root=0).select("id", "parent_id", "region")
+
+
+#: Names that the default rules remove, keep, or do not know.
+TRIM_NAMES = tuple(dict.fromkeys(name for patterns, kept in hierarchy.TRIM_RULES for name in (*kept, patterns[0] + " of some kind", "Area/part, layer 6 " + patterns[-1], "Area " + patterns[0][:9])))
+
+
+@query
+def color_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    t = d.tree(spark, sf).filter("parent_id IS NOT NULL").select("id", "parent_id", "region")
+    palette = hierarchy.colored(t, "parent_id", ["red", "green", "blue"]).select("id", F.col("color").alias("of_palette"))
+    return hierarchy.colored(t, "parent_id").join(palette, "id").select("id", "parent_id", "color", "of_palette")
+
+
+@query
+def rename_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.renamed(d.tree(spark, sf), "acronym").select("id", "parent_id", "region")
+
+
+@query
+def level_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of two factors' interaction, the first varying fastest."""
+    return prep.level_order(d.table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority").distinct(), ["o_orderstatus", "o_orderpriority"])
+
+
+def _two_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels for the first three partitions, one for the others."""
+    p = d.partitions(spark, sf).select(F.format_string("p%d", "part").alias("net"), "part", "node", "comm")
+    return p.select("net", F.lit(1).alias("level"), "node", (F.col("comm") % 2).alias("comm")).unionByName(p.filter("part <= 3").select("net", F.lit(2).alias("level"), "node", "comm"))
+
+
+@query
+def group_ami_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.ami_between(_two_levels(spark, sf))
+
+
+@query
+def group_ami_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """By whether nodes are together."""
+    p = d.partitions(spark, sf)
+    return partition.ami_between(p.select(F.format_string("p%d", "part").alias("net"), "node", "comm"), co_classification=True)
+
+
+@query
+def anogva_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of rejected experiments are shares, and grow with the level."""
+    t = inference.anogva_simulation(spark, subjects=20, size=12, runs=6, resamples=20)
+    before = F.lag("rejected", 1, 0.0).over(Window.orderBy("alpha"))
+    return t.select("alpha", F.col("rejected").between(0.0, 1.0).alias("is_share"), (F.col("rejected") >= before).alias("grows"))
