@@ -7,7 +7,7 @@ its own, as in WARC 1.1, but its digest still leads to the bytes.
 
 Equal payloads of at least `least_bytes` are written as one response, the one with the largest identifier, and revisits
 that refer to it. Reading verifies every payload: the digest is computed again from the stored bytes, and a row whose
-bytes do not give the digest, or that is missing, is an error. Equality itself rests on SHA-256 with the byte length.
+bytes do not give the digest, or that is missing, is an error. Equality itself rests on SHA-256 alone.
 
 All of it runs as column expressions. Payloads are reduced to one for each digest before they are written, in each map
 task first, and the largest identifier of a digest is found by a partial aggregation, so a hot payload is no hot task;
