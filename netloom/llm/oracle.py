@@ -186,3 +186,61 @@ FROM f LEFT JOIN a USING (doc_id)
 
 
 LICENSES = _licenses()
+
+#: The scores of vectors by lists; anchors and their positives first, then the window of each positive.
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other,
+    CAST(coalesce(list_sum(list_transform(range(1, len(a.c) + 1), lambda i: a.c[i] * b.c[i])), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), pos AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY rank <= 5
+"""
+
+#: Phrases as lists of words, counted at every place of every piece.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), places AS (
+  SELECT lang, size, ws[i : i + size - 1] AS p
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, range(1, 6) sizes(size) WHERE len(ws) >= size)
+), f AS (
+  SELECT lang, size, p, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+), parts AS (
+  SELECT lang, size AS longer, f, size, unnest(range(1, size)) AS len, p FROM f WHERE size > 2
+), covered AS (
+  SELECT DISTINCT lang, p[i : i + len - 1] AS p, f
+  FROM (SELECT *, unnest(range(1, size - len + 2)) AS i FROM parts)
+), cuts AS (
+  SELECT c.lang, c.p, c.f AS a, n.n, k, x.f AS l, y.f AS r,
+    CAST((1000 * CAST(c.f AS HUGEINT) * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) c
+  JOIN n ON n.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k]
+  JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : c.size]
+  WHERE NOT EXISTS (SELECT 1 FROM covered z WHERE z.lang = c.lang AND z.p = c.p AND z.f >= c.f)
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+  array_to_string(p, ' ') AS phrase, a, l, r, n, score
+FROM cuts
+QUALIFY rank <= 2000
+"""

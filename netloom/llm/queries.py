@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import oracle
+from netloom.llm.best_fit import pack_best_fit
 from netloom.llm.binary import read_token_files, write_token_files
+from netloom.llm.collocations import collocations
 from netloom.llm.exact_dedup import exact_dedup
+from netloom.llm.hard_negatives import hard_negatives, relabelled
 from netloom.llm.html import extract
 from netloom.llm.licenses import scan
 from netloom.llm.mixing import mix
@@ -64,6 +67,18 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op2_html_extraction": op2_html_extraction,
     "op5_license_scan": op5_license_scan,
+    "op11_best_fit": op11_best_fit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "op10_quality": oracle.QUALITY,
     "op7_warc": oracle.WARC,
     "op5_license_scan": oracle.LICENSES,
+    "op12_hard_negatives": oracle.HARD_NEGATIVES,
+    "op13_collocations": oracle.COLLOCATIONS,
 }
