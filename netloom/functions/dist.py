@@ -119,9 +119,9 @@ def chi2_upper(x: np.ndarray | float, df: np.ndarray | float) -> np.ndarray:
     return gamma_inc_upper(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
 
 
-def critical_r(n: int, alpha: float) -> float:
-    """The correlation of n samples beyond which the two-sided p-value is under alpha."""
-    if n < 3:
-        return 1.0
-    t = float(t_quantile(1 - alpha / 2, n - 2))
-    return t / math.sqrt(n - 2 + t * t)
+def critical_r(n: np.ndarray | int, alpha: float) -> np.ndarray | float:
+    """The correlation of n samples beyond which the two-sided p-value is under alpha; n may be an array."""
+    df = np.asarray(n, float) - 2
+    t = t_quantile(1 - alpha / 2, np.maximum(df, 1.0))
+    r = np.where(df > 0, t / np.sqrt(np.maximum(df, 1.0) + t * t), 1.0)
+    return r if r.ndim else float(r)

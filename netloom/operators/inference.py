@@ -15,47 +15,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.functions.dist import critical_r
 from netloom.operators import community, network, nodal, paths
 
 
-def permuted_labels(samples: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
-    """rep, sample, level: rep 0 has the true labels, the others a permutation each. samples: sample, level."""
+def permuted_labels(samples: DataFrame, resamples: int, seed: int = 0, start: int = 0) -> DataFrame:
+    """rep, sample, level: rep 0 has the true labels, the others a permutation each. samples: sample, level. Replicates
+    are those from `start` on."""
     spark = samples.sparkSession
     base = samples.select("sample", "level", F.row_number().over(W.orderBy("level", "sample")).alias("place"))
-    reps = spark.range(resamples + 1).withColumnRenamed("id", "rep")
+    reps = spark.range(start, resamples + 1).withColumnRenamed("id", "rep")
     text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("sample").cast("string"))
     key = F.when(F.col("rep") == 0, F.lpad(F.col("place").cast("string"), 12, "0")).otherwise(F.md5(text))
     drawn = base.crossJoin(reps).select("rep", "sample", F.row_number().over(W.partitionBy("rep").orderBy(key, "sample")).alias("place"))
     return drawn.join(F.broadcast(base.select("place", "level")) if samples.count() < 1_000_000 else base.select("place", "level"), "place").select("rep", "sample", "level")
 
 
-def permuted_activity(activity: DataFrame, samples: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
+def permuted_activity(activity: DataFrame, samples: DataFrame, resamples: int, seed: int = 0, start: int = 0) -> DataFrame:
     """net (rep|level), sample, region, value. activity: sample, region, value."""
-    labels = permuted_labels(samples, resamples, seed)
+    labels = permuted_labels(samples, resamples, seed, start)
     return activity.join(labels, "sample").select(F.concat_ws("|", "rep", "level").alias("net"), "sample", "region", "value")
 
 
-#: Replicates that one task makes of an experiment it has read, and the cells of an experiment that may be read so.
+#: Replicates that one task makes of an experiment it has read, at most, and the cells of an experiment that may be read so.
 REPS_A_TASK, CELLS_A_TASK = 50, 20_000_000
 
 
-def permuted_edges(activity: DataFrame, samples: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
-    """net (rep|level), src, dst, r, n: corr_edges of permuted_activity by matrix products. The experiment's cells go once
-    to each block of replicates, instead of once to each replicate and then into pairs."""
-    labels = permuted_labels(samples, resamples, seed).withColumn("block", F.expr(f"rep DIV {REPS_A_TASK}"))
-    blocks = activity.sparkSession.range(resamples // REPS_A_TASK + 1).withColumnRenamed("id", "block")
-    cells = activity.select("sample", "region", F.col("value").cast("double").alias("value")).crossJoin(F.broadcast(blocks)).toDF("cell_sample", "region", "value", "block")
+def _blocks(activity: DataFrame, samples: DataFrame, resamples: int, seed: int, start: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(cells, labels) to group by `block`. The experiment goes to each block of replicates as one row for each region:
+    cells has block, region, and the samples and values of the region in arrays. Blocks are as many as there are task
+    slots, or more, so that none makes over REPS_A_TASK replicates."""
+    spark = activity.sparkSession
+    reps = resamples + 1 - start
+    blocks = max(math.ceil(reps / REPS_A_TASK), min(spark.sparkContext.defaultParallelism, reps))
+    labels = permuted_labels(samples, resamples, seed, start).withColumn("block", F.pmod("rep", F.lit(blocks)))
+    mean = network.averaged(activity.withColumn("net", F.lit(""))).select(F.col("sample").cast("string").alias("sample"), "region", "value")
+    packed = mean.groupBy("region").agg(F.collect_list(F.struct("sample", F.coalesce("value", F.lit(float("nan"))).alias("value"))).alias("cells"))
+    packed = packed.select("region", F.col("cells.sample").alias("samples"), F.col("cells.value").alias("values"))
+    return packed.crossJoin(F.broadcast(spark.range(blocks).withColumnRenamed("id", "block"))), labels
+
+
+def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
+    """(regions, the row of each sample, values) of a block's cells; absent ones are nan."""
+    pdf = pdf.sort_values("region")
+    at, samples = pd.factorize(np.concatenate(pdf["samples"].to_list()))
+    x = np.full((len(samples), len(pdf)), np.nan)
+    x[at, np.repeat(np.arange(len(pdf)), pdf["samples"].map(len))] = np.concatenate(pdf["values"].to_list())
+    return pdf["region"].to_numpy(str), {name: k for k, name in enumerate(samples)}, x
+
+
+def _rows_of(own: pd.DataFrame, place: dict[str, int]) -> dict[tuple[int, str], list[int]]:
+    """The rows of the samples of each replicate and level."""
+    return {key: [place[name] for name in f["sample"].astype(str) if name in place] for key, f in own.groupby(["rep", "level"])}
+
+
+def permuted_edges(activity: DataFrame, samples: DataFrame, resamples: int, seed: int = 0, start: int = 0) -> DataFrame:
+    """net (rep|level), src, dst, r, n: corr_edges of permuted_activity by matrix products; the experiment's cells go once
+    to each block of replicates. A region that has no pair in a net is a row without dst, so that no node is lost."""
+    cells, labels = _blocks(activity, samples, resamples, seed, start)
 
     def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="cell_sample", columns="region", values="value", aggfunc="first").sort_index(axis=1)
-        names, place = wide.columns.to_numpy(str), {name: k for k, name in enumerate(wide.index)}
-        x, (i, j) = wide.to_numpy(float), np.triu_indices(wide.shape[1], 1)
-        out = []
-        for (rep, level), f in own.groupby(["rep", "level"]):
-            r, n = pairwise_r(x[[place[name] for name in f["sample"] if name in place]])
-            out.append(pd.DataFrame({"net": f"{rep}|{level}", "src": names[i], "dst": names[j], "r": r[i, j], "n": n[i, j]})[n[i, j] > 0])
-        edges = pd.concat(out) if out else pd.DataFrame({"net": [], "src": [], "dst": [], "r": [], "n": []})
-        return edges.astype({"r": object}).where(edges["r"].notna(), None) if edges["r"].isna().any() else edges
+        out = [pd.DataFrame({"net": [], "src": [], "dst": [], "r": [], "n": []})]
+        if len(pdf):
+            names, place, x = _matrix(pdf)
+            i, j = np.triu_indices(len(names), 1)
+            for (rep, level), rows in _rows_of(own, place).items():
+                r, n = pairwise_r(x[rows])
+                here = n[i, j] > 0
+                out.append(pd.DataFrame({"net": f"{rep}|{level}", "src": names[i], "dst": names[j], "r": r[i, j], "n": n[i, j]})[here])
+                alone = np.setdiff1d(np.arange(len(names)), np.concatenate([i[here], j[here]]))
+                out.append(pd.DataFrame({"net": f"{rep}|{level}", "src": names[alone], "dst": None, "r": np.nan, "n": 0}))
+        edges = pd.concat([f for f in out if len(f)] or out)
+        # Only r itself becomes null where it is undefined.
+        return edges.assign(r=pd.array(edges["r"].to_numpy(float), dtype="Float64"), n=edges["n"].astype("int64"))
 
     return cells.groupBy("block").cogroup(labels.groupBy("block")).applyInPandas(run, "net string, src string, dst string, r double, n long")
 
@@ -76,7 +108,14 @@ def pairwise_r(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _edges(activity: DataFrame) -> DataFrame:
     """The correlations of activity, which may be a table of them already."""
-    return activity if "src" in activity.columns else network.corr_edges(activity)
+    return activity.filter("dst IS NOT NULL") if "src" in activity.columns else network.corr_edges(activity)
+
+
+def _nodes(activity: DataFrame) -> DataFrame:
+    """net, node of all regions, with and without a pair."""
+    if "src" not in activity.columns:
+        return activity.select("net", F.col("region").alias("node")).distinct()
+    return activity.select("net", F.explode(F.array("src", "dst")).alias("node")).filter("node IS NOT NULL").distinct()
 
 
 def contrasts(metrics: DataFrame, first_minus_second: bool = True, absolute: bool = False) -> DataFrame:
@@ -88,7 +127,9 @@ def contrasts(metrics: DataFrame, first_minus_second: bool = True, absolute: boo
     both = m.alias("x").join(m.alias("y"), F.expr("x.rep = y.rep AND x.node = y.node AND x.metric = y.metric AND x.level < y.level"))
     diff = F.col("x.value") - F.col("y.value") if first_minus_second or absolute else F.col("y.value") - F.col("x.value")
     name = F.concat_ws(" ~ ", "x.level", "y.level") if first_minus_second or absolute else F.concat_ws(" ~ ", "y.level", "x.level")
-    return both.select("x.rep", name.alias("contrast"), F.col("x.node").alias("node"), F.col("x.metric").alias("metric"), (F.abs(diff) if absolute else diff).alias("diff"))
+    # What is not a number is undefined, as null is.
+    diff = F.nanvl(F.abs(diff) if absolute else diff, F.lit(None).cast("double"))
+    return both.select("x.rep", name.alias("contrast"), F.col("x.node").alias("node"), F.col("x.metric").alias("metric"), diff.alias("diff"))
 
 
 def p_values(diffs: DataFrame, comparator: str = ">", two_sided: bool = True) -> DataFrame:
@@ -105,13 +146,131 @@ def permutation_test(activity: DataFrame, samples: DataFrame, metric_fn: Callabl
     """p_values of metric_fn (-> net, node, metric, value) under permuted labels.
 
     metric_fn takes the correlations of all replicates (net, src, dst, r, n), or their activity (net, sample, region,
-    value) where an experiment has more than CELLS_A_TASK cells; the metrics below take either. It may round; ties
-    between a replicate and the data then count by `comparator`."""
+    value) where an experiment has more than CELLS_A_TASK cells; the metrics below take either, and both have the same
+    correlations and nodes. It may round; ties between a replicate and the data then count by `comparator`."""
     small = activity.limit(CELLS_A_TASK + 1).count() <= CELLS_A_TASK
     metrics = metric_fn((permuted_edges if small else permuted_activity)(activity, samples, resamples, seed))
     return p_values(contrasts(metrics, first_minus_second, absolute), comparator)
 
 
+def redrawn_test(activity: DataFrame, samples: DataFrame, metric_fn: Callable[[DataFrame], DataFrame], resamples: int = 10_000, seed: int = 0, first_minus_second: bool = True, absolute: bool = False, comparator: str = ">", most_attempts: int | None = None) -> DataFrame:
+    """permutation_test with defined replicates only, and the columns replicates and attempts.
+
+    Permutations are numbered attempts. An attempt in which any difference that the data have is undefined is rejected and
+    drawn again, until there are `resamples` accepted ones or `most_attempts` (ten times as many) are spent; the accepted
+    ones with the smallest numbers count, so rounds do not change the result. Differences that the data themselves do not
+    define are left out. `attempts` is how many were drawn for the replicates that count."""
+    most = 10 * resamples if most_attempts is None else most_attempts
+    small = activity.limit(CELLS_A_TASK + 1).count() <= CELLS_A_TASK
+    draw = permuted_edges if small else permuted_activity
+    keys = ["contrast", "metric", "node"]
+
+    def diffs(first: int, last: int) -> DataFrame:
+        metrics = metric_fn(draw(activity, samples, last, seed, first))
+        return network.checkpointed(contrasts(metrics, first_minus_second, absolute))
+
+    found = diffs(0, min(resamples, most))
+    real = network.checkpointed(found.filter("rep = 0 AND diff IS NOT NULL").select(*keys, F.col("diff").alias("real")))
+    wanted = real.count()
+    null, accepted, done, good = None, None, min(resamples, most), 0
+    part = found.filter("rep > 0")
+    while True:
+        # One row for each attempt; an attempt counts where all that the data define is defined.
+        whole = part.filter("diff IS NOT NULL").join(real, keys, "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == wanted).select("rep")
+        whole = network.checkpointed(whole)
+        null, accepted = (part, whole) if null is None else (null.unionByName(part), accepted.unionByName(whole))
+        good += whole.count()
+        if good >= resamples or done >= most or not wanted:
+            break
+        # As many as are missing at the share accepted so far, and a few more.
+        first, done = done + 1, min(most, done + max(8, math.ceil(1.2 * (resamples - good) * done / max(good, done / 100))))
+        part = diffs(first, done)
+    last = accepted.orderBy("rep").limit(resamples).agg(F.max("rep"), F.count(F.lit(1))).first()
+    used = null.join(accepted.filter(F.col("rep") <= (last[0] or 0)), "rep", "left_semi").unionByName(found.filter("rep = 0 AND diff IS NOT NULL"))
+    out = p_values(used, comparator)
+    return out.withColumn("replicates", F.lit(int(last[1])).cast("long")).withColumn("attempts", F.lit(int(last[0] or done)).cast("long"))
+
+
+def edge_values(r: np.ndarray, n: np.ndarray, weak_link: int | None = None, negs: str = "keep", kind: str | None = None, cut: float = 0.0, how: str | None = None) -> np.ndarray:
+    """edge_metrics of the pairs of one net (n > 0), in numpy."""
+    v = np.where(np.isnan(r), 0.0 if weak_link is None else 10.0**-weak_link, np.where(np.isinf(r), 1.0, r))
+    v = {"keep": v, "zero": np.maximum(v, 0.0), "abs": np.abs(v)}[negs]
+    if kind is not None and len(v):
+        if kind == "r":
+            passes = np.abs(v) > cut
+        elif kind == "p":
+            passes = np.abs(v) > critical_r(n, cut)
+        elif kind == "cost":
+            passes = np.abs(v) >= np.quantile(np.abs(v), 1 - cut)
+        else:
+            raise ValueError(f"unknown kind {kind!r}")
+        v = np.where(passes, v, 0.0)
+    with np.errstate(all="ignore"):
+        if how == "fisherz":
+            v = np.arctanh(v)
+        elif how == "max_norm":
+            v = v / max(1.0, v.max(initial=-np.inf))
+        elif how == "max_edge_norm":
+            v = v / (v.max(initial=-np.inf) or np.nan)
+        elif how == "max_min_norm":
+            low, high = v.min(initial=np.inf), v.max(initial=-np.inf)
+            v = (v - low) / ((high - low) or np.nan)
+        elif how is not None:
+            raise ValueError(f"unknown normalization {how!r}")
+    return v
+
+
+def edge_permutation_test(activity: DataFrame, samples: DataFrame, resamples: int = 10_000, seed: int = 0, first_minus_second: bool = True, absolute: bool = False, comparator: str = ">", places: int | None = None, **options: object) -> DataFrame:
+    """permutation_test of edge_metrics(places, **options) with counts that add up.
+
+    Each block of replicates compares its differences with the data's own at once and gives, for each pair of levels and
+    each edge, how many replicates are defined and how many are beyond; blocks add up. What is shuffled does not grow with
+    the replicates of a block. The experiment has to fit a task, as in permuted_edges; an experiment of more than
+    CELLS_A_TASK cells takes the way of permutation_test, whose result is the same."""
+    if activity.limit(CELLS_A_TASK + 1).count() > CELLS_A_TASK:
+        return permutation_test(activity, samples, lambda x: edge_metrics(x, places, **options), resamples, seed, first_minus_second, absolute, comparator)
+    cells, labels = _blocks(activity, samples, resamples, seed, 1)
+    # The data's own labels go to every block.
+    blocks = cells.select("block").distinct()
+    labels = labels.unionByName(permuted_labels(samples, 0, seed).crossJoin(F.broadcast(blocks)).select(*labels.columns))
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names, place, x = _matrix(pdf)
+        i, j = np.triu_indices(len(names), 1)
+        values: dict[int, dict[str, np.ndarray]] = {}
+        for (rep, level), rows in _rows_of(own, place).items():
+            r, n = pairwise_r(x[rows])
+            r, n = r[i, j], n[i, j]
+            v = np.full(len(i), np.nan)
+            v[n > 0] = edge_values(r[n > 0], n[n > 0], **options)
+            values.setdefault(rep, {})[level] = v if places is None else np.round(v, places)
+        levels = sorted(values[0])
+        pairs = [(a, b) for k, a in enumerate(levels) for b in levels[k + 1 :]]
+        forward = first_minus_second or absolute
+        out = []
+        for a, b in pairs:
+            diff = lambda nets, a=a, b=b: nets[a] - nets[b] if forward else nets[b] - nets[a]
+            with np.errstate(all="ignore"):
+                real = diff(values[0])
+                beyond, defined = np.zeros(len(i), int), np.zeros(len(i), int)
+                for rep, nets in values.items():
+                    if rep and a in nets and b in nets:
+                        d = np.abs(diff(nets))
+                        defined += ~np.isnan(d)
+                        beyond += d >= np.abs(real) if comparator == ">=" else d > np.abs(real)
+            here = ~np.isnan(real)
+            node = [f"{p} ~ {q}" for p, q in zip(names[i[here]], names[j[here]], strict=True)]
+            out.append(pd.DataFrame({"contrast": f"{a} ~ {b}" if forward else f"{b} ~ {a}", "node": node, "diff": np.abs(real[here]) if absolute else real[here], "beyond": beyond[here], "defined": defined[here]}))
+        return pd.concat(out) if out else pd.DataFrame({"contrast": [], "node": [], "diff": [], "beyond": [], "defined": []})
+
+    def met(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf, own) if len(pdf) and len(own) else pd.DataFrame({"contrast": [], "node": [], "diff": [], "beyond": [], "defined": []})
+
+    counts = cells.groupBy("block").cogroup(labels.groupBy("block")).applyInPandas(met, "contrast string, node string, diff double, beyond long, defined long")
+    total = counts.groupBy("contrast", "node").agg(F.max("diff").alias("diff"), F.sum("beyond").alias("beyond"), F.sum("defined").alias("defined"))
+    return total.filter("defined > 0").select("contrast", "node", F.lit("r").alias("metric"), "diff", (F.col("beyond") / F.col("defined")).alias("p_value"))
+
+
 def _long(wide: DataFrame, columns: list[str], places: int | None) -> DataFrame:
     """net, node, metric, value from a column for each metric."""
     value = lambda c: F.round(F.col(c), places) if places is not None else F.col(c)
@@ -132,9 +291,10 @@ def edge_metrics(activity: DataFrame, places: int | None = None, weak_link: int
 
 def _graph(activity: DataFrame, cut: float) -> tuple[DataFrame, DataFrame]:
     # Metrics read the edges several times; the pairs of all replicates are made once.
+    if "src" in activity.columns:
+        activity = network.checkpointed(activity)
     e = network.checkpointed(network.fill_undefined(_edges(activity)))
-    nodes = network.ends(e.withColumnRenamed("r", "weight")).select("net", "node") if "src" in activity.columns else activity.select("net", F.col("region").alias("node"))
-    return network.graph(e.filter(F.abs("r") > cut)), network.checkpointed(nodes.distinct())
+    return network.graph(e.filter(F.abs("r") > cut)), network.checkpointed(_nodes(activity))
 
 
 #: Metrics of `nodal_measures`; any of them can be compared.

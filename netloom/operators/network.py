@@ -1,7 +1,10 @@
 """Correlation networks: all nets of an activity table in one job.
 
 Pairs are made by a self join on (net, sample), the partitioning that both sides share, and reduced to moments in each
-map task. For many more samples than regions `gram_edges` moves one matrix for each task and net instead of pairs.
+map task. For many regions or samples `gram_edges` multiplies tiles of them instead and adds up the moments.
+
+A correlation means the same on every path: over the samples in which both regions have a value, repeated cells once with
+their mean, null where a side does not vary; pairs without such a sample have no row.
 """
 
 from __future__ import annotations
@@ -20,41 +23,98 @@ from pyspark.sql import functions as F
 from netloom.functions.dist import critical_r, t_two_sided
 from netloom.functions.exprs import adjusted, average_rank, fisher_z
 
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's r; null where a side does not vary (the built-in corr raises an error there in ANSI mode)."""
     return F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
 
 
-def corr_edges(activity: DataFrame, method: str = "pearson", keys: Sequence[str] = ("net",)) -> DataFrame:
-    """keys, src, dst, r, n of every pair of regions (src < dst)."""
-    if method == "spearman":
-        activity = activity.withColumn("value", average_rank(F.col("value"), [*keys, "region"]))
-    elif method != "pearson":
-        raise ValueError(f"unknown method {method!r}")
+def averaged(activity: DataFrame, keys: Sequence[str] = ("net",)) -> DataFrame:
+    """keys, sample, region, value: a cell that occurs more than once has the mean of its values; null and NaN are no
+    values. Partitioned by (keys, sample), as the pairs of a sample's regions need it."""
     on = [*keys, "sample"]
-    a = activity.select(*on, F.col("region").alias("src"), F.col("value").cast("double").alias("x"))
-    b = activity.select(*on, F.col("region").alias("dst"), F.col("value").cast("double").alias("y"))
-    return a.join(b, on).filter("src < dst").groupBy(*keys, "src", "dst").agg(correlation(F.col("x"), F.col("y")).alias("r"), F.count(F.lit(1)).alias("n"))
+    value = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
+    return activity.select(*on, "region", value.alias("value")).repartition(*on).groupBy(*on, "region").agg(F.avg("value").alias("value"))
 
 
-def gram_edges(activity: DataFrame) -> DataFrame:
-    """The same as corr_edges by Gram matrices: each net's dense samples x regions block in numpy.
+def _pairs(cells: DataFrame, on: Sequence[str], *columns: str) -> DataFrame:
+    """on, src, dst and the columns of both regions (x_ and y_) where both have a value."""
+    side = lambda name, mark: cells.select(*on, F.col("region").alias(name), F.col("value").alias(mark), *(F.col(c).alias(f"{mark}_{c}") for c in columns))
+    return side("src", "x").join(side("dst", "y"), list(on)).filter("src < dst AND x IS NOT NULL AND y IS NOT NULL")
 
-    For nets whose block fits one task; one row for each pair leaves it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="sample", columns="region", values="value", aggfunc="first").sort_index(axis=1)
-        x = wide.to_numpy(float)
-        x = x - x.mean(axis=0)
-        s = np.sqrt((x * x).sum(axis=0))
-        with np.errstate(all="ignore"):
-            r = x.T @ x / np.outer(s, s)
-        i, j = np.triu_indices(len(s), 1)
-        names = wide.columns.to_numpy()
-        out = pd.DataFrame({"net": pdf["net"].iloc[0], "src": names[i], "dst": names[j], "r": r[i, j], "n": len(x)})
-        return out.astype({"r": object}).where(out["r"].notna(), None) if out["r"].isna().any() else out
+def corr_edges(activity: DataFrame, method: str = "pearson", keys: Sequence[str] = ("net",)) -> DataFrame:
+    """keys, src, dst, r, n of every pair of regions (src < dst) with a sample in which both have a value.
+
+    r and n are those of these samples; where a side does not vary in them, r is null. Repeated cells count once, with
+    their mean. Ranks (spearman) are of the same samples."""
+    on, by = [*keys, "sample"], [*keys, "src", "dst"]
+    cells = averaged(activity, keys)
+    x, y = F.col("x"), F.col("y")
+    if method == "pearson":
+        return _pairs(cells, on).groupBy(*by).agg(correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    if method != "spearman":
+        raise ValueError(f"unknown method {method!r}")
+    # Two regions with values in all samples of the net have their own ranks in every pair; others are ranked by pair.
+    samples = cells.select(*on).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    here = cells.filter("value IS NOT NULL").withColumn("rank", average_rank(F.col("value"), [*keys, "region"])).withColumn("own", F.count(F.lit(1)).over(W.partitionBy(*keys, "region")))
+    here = here.join(samples, list(keys)).withColumn("whole", F.col("own") == F.col("samples")).drop("own", "samples")
+    pairs = _pairs(here, on, "rank", "whole")
+    whole = F.col("x_whole") & F.col("y_whole")
+    plain = pairs.filter(whole).select(*by, F.col("x_rank").alias("x"), F.col("y_rank").alias("y"))
+    ranked = pairs.filter(~whole).select(*by, average_rank(x, by).alias("x"), average_rank(y, by).alias("y"))
+    return plain.unionByName(ranked).groupBy(*by).agg(correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+#: Regions and samples of a tile of `gram_edges`.
+TILE_REGIONS, TILE_SAMPLES = 512, 4096
+
+
+def moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n, sum x, sum y, sum xx, sum yy, sum xy of each column of x with each of y, over the rows where both have values."""
+    here, there = ~np.isnan(x), ~np.isnan(y)
+    x, y, p, q = np.where(here, x, 0.0), np.where(there, y, 0.0), here.astype(float), there.astype(float)
+    return p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y
+
+
+def gram_edges(activity: DataFrame, tile_regions: int = TILE_REGIONS, tile_samples: int = TILE_SAMPLES) -> DataFrame:
+    """The same as corr_edges by products of tiles: blocks of samples times two blocks of regions, a task each.
+
+    A cell moves once for each block of regions, instead of into a row for each other region; tiles give the moments of
+    their pairs, which add up over the blocks of samples. Values are taken from their region's mean first, so sums lose
+    nothing; a variance within 1e-12 of a region's sum of squares is none."""
+    region = W.partitionBy("net", "region")
+    cells = averaged(activity).filter("value IS NOT NULL")
+    centred = F.when(F.max("value").over(region) == F.min("value").over(region), F.lit(0.0)).otherwise(F.col("value") - F.avg("value").over(region))
+    sizes = cells.groupBy("net").agg(F.countDistinct("region").alias("regions"), F.countDistinct("sample").alias("samples"))
+    tiles = sizes.select("net", F.ceil(F.col("regions") / tile_regions).alias("tiles"), F.ceil(F.col("samples") / tile_samples).alias("blocks"))
+    own = cells.withColumn("value", centred).join(tiles, "net").withColumn("tile", F.pmod(F.xxhash64("region"), "tiles"))
+    copies = own.select("net", "sample", "region", "value", "tile", F.pmod(F.xxhash64("sample"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    copies = copies.select("net", "block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", F.col("sample").cast("string").alias("sample"), "region", "value")
 
-    return activity.groupBy("net").applyInPandas(run, "net string, src string, dst string, r double, n long")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, names = pd.factorize(pdf["sample"])
+        sides = []
+        for tile in (pdf["low"].iloc[0], pdf["high"].iloc[0]):
+            mine = (pdf["tile"] == tile).to_numpy()
+            column, regions = pd.factorize(pdf["region"][mine], sort=True)
+            x = np.full((len(names), len(regions)), np.nan)
+            x[at[mine], column] = pdf["value"].to_numpy()[mine]
+            sides.append((regions.to_numpy(str), x))
+        (left, x), (right, y) = sides
+        sums = moments(x, y)
+        i, j = np.nonzero((left[:, None] < right[None, :]) if pdf["low"].iloc[0] == pdf["high"].iloc[0] else np.ones((len(left), len(right)), bool))
+        i, j = i[sums[0][i, j] > 0], j[sums[0][i, j] > 0]
+        turn = left[i] > right[j]
+        x_sum, y_sum, xx, yy = (m[i, j] for m in sums[1:5])
+        pick = lambda a, b: np.where(turn, b, a)
+        return pd.DataFrame({"net": pdf["net"].iloc[0], "src": pick(left[i], right[j]), "dst": pick(right[j], left[i]), "n": sums[0][i, j], "x": pick(x_sum, y_sum), "y": pick(y_sum, x_sum), "xx": pick(xx, yy), "yy": pick(yy, xx), "xy": sums[5][i, j]})
+
+    parts = copies.groupBy("net", "block", "low", "high").applyInPandas(run, "net string, src string, dst string, " + ", ".join(f"{c} double" for c in ("n", "x", "y", "xx", "yy", "xy")))
+    total = parts.groupBy("net", "src", "dst").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    spread = lambda s, q: F.when(F.col(q) - F.col(s) * F.col(s) / F.col("n") > F.lit(1e-12) * F.col(q), F.col(q) - F.col(s) * F.col(s) / F.col("n"))
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread("x", "xx") * spread("y", "yy"))
+    return total.select("net", "src", "dst", r.alias("r"), F.col("n").cast("long").alias("n"))
 
 
 def with_p(edges: DataFrame) -> DataFrame:
@@ -97,7 +157,8 @@ def threshold(edges: DataFrame, kind: str, cuts: Sequence[float]) -> DataFrame:
         passes = F.col("p") < F.col("cut")
     elif kind == "p":
         sizes = [r["n"] for r in edges.select("n").distinct().collect()]
-        table = edges.sparkSession.createDataFrame([(n, float(c), critical_r(n, c)) for n in sizes for c in cuts], "n long, cut double, limit double")
+        limits = [zip(sizes, [float(c)] * len(sizes), critical_r(np.array(sizes, float), c).tolist(), strict=True) for c in cuts]
+        table = edges.sparkSession.createDataFrame([x for each in limits for x in each], "n long, cut double, limit double")
         many = many.join(F.broadcast(table), ["n", "cut"])
         passes = F.abs("r") > F.col("limit")
     elif kind == "cost":

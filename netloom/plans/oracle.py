@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from netloom.functions.dist import critical_r, normal_quantile
 
 
@@ -234,7 +236,7 @@ prof AS (
   WHERE gone = 0 AND mean_r2 < 1)"""
 
 
-def _perm_graph() -> str:
+def _perm_graph(reps: int = 20, value: str = "a.value") -> str:
     """The steps of GRAPH with a net for each level of each md5 permutation of the samples' labels."""
     return (
         ACT.replace("act AS (", "act0 AS (")
@@ -243,9 +245,9 @@ base AS (SELECT DISTINCT net || ':' || sample AS sample, net AS level FROM act0)
 placed AS (SELECT sample, level, row_number() OVER (ORDER BY level, sample) AS place FROM base),
 drawn AS (
   SELECT rep, sample, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN lpad(CAST(place AS VARCHAR), 12, '0') ELSE md5('0:' || rep || ':' || sample) END, sample) AS place
-  FROM placed CROSS JOIN (SELECT unnest(range(21)) AS rep)),
+  FROM placed CROSS JOIN (SELECT unnest(range(@REPS@)) AS rep)),
 lab AS (SELECT d.rep, d.sample, p.level FROM drawn d JOIN placed p ON d.place = p.place),
-act AS (SELECT l.rep || '|' || l.level AS net, l.sample, a.region, a.value FROM act0 a JOIN lab l ON a.net || ':' || a.sample = l.sample),"""
+act AS (SELECT l.rep || '|' || l.level AS net, l.sample, a.region, @VALUE@ AS value FROM act0 a JOIN lab l ON a.net || ':' || a.sample = l.sample),""".replace("@REPS@", str(reps + 1)).replace("@VALUE@", value)
         + corr()
         + """,
 nodes AS (SELECT DISTINCT net, region AS node FROM act),
@@ -254,10 +256,10 @@ memb AS (SELECT net, node, CAST(substr(node, 7, 1) AS INTEGER) AS comm FROM node
     )
 
 
-def _perm(metric: str) -> str:
+def _perm(metric: str, reps: int = 20, value: str = "a.value") -> str:
     """Steps up to `sp` (rep, level, node, metric, value) from those up to `mv` (net, node, metric, value)."""
     return (
-        _perm_graph()
+        _perm_graph(reps, value)
         + metric
         + ", sp AS (SELECT CAST(split_part(net, '|', 1) AS BIGINT) AS rep, split_part(net, '|', 2) AS level, node, metric, value FROM mv)"
     )
@@ -272,6 +274,50 @@ FROM (SELECT * FROM df WHERE rep > 0) n JOIN (SELECT * FROM df WHERE rep = 0) r
 GROUP BY n.contrast, n.node, n.metric, r.diff"""
 
 
+_EDGE_VALUES = ", mv AS (SELECT net, src || ' ~ ' || dst AS node, 'r' AS metric, round(coalesce(r, 0.0), 9) AS value FROM edges)"
+_NULLED = (
+    ACT
+    + """,
+twice AS (
+  SELECT net, sample, region, CASE WHEN region = 'Brand#11' THEN 0.0 WHEN value >= 20 THEN value END AS value FROM act
+  UNION ALL SELECT net, sample, region, CASE WHEN value >= 20 THEN value + 2 END FROM act WHERE region LIKE '%5'),
+once AS (SELECT net, sample, region, avg(value) AS value FROM twice GROUP BY ALL)"""
+)
+_COMPLETE = """,
+edges AS (
+  SELECT a.net, a.region AS src, b.region AS dst,
+         covar_samp(a.value, b.value) / nullif(stddev_samp(a.value) * stddev_samp(b.value), 0) AS r, count(*) AS n
+  FROM once a JOIN once b ON a.net = b.net AND a.sample = b.sample AND a.region < b.region
+  WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL)"""
+
+
+def _redrawn() -> str:
+    """The first 20 of 400 attempts in which all differences that the data have are defined."""
+    steps = _perm(
+        """,
+net2 AS (SELECT net, count(*) AS n FROM nodes GROUP BY net),
+e2 AS (SELECT net, avg(r) AS mean_fc, count(*) AS m FROM edges WHERE abs(r) > 0.31 GROUP BY net),
+mv AS (
+  SELECT n.net, '' AS node, 'mean_fc' AS metric, round(mean_fc, 6) AS value FROM net2 n LEFT JOIN e2 USING (net)
+  UNION ALL SELECT n.net, '', 'density', round(coalesce(m, 0) * 2.0 / (n * (n - 1)), 6) FROM net2 n LEFT JOIN e2 USING (net))""",
+        400,
+    )
+    return sql(
+        steps
+        + """, df AS (
+  SELECT x.rep, x.level || ' ~ ' || y.level AS contrast, x.node, x.metric, abs(x.value - y.value) AS diff
+  FROM sp x JOIN sp y ON x.rep = y.rep AND x.node = y.node AND x.metric = y.metric AND x.level < y.level),
+r AS (SELECT * FROM df WHERE rep = 0 AND diff IS NOT NULL),
+ok AS (
+  SELECT df.rep FROM df JOIN r ON df.contrast = r.contrast AND df.metric = r.metric WHERE df.rep > 0 AND df.diff IS NOT NULL
+  GROUP BY df.rep HAVING count(*) = (SELECT count(*) FROM r) ORDER BY df.rep LIMIT 20)""",
+        f"""SELECT n.contrast, n.node, n.metric, {six("r.diff")} AS diff, {six("avg(CASE WHEN n.diff >= r.diff THEN 1.0 ELSE 0.0 END)")} AS p_value,
+  (SELECT count(*) FROM ok) AS replicates, (SELECT max(rep) FROM ok) AS attempts
+FROM df n JOIN r ON n.contrast = r.contrast AND n.metric = r.metric WHERE n.rep IN (SELECT rep FROM ok)
+GROUP BY n.contrast, n.node, n.metric, r.diff""",
+    )
+
+
 _FIRST = ("x.value - y.value", "x.level || ' ~ ' || y.level", ">")
 _SECOND = ("y.value - x.value", "y.level || ' ~ ' || x.level", ">")
 _TREE = lambda body: "WITH RECURSIVE " + TREE + "\n" + body
@@ -371,9 +417,25 @@ SELECT {keys}, {six("s0")} AS stat, {six("stddev_samp(x)")} AS std_error, {six("
 FROM (SELECT {keys}, {value} AS x FROM bt WHERE rep > 0) JOIN (SELECT {keys}, {value} AS s0 FROM bt WHERE rep = 0) USING ({keys}) GROUP BY {keys}, s0"""
 
 
-_CRITICAL = ", ".join(f"({n}, CAST({critical_r(n, 0.05)!r} AS DOUBLE))" for n in range(3, 150))
+_CRITICAL = ", ".join(f"({n}, CAST({r!r} AS DOUBLE))" for n, r in zip(range(3, 150), critical_r(np.arange(3, 150), 0.05).tolist(), strict=True))
 ORACLE_SQL |= {
     "corr_gram": ORACLE_SQL["corr_pearson"],
+    "corr_nulls": sql(_NULLED + _COMPLETE, f"SELECT net, src, dst, {six('r')} AS r, n FROM edges"),
+    "corr_nulls_gram": sql(_NULLED + _COMPLETE, f"SELECT net, src, dst, {six('r')} AS r, n FROM edges"),
+    "corr_nulls_spearman": sql(
+        _NULLED
+        + """,
+both2 AS (SELECT a.net, a.region AS src, b.region AS dst, a.value AS x, b.value AS y FROM once a JOIN once b ON a.net = b.net AND a.sample = b.sample AND a.region < b.region WHERE a.value IS NOT NULL AND b.value IS NOT NULL),
+rk AS (
+  SELECT net, src, dst, rank() OVER (PARTITION BY net, src, dst ORDER BY x) + (count(*) OVER (PARTITION BY net, src, dst, x) - 1) / 2.0 AS x,
+         rank() OVER (PARTITION BY net, src, dst ORDER BY y) + (count(*) OVER (PARTITION BY net, src, dst, y) - 1) / 2.0 AS y
+  FROM both2)""",
+        f"SELECT net, src, dst, {six('covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0)')} AS r, count(*) AS n FROM rk GROUP BY net, src, dst",
+    ),
+    "perm_edges_replicates": ORACLE_SQL["perm_edges"],
+    "perm_edges_1000": sql(_perm(_EDGE_VALUES, 1000), "")[:-1] + _perm_out(*_FIRST),
+    "perm_edges_constant": sql(_perm(_EDGE_VALUES, value="CASE WHEN a.region = 'Brand#11' THEN 0.0 ELSE a.value END"), "")[:-1] + _perm_out(*_FIRST),
+    "perm_redraw": _redrawn(),
     "threshold_p_rcrit": sql(EDGES + f", crit(n, lim) AS (VALUES {_CRITICAL})", f"SELECT e.net, src, dst, e.n, CAST(0.05 AS DOUBLE) AS cut, {six('CASE WHEN abs(r) > lim THEN r ELSE 0.0 END')} AS r FROM edges e JOIN crit ON e.n = crit.n"),
     "normal_approx_null": sql(
         PARTITIONS + ", lp AS (SELECT net, part, node, (count(*) OVER (PARTITION BY net, part, comm) - 1) / CAST(count(*) OVER (PARTITION BY net, part) - 1 AS DOUBLE) AS p FROM parts)",

@@ -26,9 +26,20 @@ def _absolute(spark: SparkSession, sf: str) -> DataFrame:
     return d.graph(spark, sf).withColumn("weight", F.abs("weight"))
 
 
+def _constant(activity: DataFrame) -> DataFrame:
+    return activity.withColumn("value", F.when(F.col("region") == "Brand#11", F.lit(0.0)).otherwise(F.col("value")))
+
+
 def _holed(spark: SparkSession, sf: str) -> DataFrame:
     """Activity with one region that never varies."""
-    return d.activity(spark, sf).withColumn("value", F.when(F.col("region") == "Brand#11", F.lit(0.0)).otherwise(F.col("value")))
+    return _constant(d.activity(spark, sf))
+
+
+def _nulled(spark: SparkSession, sf: str) -> DataFrame:
+    """Activity with small values null, one region that never varies, and each fifth region twice, apart by 2."""
+    a = _holed(spark, sf).withColumn("value", F.when(F.expr("value >= 20 OR region = 'Brand#11'"), F.col("value")))
+    again = a.filter("region LIKE '%5'").withColumn("value", F.col("value") + 2)
+    return a.unionByName(again)
 
 
 @query
@@ -76,6 +87,23 @@ def corr_gram(spark: SparkSession, sf: str) -> DataFrame:
     return network.gram_edges(d.activity(spark, sf))
 
 
+@query
+def corr_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairwise-complete correlations of cells that are null, repeated, or never vary."""
+    return network.corr_edges(_nulled(spark, sf))
+
+
+@query
+def corr_nulls_gram(spark: SparkSession, sf: str) -> DataFrame:
+    """corr_nulls by tiles: blocks of 8 regions and 32 samples."""
+    return network.gram_edges(_nulled(spark, sf), 8, 32)
+
+
+@query
+def corr_nulls_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    return network.corr_edges(_nulled(spark, sf), "spearman")
+
+
 @query
 def corr_nan_policy(spark: SparkSession, sf: str) -> DataFrame:
     return network.fill_undefined(network.corr_edges(_holed(spark, sf)))
@@ -472,6 +500,8 @@ def nodal_measures(spark: SparkSession, sf: str) -> DataFrame:
 # Inference.
 
 REPS = 20
+#: |r| that few pairs of brands pass.
+REDRAW_CUT = 0.31
 
 
 def _samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -486,10 +516,40 @@ def _brand_comm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def perm_edges(spark: SparkSession, sf: str) -> DataFrame:
+    a, s = _samples(spark, sf)
+    return inference.edge_permutation_test(a, s, REPS, places=9)
+
+
+@query
+def perm_edges_replicates(spark: SparkSession, sf: str) -> DataFrame:
+    """perm_edges with every replicate's differences as rows, instead of counts that add up."""
     a, s = _samples(spark, sf)
     return inference.permutation_test(a, s, lambda x: inference.edge_metrics(x, 9), REPS)
 
 
+@query
+def perm_edges_1000(spark: SparkSession, sf: str) -> DataFrame:
+    """A thousand permutations."""
+    a, s = _samples(spark, sf)
+    return inference.edge_permutation_test(a, s, 1000, places=9)
+
+
+@query
+def perm_edges_constant(spark: SparkSession, sf: str) -> DataFrame:
+    """One region never varies: its edges are undefined, and stay."""
+    a, s = _samples(spark, sf)
+    return inference.permutation_test(_constant(a), s, lambda x: inference.edge_metrics(x, 9), REPS)
+
+
+@query
+def perm_redraw(spark: SparkSession, sf: str) -> DataFrame:
+    """The cut leaves some permuted networks without an edge, and their mean connectivity undefined: drawn again."""
+    a, s = _samples(spark, sf)
+    m = _brand_comm(spark, sf).select("node", "comm").distinct()
+    fn = lambda x: inference.global_metrics(x, m, REDRAW_CUT, places=6).filter("metric IN ('mean_fc', 'density')")
+    return inference.redrawn_test(a, s, fn, REPS, absolute=True, comparator=">=", most_attempts=400)
+
+
 @query
 def perm_nodal(spark: SparkSession, sf: str) -> DataFrame:
     a, s = _samples(spark, sf)

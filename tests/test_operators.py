@@ -67,13 +67,88 @@ def test_correlation_policies(spark) -> None:  # noqa: ANN001
     assert edges.filter("net = 'n.0.9'").count() == 1
 
 
-def test_gram_equals_pairs(spark) -> None:  # noqa: ANN001
-    rng = np.random.default_rng(1)
-    rows = [("n", f"s{k:02}", f"r{j}", float(rng.normal())) for k in range(20) for j in range(6)]
-    a = spark.createDataFrame(rows, "net string, sample string, region string, value double")
-    x = {(r["src"], r["dst"]): r["r"] for r in network.corr_edges(a).collect()}
-    y = {(r["src"], r["dst"]): r["r"] for r in network.gram_edges(a).collect()}
-    assert x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-12 for k in x)
+def _untidy(spark, seed: int = 1):  # noqa: ANN001, ANN202
+    """Nulls, NaN, repeated cells, absent cells, a constant region, a region with one value, and no common samples."""
+    rng = np.random.default_rng(seed)
+    rows = [("n", f"s{k:02}", f"r{j}", None if rng.random() < 0.2 else float("nan") if rng.random() < 0.1 else float(rng.normal())) for k in range(20) for j in range(6) if rng.random() < 0.9]
+    rows += [("n", f"s{k:02}", "r1", float(k)) for k in range(0, 20, 3)]
+    rows += [("n", f"s{k:02}", "flat", 4.1) for k in range(20)] + [("n", "s03", "one", 2.0), ("n", "elsewhere", "far", 1.0), ("n", "else", "far", 2.0)]
+    return spark.createDataFrame(rows, "net string, sample string, region string, value double")
+
+
+def test_correlations_mean_the_same_on_every_path(spark) -> None:  # noqa: ANN001
+    a = _untidy(spark)
+    by = lambda df: {(r["src"], r["dst"]): (r["r"], r["n"]) for r in df.collect()}
+    x = by(network.corr_edges(a))
+    wide = a.toPandas().groupby(["sample", "region"])["value"].mean().unstack()
+    names = sorted(wide.columns)
+    for i, p in enumerate(names):
+        for q in names[i + 1 :]:
+            both = wide[[p, q]].dropna()
+            if not len(both):
+                assert (p, q) not in x
+                continue
+            r, n = x[p, q]
+            assert n == len(both)
+            sd = both.std()
+            assert r is None if len(both) < 2 or (sd < 1e-12).any() else r == pytest.approx(both.corr().iloc[0, 1], abs=1e-9)
+    assert any(r is None for r, _ in x.values()) and ("far", "r0") not in x
+    samples = a.select("sample").distinct().selectExpr("sample", "'l' AS level")
+    labelled = inference.permuted_edges(a.drop("net"), samples, 0)
+    paths_of = [by(network.gram_edges(a)), by(network.gram_edges(a, 3, 7)), by(labelled.filter("dst IS NOT NULL")), by(network.corr_edges(inference.permuted_activity(a.drop("net"), samples, 0)))]
+    for y in paths_of:
+        assert x.keys() == y.keys()
+        for k in x:
+            assert x[k][1] == y[k][1] and ((x[k][0] is None and y[k][0] is None) or x[k][0] == pytest.approx(y[k][0], abs=1e-9)), k
+    assert [r["src"] for r in labelled.filter("dst IS NULL").collect()] == ["far"]
+
+
+def test_spearman_ranks_the_samples_of_the_pair(spark) -> None:  # noqa: ANN001
+    a = _untidy(spark, 2)
+    wide = a.toPandas().groupby(["sample", "region"])["value"].mean().unstack()
+    got = {(r["src"], r["dst"]): r["r"] for r in network.corr_edges(a, "spearman").collect()}
+    for p, q in (("r0", "r2"), ("r1", "r4"), ("r3", "r5")):
+        both = wide[[p, q]].dropna().rank()
+        assert got[p, q] == pytest.approx(both.corr().iloc[0, 1], abs=1e-9)
+
+
+def test_permutations_keep_constant_regions_and_do_not_depend_on_size(spark, monkeypatch) -> None:  # noqa: ANN001
+    a = _untidy(spark).drop("net")
+    samples = a.select("sample").distinct().selectExpr("sample", "IF(substr(sample, 3, 1) < '5', 'x', 'y') AS level")
+    rows = lambda df: sorted((r["contrast"], r["node"], round(r["diff"], 9), r["p_value"]) for r in df.collect())
+    small = rows(inference.permutation_test(a, samples, lambda x: inference.edge_metrics(x, 9), 12))
+    counted = rows(inference.edge_permutation_test(a, samples, 12, places=9))
+    monkeypatch.setattr(inference, "CELLS_A_TASK", 3)
+    large = rows(inference.permutation_test(a, samples, lambda x: inference.edge_metrics(x, 9), 12))
+    assert small == large == counted
+    assert sum("flat" in r[1] for r in small) >= 6
+
+
+@pytest.mark.parametrize("options", [{}, {"negs": "abs", "kind": "r", "cut": 0.3}, {"negs": "zero", "kind": "cost", "cut": 0.5, "how": "max_edge_norm"}, {"weak_link": 2, "kind": "p", "cut": 0.4, "how": "fisherz"}, {"how": "max_min_norm"}, {"how": "max_norm"}])
+def test_edge_policies_in_numpy_and_spark(spark, options) -> None:  # noqa: ANN001
+    edges = network.corr_edges(_untidy(spark))
+    want = {r["node"]: r["value"] for r in inference.edge_metrics(edges, **options).collect()}
+    frame = edges.toPandas()
+    got = inference.edge_values(frame["r"].to_numpy(float), frame["n"].to_numpy(), **options)
+    for p, q, v in zip(frame["src"], frame["dst"], got, strict=True):
+        w = want[f"{p} ~ {q}"]
+        assert (w is None and np.isnan(v)) or w == pytest.approx(v, abs=1e-9)
+
+
+def test_redraw_counts_defined_replicates(spark) -> None:  # noqa: ANN001
+    """A metric that is undefined in about half of the attempts, known by their numbers."""
+    a = spark.createDataFrame([(f"s{k}", r, float(k * (3 if r == "b" else 1) % 7)) for k in range(12) for r in "ab"], "sample string, region string, value double")
+    samples = a.select("sample").distinct().selectExpr("sample", "IF(sample < 's5', 'x', 'y') AS level")
+    from pyspark.sql import functions as F
+
+    def metric(e):  # noqa: ANN001, ANN202
+        rep = F.split("net", r"\|")[0].cast("long")
+        return e.filter("dst IS NOT NULL").select("net", F.lit("").alias("node"), F.lit("m").alias("metric"), F.when((rep == 0) | (rep % 3 != 1), F.col("r")).alias("value"))
+
+    got = inference.redrawn_test(a, samples, metric, 10).first()
+    assert (got["replicates"], got["attempts"]) == (10, 15)  # 2 3 5 6 8 9 11 12 14 15
+    got = inference.redrawn_test(a, samples, metric, 10, most_attempts=9).first()
+    assert (got["replicates"], got["attempts"]) == (6, 9)
 
 
 def test_isolated_nodes_stay(spark) -> None:  # noqa: ANN001
