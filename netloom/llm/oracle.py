@@ -1,6 +1,5 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from netloom.llm.quality import PHRASES
 
 EXACT_DEDUP = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -57,13 +56,16 @@ own AS (SELECT doc_id, unnest(list_distinct(lines)) AS line FROM d),
 lw AS (
   SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]*(?:[#*$%&|<>]|!!)[^\x20\x09-\x0D]*')) AS noise,
-         len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}]')) AS bars
+         len(regexp_extract_all(line, '[#*$%&|<>]|!!')) AS symbols,
+         len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}]')) AS bars,
+         CASE WHEN 2 * (strlen(line) - length(line)) > length(line)
+              THEN len(regexp_extract_all(line, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]')) ELSE 0 END AS unspaced
   FROM own),
 good AS (
   SELECT doc_id, CAST(sum(n) AS BIGINT) AS clean_words FROM lw
-  WHERE (regexp_matches(line, '[.!?:;\x{2026}"''\x{201d}\x{2019}\x{bb})\]][\x20\x09-\x0D]*$') OR n > 12)
-    AND noise * 100 < n * 20 AND NOT bars * 5 > n
-    AND NOT (n <= 30 AND regexp_matches(line, '(?i)(?:{phrases})'))
+  WHERE (2 * n + unspaced > 24 OR regexp_matches(line, '[.!?:;\x{2026}{other_marks}"''\x{201d}\x{2019}\x{201c}\x{2018}\x{bb}\x{ab}\x{203a}\x{2039})}{other_closing}\]][\x20\x09-\x0D]*$'))
+    AND (CASE WHEN unspaced > 0 THEN symbols ELSE noise END) * 10 < 2 * n + unspaced AND NOT 10 * bars > 2 * n + unspaced
+    AND NOT (2 * n + unspaced <= 60 AND regexp_matches(line, '(?i)(?:{phrases})'))
   GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -75,7 +77,22 @@ b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_fail
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_words,
        NOT base_failed AND clean_words * 100 >= n_words * 50 AS kept
 FROM b
-""".replace("{phrases}", PHRASES)
+"""
+#: Fixed values of the rule, written out here apart from the operator's own.
+QUALITY = (
+    QUALITY.replace("{phrases}", "|".join(
+        [r"all rights reserved", r"cookies? (policy|settings)", r"we use cookies", r"enable javascript", r"privacy policy", r"terms of (use|service)"]
+        + [r"sign (in|up)\b", r"log ?in\b", r"subscribe (now|to)", r"click here", r"share (this|on)", r"skip to (main )?content", r"back to top"]
+        + [r"alle rechte vorbehalten", r"cookie-(einstellungen|richtlinie)", r"wir verwenden cookies", r"datenschutzerklärung", r"nutzungsbedingungen"]
+        + [r"jetzt (anmelden|abonnieren|registrieren)", r"hier klicken", r"zum inhalt springen", r"nach oben scrollen", r"javascript aktivieren"]
+        + [r"tous droits réservés", r"politique de confidentialité", r"conditions d.utilisation", r"nous utilisons des cookies", r"gérer les cookies"]
+        + [r"se connecter\b", r"abonnez-vous", r"cliquez ici", r"aller au contenu", r"retour en haut", r"activer javascript"]
+        + [r"todos los derechos reservados", r"política de (privacidad|cookies)", r"términos (de uso|y condiciones)", r"utilizamos cookies"]
+        + [r"iniciar sesión", r"suscríbete", r"haga clic aquí", r"saltar al contenido", r"volver arriba", r"activar javascript"]
+    ))
+    .replace("{other_marks}", "\u3002\uff01\uff1f\uff1b\uff1a\uff0e\uff61\u061f\u061b\u06d4\u0964\u0965\u0589\u1362\u1367\u1368\u17d4\u17d5\u104b\u0f0d\u0f0e\u1803\u203d\u2047\u2048\u2049")
+    .replace("{other_closing}", "\u300d\u300f\uff09\u3011\u300b\u3009\u3015\uff3d\uff5d")
+)
 
 SHARDING = r"""
 WITH crc_table AS (

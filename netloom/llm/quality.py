@@ -1,7 +1,9 @@
 r"""Line-first quality rules.
 
-Each line of a text is judged by itself: punctuation (it has to end like a sentence, without runs of exclamation marks
-or words that carry symbols), navigation (separators, or a few words without an end), boilerplate (set phrases of sites).
+Each line of a text is judged by itself: punctuation (it has to end like a sentence of its script, without runs of
+exclamation marks or words that carry symbols), navigation (separators, or a few words without an end), boilerplate (set
+phrases of sites, in English, German, French and Spanish only; lines that a site repeats in other languages go by their
+missing end, or stay: what repeats across documents is left to the dedup operators).
 Repeats of a line count once. Failing lines are removed, and a document goes if that takes too many of its words. Base
 rules on length and on repeated three-word windows come first.
 
@@ -19,8 +21,18 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import WORD, words
 
+#: Marks that end a sentence, by script. Latin, Greek and Cyrillic; Chinese and Japanese; Arabic and Urdu;
+#: Hindi and other scripts of India; Armenian; Ethiopic; Khmer; Burmese; Tibetan; Mongolian; doubled ones. Thai and Lao
+#: have none.
+MARKS = ".!?:;…" + "。！？；：．｡" + "؟؛۔" + "।॥" + "։" + "።፧፨" + "។៕" + "။" + "།༎" + "᠃" + "‽⁇⁈⁉"
+#: What may close a quotation or bracket behind them. Fixed values.
+CLOSING = "\"'”’“‘»«›‹)}" + "」』）】》〉〕］｝"
 #: A line ends like a sentence.
-ENDS = r"[.!?:;…\"'”’»)\]][\x20\x09-\x0D]*$"
+ENDS = rf"[{MARKS}{CLOSING}\]][\x20\x09-\x0D]*$"
+#: Letters of scripts that put no spaces between words; two of them count as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+#: A symbol, or two exclamation marks.
+NOISE = r"[#*$%&|<>]|!!"
 #: A word that carries a symbol, or ends in two exclamation marks.
 NOISE_WORD = r"[^\x20\x09-\x0D]*(?:[#*$%&|<>]|!!)[^\x20\x09-\x0D]*"
 #: Site phrases that make a short line boilerplate, in English, German, French and Spanish. Fixed values; any case.
@@ -43,14 +55,19 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def line_passes(line: Column, n: Column, noise_pct: int = 20, short_words: int = 3, phrase_words: int = 30) -> Column:
-    """Whether a line of n words stays. noise_pct: share of words with symbols from which it goes; short_words: lines of so few
-    words need a sentence's end even where others do not; phrase_words: only lines up to that length go for a phrase."""
+    """Whether a line of n words stays. noise_pct: share of words with symbols from which it goes; short_words: lines of up
+    to four times so many words need a sentence's end; phrase_words: only lines up to that length go for a phrase.
+
+    In a line of which a quarter is letters of scripts without spaces (such a letter takes three bytes), two of these letters
+    count as a word more, and symbols are counted themselves, not the words that carry them."""
+    unspaced = F.when((F.octet_length(line) - F.length(line)) * 2 > F.length(line), _count(line, UNSPACED)).otherwise(F.lit(0))
+    halves = n * 2 + unspaced
     # Most lines have no symbol at all, which is quick to see.
-    noise = F.when(line.rlike(r"[#*$%&|<>]|!!"), _count(line, NOISE_WORD)).otherwise(F.lit(0))
-    punctuation = line.rlike(ENDS) | (n > short_words * 4)
-    navigation = _count(line, r"[|»›•]") * 5 > n
-    boilerplate = (n <= phrase_words) & line.rlike(f"(?iu)(?:{PHRASES})")
-    return punctuation & (noise * 100 < n * noise_pct) & ~navigation & ~boilerplate
+    noise = F.when(line.rlike(NOISE), F.when(unspaced > 0, _count(line, NOISE)).otherwise(_count(line, NOISE_WORD))).otherwise(F.lit(0))
+    punctuation = line.rlike(ENDS) | (n > short_words * 4) | (halves > short_words * 8)
+    navigation = _count(line, r"[|»›•]") * 10 > halves
+    boilerplate = (halves <= phrase_words * 2) & line.rlike(f"(?iu)(?:{PHRASES})")
+    return punctuation & (noise * 200 < halves * noise_pct) & ~navigation & ~boilerplate
 
 
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_loss_pct: int = 50, carry: Column | None = None) -> DataFrame:

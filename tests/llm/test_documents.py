@@ -299,6 +299,42 @@ def test_quality_lines(spark, edges) -> None:  # noqa: ANN001
     assert measure(df).filter("n_repeat_words = 0 AND kept").count() == 2
 
 
+#: A sentence, a menu line, and a line that stays without a mark (or none), by script.
+_SCRIPTS = {
+    "Chinese": ("第{k}个句子在这里讲述了一个关于河流和山脉的完整故事。", "首页 新闻 登录", "这是一段没有结尾标点但是相当长的文字它讲述了很多事情而且一直没有停下来直到最后"),
+    "Japanese": ("これは{k}番目の文であり、川と山についての短い物語を語っています。", "ホーム ニュース ログイン", None),
+    "quoted Japanese": ("彼は「{k}番目の山はとても高いです」", "ホーム ニュース", None),
+    "Arabic": ("هل تعرف قصة النهر والجبل رقم {k} التي رواها الناس؟", "الرئيسية أخبار دخول", None),
+    "Urdu": ("یہ دریا اور پہاڑ کی کہانی نمبر {k} ہے۔", "صفحہ اول خبریں", None),
+    "Hindi": ("यह नदी और पहाड़ की कहानी संख्या {k} है।", "मुख्य पृष्ठ समाचार", None),
+    "Thai": ("นี่คือประโยคที่ {k} ซึ่งเล่าเรื่องของแม่น้ำและภูเขาที่สวยงามมากแห่งหนึ่งในประเทศนี้", "หน้าแรก ข่าว", None),
+    "Greek": ("Αυτή είναι η ιστορία αριθμός {k} για το ποτάμι και το βουνό;", "Αρχική Νέα", None),
+    "Russian": ("Это рассказ номер {k} о реке и о горе.", "Главная Новости Вход", None),
+    "Armenian": ("Սա գետի և լեռան մասին պատմություն է {k}։", "Գլխավոր Նորություններ", None),
+    "Amharic": ("ይህ ስለ ወንዝ እና ተራራ ታሪክ ቁጥር {k} ነው።", "መነሻ ዜና", None),
+    "Khmer": ("នេះគឺជារឿងទី{k}អំពីទន្លេនិងភ្នំដ៏ស្រស់ស្អាត។", "ទំព័រដើម ព័ត៌មាន", None),
+    "German": ("Er sagte: „Dies ist der Satz mit der Nummer {k}.“", "Startseite Neues", None),
+}
+
+
+def test_quality_keeps_a_chinese_text(spark) -> None:  # noqa: ANN001
+    text = "\n".join(_SCRIPTS["Chinese"][0].format(k=k) for k in range(121))
+    r = measure(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["clean_words"], r["kept"]) == (121, 121, True)
+
+
+@pytest.mark.parametrize("script", sorted(_SCRIPTS))
+def test_quality_of_scripts(spark, script: str) -> None:  # noqa: ANN001
+    """Many sentences of a script stay, its menu lines go."""
+    sentence, menu, unmarked = _SCRIPTS[script]
+    good = [sentence.format(k=k) for k in range(121)] + ([unmarked] if unmarked else [])
+    text = "\n".join([menu, *good, " | ".join(menu.split()) + " |"])
+    r = measure(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["clean_text"].split("\n") == good and r["kept"] == (not r["base_failed"])
+    noisy = spark.createDataFrame([(1, "\n".join("#$%&" * 12 + " ".join("#" + w for w in x.split()) for x in good))], "doc_id long, text string")
+    assert measure(noisy).first()["clean_words"] == 0
+
+
 # Licenses.
 
 
