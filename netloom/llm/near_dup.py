@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +43,10 @@ from netloom.llm.components import components
 
 WORDS, BANDS, ROWS, BATCH = 5, 32, 4, 32
 #: Classes of a band that are compared in one block: 16 times the root of the band's classes, within BLOCK and
-#: 32 * BLOCK. A block of texts to verify holds about BLOCK_SHINGLES shingles (8 bytes each), or one document.
+#: 32 * BLOCK. A block of texts to verify holds about BLOCK_SHINGLES shingles (8 bytes each) and BLOCK_BYTES of text, or one
+#: document.
 BLOCK = 512
-BLOCK_SHINGLES = 1 << 22
+BLOCK_SHINGLES, BLOCK_BYTES = 1 << 22, 32 << 20
 #: Rows of a table of crowded bands or of large components, under 50 bytes each, that may be broadcast; larger ones are
 #: joined by a shuffle.
 BROADCAST_BANDS = 1_000_000
@@ -116,6 +118,7 @@ def _fingerprints(df: DataFrame, seed: int) -> DataFrame:
         a, b = _coefficients(seed)
         for batch in batches:
             size, low, high, sig = [], [], [], []
+            volume = pc.coalesce(pc.binary_length(batch.column(2)), 0).cast(pa.int64())
             for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -123,9 +126,9 @@ def _fingerprints(df: DataFrame, seed: int) -> DataFrame:
                 low.append((d & (1 << 64) - 1) - (1 << 63))
                 high.append((d >> 64) - (1 << 63))
                 sig.append(signature(s, a, b).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sig, pa.binary())], names=["row", "doc_id", "n_shingles", "high", "low", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sig, pa.binary()), volume], names=["row", "doc_id", "n_shingles", "high", "low", "sig", "bytes"])
 
-    return df.mapInArrow(run, "row long, doc_id long, n_shingles long, high long, low long, sig binary")
+    return df.mapInArrow(run, "row long, doc_id long, n_shingles long, high long, low long, sig binary, bytes long")
 
 
 def _band_keys(sig: np.ndarray) -> np.ndarray:
@@ -142,16 +145,16 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """band, rep, rank, size: a row for each class and band."""
+    """band, rep, rank, size, bytes: a row for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = _band_keys(_signatures(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in (0, 2, 3))], names=["band", "rep", "rank", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in (0, 2, 3, 4))], names=["band", "rep", "rank", "size", "bytes"])
 
     # The order in which pivots are chosen, by identifier; any order gives right results.
     rank = F.coalesce("lead.doc_id", F.lit(1 << 62) + F.col("lead.row"))
-    return classes.select("rep", "sig", rank.alias("rank"), "size").mapInArrow(run, "band long, rep long, rank long, size long")
+    return classes.select("rep", "sig", rank.alias("rank"), "size", "bytes").mapInArrow(run, "band long, rep long, rank long, size long, bytes long")
 
 
 def _may_link(x: str, y: str, pct: int) -> Column:
@@ -328,32 +331,46 @@ def _with_first(linked: DataFrame) -> DataFrame:
     return linked.join(F.broadcast(large), "name").select("h", "l", "first").unionByName(rest.select("h", "l", "first"))
 
 
+def _with_pivots(bands: DataFrame, crowded: DataFrame) -> DataFrame:
+    """bands with pivot and pivot_size, of the bands in crowded (band, pivot, pivot_size, n).
+
+    A shuffle by band would bring a large band's classes into one task. Bands of more than `most` classes have their pivots
+    broadcast: that is a BROADCAST_BANDS-th of all rows or BLOCK of them, so there are BROADCAST_BANDS of these bands at the
+    most. The others are shuffled, and no task gets more than `most` rows of one of them."""
+    most = max(BLOCK, -(-(crowded.agg(F.sum("n")).first()[0] or 0) // max(BROADCAST_BANDS, 1)))
+    large, small = (crowded.filter(F.col("n") > most).drop("n"), crowded.filter(F.col("n") <= most).drop("n"))
+    rest = bands.join(F.broadcast(large.select("band")), "band", "left_anti")
+    return bands.join(F.broadcast(large), "band").unionByName(rest.join(small, "band"))
+
+
 def _judged(docs: DataFrame, threshold_pct: int = 75, miss: float = 1e-9, seed: int = 0) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept for each row of docs (row, doc_id, text), whose keys are stored."""
     short_batches(docs.sparkSession)
     prints = stored(_fingerprints(docs, seed), "prints")
     named_by = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = stored(prints.filter("sig IS NOT NULL").groupBy("high", "low", "sig").agg(F.min("row").alias("rep"), named_by.alias("lead"), F.max("n_shingles").alias("size")), "classes")
+    classes = stored(prints.filter("sig IS NOT NULL").groupBy("high", "low", "sig").agg(F.min("row").alias("rep"), named_by.alias("lead"), F.max("n_shingles").alias("size"), F.max("bytes").alias("bytes")), "classes")
     bands = _banded(classes)
-    crowded = bands.groupBy("band").agg(F.min_by(F.struct("rep", "size"), "rank").alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("top")).filter("low != top")
-    members = stored(bands.drop("rank").join(crowded.select("band", F.col("pivot.rep").alias("pivot"), F.col("pivot.size").alias("pivot_size")), "band"), "bands")
+    pivot = F.min_by(F.struct("rep", "size"), "rank").alias("pivot")
+    crowded = bands.groupBy("band").agg(pivot, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = stored(crowded.select("band", F.col("pivot.rep").alias("pivot"), F.col("pivot.size").alias("pivot_size"), "n"), "crowded")
+    members = stored(_with_pivots(bands.drop("rank"), crowded), "bands")
     star = members.filter("rep != pivot").filter(_may_link("size", "pivot_size", threshold_pct)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = stored(_promising(star, classes, threshold_pct / 100, miss), "star")
     first = stored(_verified(star.select("a", "b"), docs, threshold_pct), "links")
     labels = stored(components(first), "labels")
 
     # Bands that still hold more than one component; with two classes there is no pair left.
-    told = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"), "size")
-    mixed = told.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).filter("x != y AND n > 2")
+    told = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"), "size", "bytes")
+    mixed = told.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.sum("bytes").alias("bytes")).filter("x != y AND n > 2")
     wide = F.least(F.greatest(F.lit(16.0) * F.sqrt("n"), F.lit(float(BLOCK))), F.lit(32.0 * BLOCK))
-    blocks = F.ceil(F.greatest(F.col("n") / wide, F.col("shingles") / F.lit(float(BLOCK_SHINGLES)))).cast("long")
+    blocks = F.ceil(F.greatest(F.col("n") / wide, F.col("shingles") / F.lit(float(BLOCK_SHINGLES)), F.col("bytes") / F.lit(float(BLOCK_BYTES)))).cast("long")
     mixed = stored(mixed.select("band", blocks.alias("blocks")), "mixed")
     # Joined by a shuffle, all rows of a crowded band would be in one task.
-    told = told.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_BANDS else mixed, "band")
+    told = told.drop("bytes").join(F.broadcast(mixed) if mixed.count() <= BROADCAST_BANDS else mixed, "band")
     second, noted = _between(told, classes, docs, threshold_pct, miss)
     final = components(first.unionByName(second))
     # All that came before is in `final`.
-    dropped(members, star, first, labels, mixed, noted)
+    dropped(crowded, members, star, first, labels, mixed, noted)
 
     of = classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep", "lead").join(final, F.col("rep") == F.col("node"), "left")
     linked = of.filter("component IS NOT NULL").select("h", "l", "lead", F.col("component").alias("name"))
