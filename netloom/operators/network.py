@@ -334,6 +334,13 @@ def to_matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names, m
 
 
+def to_edge_list(pdf: pd.DataFrame, nodes: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, i, j, weight) of the rows with dst; names are of all rows and of nodes."""
+    names = np.unique(np.concatenate([pdf["src"].to_numpy(str), pdf["dst"].dropna().to_numpy(str), np.asarray(nodes, str)]))
+    real = pdf.dropna(subset=["dst"])
+    return names, np.searchsorted(names, real["src"].to_numpy(str)), np.searchsorted(names, real["dst"].to_numpy(str)), real["weight"].to_numpy(float)
+
+
 def with_isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges and, for nodes without one, a row without dst; the form that map_networks takes."""
     alone = nodes.select("net", "node").distinct().join(ends(edges).select("net", "node").distinct(), ["net", "node"], "left_anti")

@@ -185,11 +185,46 @@ def test_paths_of_a_line(spark) -> None:  # noqa: ANN001
     assert loss["b"] == pytest.approx(1) and loss["z"] < 0
 
 
-def test_betweenness_counts_ties() -> None:
-    m = np.zeros((4, 4))
-    for i, j in ((0, 1), (1, 2), (2, 3), (0, 3)):
-        m[i, j] = m[j, i] = 1
-    assert paths.betweenness(m).tolist() == [0.5] * 4
+def _all_paths(n: int, w: dict, s: int, t: int) -> list:
+    """All shortest simple paths from s to t by trying every one."""
+    best, found = math.inf, []
+    stack = [((s,), 0.0)]
+    while stack:
+        path, d = stack.pop()
+        if path[-1] == t:
+            if d < best - 1e-9:
+                best, found = d, [path]
+            elif d < best + 1e-9:
+                found.append(path)
+            continue
+        stack += [((*path, v), d + 1 / abs(w[path[-1], v])) for v in range(n) if v not in path and (path[-1], v) in w]
+    return [p for p in found]
+
+
+@pytest.mark.parametrize("sources", [1, 3, 64])
+def test_paths_against_every_path(spark, sources: int) -> None:  # noqa: ANN001
+    """Ties and all, in blocks of sources of any size; the last node is alone."""
+    rng = np.random.default_rng(5)
+    n = 7
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5]
+    weight = {p: float(rng.choice([1.0, 0.5, -0.5, 0.25])) for p in pairs}
+    w = {**weight, **{(j, i): x for (i, j), x in weight.items()}}
+    e, nodes = _graph(spark, [(f"v{i}", f"v{j}", x) for (i, j), x in weight.items()], [f"v{k}" for k in range(n + 1)])
+    got = {r["node"]: r for r in paths.path_metrics(e, nodes, ("nodal_efficiency", "betweenness", "closeness"), sources_a_task=sources).collect()}
+    through, far = np.zeros(n), np.full((n, n), np.inf)
+    for s in range(n):
+        for t in range(n):
+            if s != t and (all_of := _all_paths(n, w, s, t)):
+                far[s, t] = sum(1 / abs(w[a, b]) for a, b in zip(all_of[0], all_of[0][1:], strict=False))
+                for p in all_of:
+                    for v in p[1:-1]:
+                        through[v] += 0.5 / len(all_of)
+    assert len(got) == n + 1 and got[f"v{n}"]["closeness"] == 0
+    for v in range(n):
+        there = far[v][np.isfinite(far[v])]
+        assert got[f"v{v}"]["betweenness"] == pytest.approx(through[v])
+        assert got[f"v{v}"]["nodal_efficiency"] == pytest.approx((1 / there).sum() / n)
+        assert got[f"v{v}"]["closeness"] == pytest.approx(len(there) / there.sum())
 
 
 def test_networks_without_edges(spark) -> None:  # noqa: ANN001
