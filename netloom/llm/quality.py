@@ -19,16 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import WORD, words
+from netloom.llm.common import SPACES, WORD, words
 
 #: Marks that end a sentence, by script. Latin, Greek and Cyrillic; Chinese and Japanese; Arabic and Urdu;
 #: Hindi and other scripts of India; Armenian; Ethiopic; Khmer; Burmese; Tibetan; Mongolian; doubled ones. Thai and Lao
 #: have none.
 MARKS = ".!?:;…" + "。！？；：．｡" + "؟؛۔" + "।॥" + "։" + "።፧፨" + "។៕" + "။" + "།༎" + "᠃" + "‽⁇⁈⁉"
 #: What may close a quotation or bracket behind them. Fixed values.
-CLOSING = "\"'”’“‘»«›‹)}" + "」』）】》〉〕］｝"
-#: A line ends like a sentence.
-ENDS = rf"[{MARKS}{CLOSING}\]][\x20\x09-\x0D]*$"
+CLOSING = "\"'”’“‘»«›‹)" + "」』）】》〉〕］｝"
+#: The last character of a line that ends like a sentence.
+ENDS = MARKS + CLOSING + "]"
 #: Letters of scripts that put no spaces between words; two of them count as a word.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 #: A symbol, or two exclamation marks.
@@ -54,17 +54,20 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def line_passes(line: Column, n: Column, noise_pct: int = 20, short_words: int = 3, phrase_words: int = 30) -> Column:
-    """Whether a line of n words stays. noise_pct: share of words with symbols from which it goes; short_words: lines of up
-    to four times so many words need a sentence's end; phrase_words: only lines up to that length go for a phrase.
+def half_words(line: Column, n: Column) -> Column:
+    """Twice the number of words n of a line, for scripts without spaces counted from their letters: in a line of which a
+    quarter is such letters (they take three bytes), each adds a half word."""
+    return n * 2 + F.when((F.octet_length(line) - F.length(line)) * 2 > F.length(line), _count(line, UNSPACED)).otherwise(F.lit(0))
 
-    In a line of which a quarter is letters of scripts without spaces (such a letter takes three bytes), two of these letters
-    count as a word more, and symbols are counted themselves, not the words that carry them."""
-    unspaced = F.when((F.octet_length(line) - F.length(line)) * 2 > F.length(line), _count(line, UNSPACED)).otherwise(F.lit(0))
-    halves = n * 2 + unspaced
+
+def line_passes(line: Column, n: Column, halves: Column, noise_pct: int = 20, short_words: int = 3, phrase_words: int = 30) -> Column:
+    """Whether a line of n words (and `halves` half words) stays. noise_pct: share of words with symbols from which it goes;
+    short_words: lines of up to four times so many words need a sentence's end; phrase_words: only lines up to that length
+    go for a phrase. In lines of scripts without spaces symbols are counted themselves, not the words that carry them."""
     # Most lines have no symbol at all, which is quick to see.
-    noise = F.when(line.rlike(NOISE), F.when(unspaced > 0, _count(line, NOISE)).otherwise(_count(line, NOISE_WORD))).otherwise(F.lit(0))
-    punctuation = line.rlike(ENDS) | (n > short_words * 4) | (halves > short_words * 8)
+    noise = F.when(line.rlike(NOISE), F.when(halves > n * 2, _count(line, NOISE)).otherwise(_count(line, NOISE_WORD))).otherwise(F.lit(0))
+    # One look at the last character: a pattern would try a class of many characters at every place of the line.
+    punctuation = (halves > short_words * 8) | F.contains(F.lit(ENDS), F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)))
     navigation = _count(line, r"[|»›•]") * 10 > halves
     boilerplate = (halves <= phrase_words * 2) & line.rlike(f"(?iu)(?:{PHRASES})")
     return punctuation & (noise * 200 < halves * noise_pct) & ~navigation & ~boilerplate
@@ -82,7 +85,8 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     d = d.select("*", F.array_distinct("lines").alias("own"), (F.size(F.array_distinct("h")) < F.size("h")).alias("again"))
     windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("g"), i.alias("i"))))
     counted = F.transform("own", lambda x: F.struct(x.alias("line"), _count(x, WORD).alias("n")))
-    good = F.transform(F.filter(counted, lambda x: line_passes(x["line"], x["n"])), lambda x: x["line"])
+    counted = F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), half_words(x["line"], x["n"]).alias("halves")))
+    good = F.transform(F.filter(counted, lambda x: line_passes(x["line"], x["n"], x["halves"])), lambda x: x["line"])
     d = d.select("*", F.when(F.col("again"), windows).alias("s"), good.alias("good"))
     same = F.filter("s", lambda x, k: (F.get("s", k - 1)["g"] == x["g"]) | (F.get("s", k + 1)["g"] == x["g"]))
     d = d.select("*", F.sort_array(F.transform(F.when(F.col("again") & (F.size("s") > 0), same), lambda x: x["i"])).alias("p"))
