@@ -51,7 +51,7 @@ BLOCK_SHINGLES, BLOCK_BYTES = 1 << 22, 32 << 20
 #: joined by a shuffle.
 BROADCAST_BANDS = 1_000_000
 #: Bits of the table that tells which texts may be needed; its size does not depend on the data.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 22
 HASHES = BANDS * ROWS
 #: Word hashes kept in a worker, about 150 bytes each.
 WORDS_KEPT = 100_000
@@ -291,7 +291,7 @@ def _linked(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
 
 def _maybe_needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose key may be among ids, by a bit table that is broadcast: at most FILTER_BITS / 64 rows of
-    16 bytes, 4 MB. All ids pass; others pass seldom while ids are few against the bits, so few texts are shuffled, and
+    16 bytes, 1 MB. All ids pass; others pass seldom while ids are few against the bits, so few texts are shuffled, and
     always when they are many, which costs the shuffle of all texts but no row."""
     word, bit = "CAST(pmod(xxhash64({0}), {1}) DIV 64 AS INT)", "shiftleft(CAST(1 AS BIGINT), CAST(pmod(xxhash64({0}), 64) AS INT))"
     bits = ids.select(F.expr(word.format("id", FILTER_BITS)).alias("_word"), F.expr(bit.format("id")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
