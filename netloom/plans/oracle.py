@@ -318,6 +318,9 @@ GROUP BY n.contrast, n.node, n.metric, r.diff""",
     )
 
 
+#: Brands by the rest of their number by five; `own` is the first brand with the same rest.
+_RESTS = """b AS (SELECT DISTINCT p_brand AS node, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) % 5 AS rest FROM part),
+r AS (SELECT *, min(node) OVER (PARTITION BY rest) AS own FROM b)"""
 _FIRST = ("x.value - y.value", "x.level || ' ~ ' || y.level", ">")
 _SECOND = ("y.value - x.value", "y.level || ' ~ ' || x.level", ">")
 _TREE = lambda body: "WITH RECURSIVE " + TREE + "\n" + body
@@ -664,7 +667,28 @@ zr AS (SELECT rep, net, src, dst, atanh((sxy - sx * sy / n) / sqrt(nullif((sxx -
     "modularity_max": sql(GRAPH, "SELECT net, CAST(0 AS BIGINT) AS part, n_nodes, true AS no_worse FROM sizes"),
     "multi_scale": sql(GRAPH, f"SELECT net, part, n_nodes, true AS no_worse, true AS settled, {six('-1.0 + 0.25 * part')} AS gamma FROM sizes CROSS JOIN (SELECT unnest(range(13)) AS part)"),
     "event_samples": sql(GRAPH, "SELECT net, part, n_nodes, true AS no_worse, true AS settled FROM sizes CROSS JOIN (SELECT unnest(range(40)) AS part)"),
-    "consensus": sql(GRAPH, "SELECT net, n_nodes, n_nodes AS distinct_nodes, true AS numbered, true AS converged FROM sizes"),
+    "consensus": sql(GRAPH, "SELECT net, n_nodes, n_nodes AS distinct_nodes, true AS numbered, true AS converged, true AS beats_one, true AS beats_single FROM sizes"),
+    "agreement_less_null": sql(
+        PARTITIONS + f""",
+pl AS (SELECT part, node, (count(*) OVER (PARTITION BY part, comm) - 1) / CAST(count(*) OVER (PARTITION BY part) - 1 AS DOUBLE) AS p FROM parts),
+q AS (SELECT node, greatest(0.0, least(1.0, avg(p) + ({float(normal_quantile(0.05)[0])!r}) * sqrt(sum(p * (1 - p))) / count(*))) AS p FROM pl GROUP BY node),
+ag AS (SELECT a.node AS src, b.node AS dst, count(*) / 6.0 AS w FROM parts a JOIN parts b ON a.part = b.part AND a.comm = b.comm AND a.node < b.node GROUP BY ALL)""",
+        f"SELECT 'brands' AS net, x.node AS src, y.node AS dst, {six('coalesce(w, 0.0) - least(x.p, y.p)')} AS weight FROM q x JOIN q y ON x.node < y.node LEFT JOIN ag ON src = x.node AND dst = y.node",
+    ),
+    "consensus_planted": f"WITH {_RESTS} SELECT 'brands' AS net, node, CAST(dense_rank() OVER (ORDER BY own) AS INTEGER) AS comm, true AS converged FROM r",
+    "hier_planted": f"""
+WITH {_RESTS},
+two AS (SELECT *, min(node) OVER (PARTITION BY rest <= 1) AS half FROM r),
+l AS (
+  SELECT 1 AS level, node, 1 AS comm, 1 AS final FROM two
+  UNION ALL SELECT 2, node, dense_rank() OVER (ORDER BY half), dense_rank() OVER (ORDER BY half) FROM two
+  UNION ALL SELECT 3, node, dense_rank() OVER (ORDER BY half, own), dense_rank() OVER (ORDER BY own) FROM two
+  UNION ALL SELECT 4, node, row_number() OVER (ORDER BY half, own, node), dense_rank() OVER (ORDER BY own) FROM two)
+SELECT 'brands' AS net, CAST(level AS INTEGER) AS level, node, CAST(comm AS INTEGER) AS comm, CAST(final AS INTEGER) AS final, true AS converged FROM l""",
+    "searches_planted": f"""
+WITH {_RESTS}
+SELECT search, node, CAST(dense_rank() OVER (PARTITION BY search ORDER BY own) AS INTEGER) AS comm
+FROM r CROSS JOIN (SELECT unnest(['louvain', 'signed_louvain', 'spectral', 'sparse_louvain', 'sparse_signed_louvain']) AS search)""",
     "hier_consensus": sql(GRAPH, "SELECT net, n_nodes, CAST(1 AS BIGINT) AS first_communities, CAST(1 AS BIGINT) AS parents, true AS converged FROM sizes"),
     "gamma_range": sql(_STRENGTHS, f"SELECT net, {six('max(x / p)')} AS gamma_max, true AS ordered, true AS above_zero, true AS converged FROM pr WHERE p > 0 GROUP BY net"),
     "event_resolutions": sql(

@@ -427,17 +427,69 @@ def event_samples(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(g, n, partition.event_samples(g, n, n=40, samples=20))
 
 
+def _brand_partitions(spark: SparkSession, sf: str, n: int, comm: str) -> DataFrame:
+    """Partitions 1 to n of the brands; comm is SQL of part, number and rest (the brand's number and its rest by five)."""
+    names = d.table(spark, sf, "part").select(F.col("p_brand").alias("node")).distinct()
+    names = names.withColumn("number", F.regexp_extract("node", r"(\d+)$", 1).cast("int")).withColumn("rest", F.expr("number % 5"))
+    return names.crossJoin(spark.range(1, n + 1).withColumnRenamed("id", "part")).select(F.lit("brands").alias("net"), "part", "node", F.expr(comm).cast("int").alias("comm"))
+
+
+@query
+def agreement_less_null(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.agreement_less_null(d.partitions(spark, sf))
+
+
 @query
 def consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """Every node once, with communities numbered from 1, and runs that came to agree."""
-    c = partition.consensus(partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=20), runs=20)
-    return c.groupBy("net").agg(F.count("node").alias("n_nodes"), F.countDistinct("node").alias("distinct_nodes"), (F.max("comm") == F.countDistinct("comm")).alias("numbered"), F.bool_and("converged").alias("converged"))
+    """Every node once, communities numbered from 1, runs that came to agree, and labels that say what agrees: pairs within
+    communities agree beyond chance in sum (single nodes hold nothing), and more than pairs across (of which one community of
+    all has none)."""
+    parts = network.checkpointed(partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=20))
+    c = network.checkpointed(partition.consensus(parts, runs=20))
+    pairs = partition.agreement_less_null(parts)
+    pairs = pairs.join(c.select("net", F.col("node").alias("src"), F.col("comm").alias("x")), ["net", "src"]).join(c.select("net", F.col("node").alias("dst"), F.col("comm").alias("y")), ["net", "dst"])
+    held = pairs.groupBy("net").agg(F.avg(F.when(F.expr("x = y"), F.col("weight"))).alias("within"), F.avg(F.when(F.expr("x != y"), F.col("weight"))).alias("across"))
+    facts = c.groupBy("net").agg(F.count("node").alias("n_nodes"), F.countDistinct("node").alias("distinct_nodes"), (F.max("comm") == F.countDistinct("comm")).alias("numbered"), F.bool_and("converged").alias("converged"))
+    return facts.join(held.select("net", F.expr("within > across").alias("beats_one"), F.expr("within > 0").alias("beats_single")), "net")
+
+
+@query
+def consensus_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Fifteen partitions of the brands by rest, each with some brands astray: the rests come back."""
+    return partition.consensus(_brand_partitions(spark, sf, 15, "IF(number % 15 + 1 = part, 9, rest)"), runs=20)
+
+
+@query
+def hier_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the partitions have two groups of rests, half the rests: levels of both, and then of single brands."""
+    p = _brand_partitions(spark, sf, 20, "IF(part % 2 = 0, IF(rest <= 1, 1, 2), rest)")
+    return partition.hierarchical_consensus(p, runs=20)
+
+
+def _planted_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Brands with the same rest by five are linked by 1, others by a tenth."""
+    nodes = d.table(spark, sf, "part").select(F.lit("brands").alias("net"), F.col("p_brand").alias("node")).distinct()
+    pairs = nodes.withColumnRenamed("node", "src").join(nodes.withColumnRenamed("node", "dst"), "net").filter("src < dst")
+    rest = lambda end: F.regexp_extract(end, r"(\d+)$", 1).cast("int") % 5
+    return pairs.withColumn("weight", F.when(rest("src") == rest("dst"), F.lit(1.0)).otherwise(F.lit(0.1))), nodes
+
+
+@query
+def searches_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """What each search finds in a network of five plain communities, by value."""
+    g, n = _planted_graph(spark, sf)
+    found = [partition.relabel(partition.partition_runs(g, n, optimizer=name)).select(F.lit(name).alias("search"), "node", "comm") for name in ("louvain", "signed_louvain", "spectral", "sparse_louvain", "sparse_signed_louvain")]
+    out = found[0]
+    for each in found[1:]:
+        out = out.unionByName(each)
+    return out
 
 
 @query
 def hier_consensus(spark: SparkSession, sf: str) -> DataFrame:
     """Levels that start from one community and only ever divide communities."""
-    h = network.checkpointed(partition.hierarchical_consensus(partition.event_samples(_absolute(spark, sf), d.nodes(spark, sf), n=40, samples=20), runs=20))
+    parts = network.checkpointed(partition.event_samples(_absolute(spark, sf), d.nodes(spark, sf), n=40, samples=20))
+    h = network.checkpointed(partition.hierarchical_consensus(parts, runs=20))
     up = h.select("net", (F.col("level") + 1).alias("level"), "node", F.col("comm").alias("above"))
     pure = h.join(up, ["net", "level", "node"]).groupBy("net", "level", "comm").agg(F.countDistinct("above").alias("parents")).groupBy("net").agg(F.max("parents").alias("parents"))
     first = h.filter("level = 1").groupBy("net").agg(F.count("node").alias("n_nodes"), F.countDistinct("comm").alias("first_communities"), F.bool_and("converged").alias("converged"))

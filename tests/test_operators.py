@@ -423,6 +423,149 @@ def test_partition_measures(spark) -> None:  # noqa: ANN001
     assert ami[0, 1] == pytest.approx(1) and ami[0, 2] == pytest.approx(0, abs=1e-9)
 
 
+# Consensus of one network in memory, to compare with.
+
+
+def _factorize(v: np.ndarray) -> tuple:
+    _, first, inverse = np.unique(v, return_index=True, return_inverse=True)
+    return (np.argsort(np.argsort(first))[inverse],)
+
+
+def _agree(c: np.ndarray) -> np.ndarray:
+    """Agreement of partitions in columns."""
+    d = np.mean([v[:, None] == v[None, :] for v in c.T], axis=0)
+    np.fill_diagonal(d, 0)
+    return d
+
+
+def _null_of(c: np.ndarray, perm: str, alpha: float) -> np.ndarray:
+    """Expected agreement by a null model, at the alpha quantile of the normal approximation."""
+    n = len(c)
+    sizes = np.array([[(v == x).sum() for x in v] for v in c.T]).T
+    mu = (sizes - 1) / max(n - 1, 1)
+    if perm == "global":
+        mu = np.broadcast_to(((sizes - 1).sum(axis=0) / (n * max(n - 1, 1)))[None, :], mu.shape)
+    p = np.clip(mu.mean(axis=1) + dist.normal_quantile(alpha)[0] * np.sqrt((mu * (1 - mu)).sum(axis=1)) / mu.shape[1], 0, 1)
+    out = np.minimum(p[:, None], p[None, :])
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _first_labels(v: np.ndarray) -> np.ndarray:
+    return _factorize(v)[0]
+
+
+def _consensus_labels(c: np.ndarray, perm: str | None = "local", alpha: float = 0.05, tau: float = 0.5, runs: int = 100, seed: int = 0, convergence: bool = True, max_iter: int = 50) -> tuple[np.ndarray, bool]:
+    """(labels, converged) of partitions in columns: agreement less its null (or cut at tau) is partitioned again, until
+    all runs agree. convergence=False subtracts once and splits by eigenvectors."""
+    for k in range(max_iter):
+        d = _agree(c)
+        d = np.where(d >= tau, d, 0) if perm is None else d - _null_of(c, perm, alpha)
+        if not convergence:
+            return partition.spectral_partition(d), True
+        if not d.any():
+            return np.arange(len(d)), True
+        c = np.array([_first_labels(partition.signed_louvain(d, 1.0, "custom", (seed, k, r))) for r in range(runs)]).T
+        if (c == c[:, :1]).all():
+            return c[:, 0], True
+    return c[:, 0], False
+
+
+def _hierarchical_labels(c: np.ndarray, alpha: float = 0.05, runs: int = 50, seed: int = 0, max_iter: int = 50, perm: str = "local") -> tuple[np.ndarray, bool]:
+    """(labels by level, converged): each community is split by the consensus of its own nodes until none splits."""
+    levels, ok = [np.zeros(len(c), int)], True
+    while True:
+        now, new = levels[-1], levels[-1] * 0
+        used = 0
+        for k in np.unique(now):
+            at = np.flatnonzero(now == k)
+            sub = np.array([_first_labels(v) for v in c[at].T]).T
+            labels = np.zeros(len(at), int)
+            if len(at) > 1:
+                d = _agree(sub) - _null_of(sub, perm, alpha)
+                if (d[~np.eye(len(at), dtype=bool)] <= 0).any():
+                    labels, fine = _consensus_labels(sub, perm, alpha, runs=runs, seed=seed + len(levels), max_iter=max_iter)
+                    ok &= fine
+            new[at] = used + labels
+            used += labels.max() + 1
+        if used == now.max() + 1:
+            return np.array(levels).T, ok
+        levels.append(new)
+
+
+def _noisy(seed: int, n: int = 12, parts: int = 9) -> list[dict[str, int]]:
+    """Partitions of nested groups with nodes astray."""
+    rng = np.random.default_rng(seed)
+    names = [f"v{k:02}" for k in range(n)]
+    return [{name: int(rng.integers(9)) if rng.random() < 0.15 else (k // 3 if p % 2 else k // 6) for k, name in enumerate(names)} for p in range(parts)]
+
+
+@pytest.mark.parametrize(("perm", "convergence"), [("local", True), ("global", True), (None, True), ("local", False)])
+def test_consensus_equals_that_in_memory(spark, perm, convergence) -> None:  # noqa: ANN001
+    """Several nets at once, of which some converge before others, and one of a single node."""
+    nets = {f"n{k}": _noisy(k) for k in range(3)} | {"one": [{"v": 1}, {"v": 2}]}
+    rows = [(net, p, node, comm) for net, parts in nets.items() for p, m in enumerate(parts) for node, comm in m.items()]
+    df = spark.createDataFrame(rows, "net string, part long, node string, comm int")
+    got = {(r["net"], r["node"]): (r["comm"], r["converged"]) for r in partition.consensus(df, perm=perm, runs=20, convergence=convergence).collect()}
+    assert len(got) == len({(net, node) for net, _, node, _ in rows})
+    for net, parts in nets.items():
+        names = sorted(parts[0])
+        c = np.array([[m[node] for m in parts] for node in names])
+        labels, ok = (np.zeros(1, int), True) if len(names) == 1 else _consensus_labels(c, perm, runs=20, convergence=convergence)
+        assert [got[net, node] for node in names] == [(int(x) + 1, ok) for x in _factorize(labels)[0]]
+
+
+def test_hierarchy_equals_that_in_memory(spark) -> None:  # noqa: ANN001
+    nets = {f"n{k}": _noisy(k + 10) for k in range(2)}
+    rows = [(net, p, node, comm) for net, parts in nets.items() for p, m in enumerate(parts) for node, comm in m.items()]
+    got = {(r["net"], r["level"], r["node"]): r["comm"] for r in partition.hierarchical_consensus(spark.createDataFrame(rows, "net string, part long, node string, comm int"), runs=15).collect()}
+    for net, parts in nets.items():
+        names = sorted(parts[0])
+        levels, _ = _hierarchical_labels(np.array([[m[node] for m in parts] for node in names]), runs=15)
+        assert max(level for n, level, _ in got if n == net) == levels.shape[1]
+        for k in range(levels.shape[1]):
+            mine = [got[net, k + 1, node] for node in names]
+            assert _factorize(np.array(mine))[0].tolist() == _factorize(levels[:, k])[0].tolist()
+    assert max(level for _, level, _ in got) > 1
+
+
+def test_consensus_takes_other_searches_and_nulls(spark) -> None:  # noqa: ANN001
+    df = _parts(spark, _noisy(4))
+    one = partition.consensus(df, runs=3, optimizer=lambda m, gamma, seed: np.zeros(len(m), int))
+    assert {r["comm"] for r in one.collect()} == {1}
+    exact = partition.consensus(df, runs=5, null=partition.exact_null)
+    assert exact.count() == 12 and all(r["converged"] for r in exact.collect())
+
+
+@given(st.integers(0, 10_000), st.sampled_from(["modularity", "neg_asym", "neg_sym", "potts", "custom"]))
+@settings(max_examples=60, deadline=None)
+def test_sparse_louvain_settles_as_the_dense_one(seed: int, mod: str) -> None:
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 14))
+    a = np.triu(rng.normal(size=(n, n)) * (rng.random((n, n)) < 0.5), 1)
+    a = np.abs(a) if mod == "modularity" else a
+    i, j = np.nonzero(a)
+    b = partition.objective(a + a.T, mod, 0.9)
+    c = partition.SparseObjective(n, i, j, a[i, j], mod, 0.9).louvain(np.random.default_rng(seed))
+    dense = partition.louvain(b, np.random.default_rng(seed))
+    quality = lambda c: b[c[:, None] == c[None, :]].sum()
+    to = b @ np.eye(c.max() + 2)[c]
+    to[np.arange(n), c] -= np.diag(b)
+    assert (to - to[np.arange(n), c][:, None]).max() <= 1e-8
+    assert quality(c) == pytest.approx(quality(dense), abs=0.05 * np.abs(b).sum() + 1e-9)
+
+
+def test_sparse_louvain_of_a_large_network() -> None:
+    """4,000 nodes in 40 groups: no matrix of all pairs, and the groups come back."""
+    rng = np.random.default_rng(1)
+    group = np.arange(4000) % 40
+    i = rng.integers(0, 4000, 40_000)
+    j = np.where(rng.random(len(i)) < 0.85, (i + 40 * rng.integers(1, 100, len(i))) % 4000, rng.integers(0, 4000, len(i)))
+    pair = np.unique(np.minimum(i, j)[i != j] * 4000 + np.maximum(i, j)[i != j])
+    c = partition.SparseObjective(4000, pair // 4000, pair % 4000, np.ones(len(pair)), "modularity").louvain(np.random.default_rng(0))
+    assert len(set(zip(c.tolist(), group.tolist(), strict=True))) == len(set(c.tolist())) == 40
+
+
 def test_consensus(spark) -> None:  # noqa: ANN001
     noisy = [dict(TWO_COMM) for _ in range(9)]
     noisy[0]["c"] = 2
