@@ -76,12 +76,25 @@ def constraint(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("net", "node", F.coalesce("burt", "most").alias("burt"))
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """net, a, b, c: each triangle once. Edges point from the end of fewer edges to that of more (ties by name), so a node
+    has at most sqrt(2 m) edges that leave it, and pairs of them are at most m ** 1.5, however large a hub is."""
+    k = ends(edges).groupBy("net", "node").agg(F.count(F.lit(1)).alias("k"))
+    of = lambda end: k.select("net", F.col("node").alias(end), F.col("k").alias(f"k_{end}"))
+    known = edges.select("net", "src", "dst").join(of("src"), ["net", "src"]).join(of("dst"), ["net", "dst"])
+    up = F.struct("k_src", "src") < F.struct("k_dst", "dst")
+    low, high = F.struct(F.col("k_src").alias("k"), F.col("src").alias("node")), F.struct(F.col("k_dst").alias("k"), F.col("dst").alias("node"))
+    known = known.select("net", F.when(up, low).otherwise(high).alias("low"), F.when(up, high).otherwise(low).alias("high"))
+    two = known.alias("x").join(known.alias("y"), F.expr("x.net = y.net AND x.low.node = y.low.node AND x.high < y.high")).select("x.net", F.col("x.low.node").alias("a"), F.col("x.high.node").alias("b"), F.col("y.high.node").alias("c"))
+    return two.join(known.select("net", F.col("low.node").alias("b"), F.col("high.node").alias("c")), ["net", "b", "c"], "left_semi")
+
+
 def transitivity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """net, node, transitivity: closed share of the pairs of a node's neighbours; 0 with fewer than two."""
-    e = ends(edges).select("net", "node", "other")
-    pairs = e.alias("a").join(e.alias("b"), F.expr("a.net = b.net AND a.node = b.node AND a.other < b.other")).select("a.net", "a.node", F.col("a.other").alias("src"), F.col("b.other").alias("dst"))
-    closed = pairs.join(edges.select("net", "src", "dst", F.lit(1.0).alias("tri")), ["net", "src", "dst"], "left")
-    return _all(nodes, closed.groupBy("net", "node").agg(F.avg(F.coalesce("tri", F.lit(0.0))).alias("transitivity")), ("transitivity",))
+    k = ends(edges).groupBy("net", "node").agg(F.count(F.lit(1)).alias("k"))
+    closed = triangles(edges).select("net", F.explode(F.array("a", "b", "c")).alias("node")).groupBy("net", "node").agg(F.count(F.lit(1)).alias("t"))
+    share = closed.join(k, ["net", "node"]).select("net", "node", (F.col("t") * 2.0 / (F.col("k") * (F.col("k") - 1))).alias("transitivity"))
+    return _all(nodes, share, ("transitivity",))
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:

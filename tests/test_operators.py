@@ -175,6 +175,27 @@ def test_constraint_of_a_star(spark) -> None:  # noqa: ANN001
     assert _by(nodal.constraint(e, n), "burt") == {"h": pytest.approx(1 / 3), "a": 1.0, "b": 1.0, "c": 1.0}
 
 
+def test_triangles_of_a_star(spark) -> None:  # noqa: ANN001
+    """A hub of 100,000 leaves, two of them linked: one triangle, and no pairs of all leaves."""
+    from pyspark.sql import functions as F
+
+    leaves = spark.range(100_000).select(F.lit("g").alias("net"), F.lit("hub").alias("src"), F.concat(F.lit("v"), "id").alias("dst"), F.lit(1.0).alias("weight"))
+    e = leaves.unionByName(spark.createDataFrame([("g", "v1", "v2", 1.0)], "net string, src string, dst string, weight double"))
+    assert [sorted(r[1:]) for r in nodal.triangles(e).collect()] == [["hub", "v1", "v2"]]
+    nodes = network.ends(e).select("net", "node").distinct()
+    got = {r["node"]: r["transitivity"] for r in nodal.transitivity(e, nodes).filter("transitivity > 0").collect()}
+    assert got == {"v1": 1.0, "v2": 1.0, "hub": pytest.approx(2 / (100_000 * 99_999))}
+
+
+def test_ami_of_pairs_needs_no_pairs(spark) -> None:  # noqa: ANN001
+    """Co-classification of 3,000 nodes: 9 million pairs, from four counts."""
+    rng = np.random.default_rng(0)
+    c = rng.integers(0, 5, (2, 3000))
+    rows = [(f"n{k}", f"v{i}", int(c[k, i])) for k in range(2) for i in range(3000)]
+    got = partition.ami_between(spark.createDataFrame(rows, "net string, node string, comm int"), co_classification=True).first()["ami"]
+    assert abs(got) < 1e-2
+
+
 def test_paths_of_a_line(spark) -> None:  # noqa: ANN001
     e, n = _graph(spark, [("a", "b", 1), ("b", "c", 0.5)], ["z"])
     got = {r["node"]: r for r in paths.path_metrics(e, n).collect()}
