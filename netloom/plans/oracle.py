@@ -493,7 +493,11 @@ def _value(a: str, b: str, source: str) -> str:
 ORACLE_SQL |= {
     "nodal_efficiency": sql(GRAPH + _distances(), f"SELECT n.net, n.node, {six('coalesce(sum(1 / d), 0.0) / (any_value(n_nodes) - 1)')} AS nodal_efficiency FROM nodes n JOIN sizes USING (net) LEFT JOIN dist ON n.net = dist.net AND n.node = dist.a GROUP BY n.net, n.node"),
     "closeness": sql(GRAPH + _distances(), f"SELECT n.net, n.node, {six('coalesce(count(d) / nullif(sum(d), 0), 0.0)')} AS closeness FROM nodes n LEFT JOIN dist ON n.net = dist.net AND n.node = dist.a GROUP BY n.net, n.node"),
-    "synthetic_source": "SELECT unnest(['1', '2']) AS level, CAST(2500 AS BIGINT) AS cells, CAST(100 AS BIGINT) AS regions",
+    "synthetic_source": sql(
+        ACT,
+        """SELECT CAST(k + 1 AS VARCHAR) AS level, (people + levels - 1 - k) // levels * regions AS cells, regions, true AS near
+FROM (SELECT count(DISTINCT net || sample) AS people, count(DISTINCT net) AS levels, count(DISTINCT region) AS regions FROM act), range(3) r(k)""",
+    ),
     "community_metrics_levels": sql(
         _LEVELS + "," + BYCOMM + "," + _gateway("p", ">") + "," + _gateway("n", "<") + f""",
 vp AS (SELECT net, node, sp, sq, CASE WHEN sp > 0 THEN 1 - p2 / (sp * sp) ELSE 0 END AS a, CASE WHEN sq > 0 THEN 1 - q2 / (sq * sq) ELSE 0 END AS b FROM bt),

@@ -765,9 +765,21 @@ def sig_func_effect(spark: SparkSession, sf: str) -> DataFrame:
     return report.edge_effect(_results(spark, sf))
 
 
+def _shape(spark: SparkSession, sf: str) -> tuple[int, int, int, float, float]:
+    """Samples, levels and regions of the activity, the mean of its values and their standard deviation."""
+    a, s = _samples(spark, sf)
+    moments = a.agg(F.countDistinct("region"), F.avg("value"), F.stddev_samp("value")).first()
+    return s.count(), s.select("level").distinct().count(), *moments
+
+
 @query
 def synthetic_source(spark: SparkSession, sf: str) -> DataFrame:
-    return counts.gaussian(spark).groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("region").alias("regions"))
+    """Simulated activity of the shape, mean and spread of the table's: cells and regions of each level, and whether the
+    level's mean is within six standard errors of the table's."""
+    people, levels, size, mean, sd = _shape(spark, sf)
+    g = counts.gaussian(spark, people, levels, size, (mean, mean), (sd, sd))
+    near = F.abs(F.avg("value") - mean) <= 6 * sd / F.sqrt(F.count(F.lit(1)))
+    return g.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("region").alias("regions"), near.alias("near"))
 
 
 @query
@@ -862,7 +874,9 @@ def group_ami_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def anogva_test(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares of rejected experiments are shares, and grow with the level."""
-    t = inference.anogva_simulation(spark, subjects=20, size=12, runs=6, resamples=20)
+    """Simulated experiments of the table's mean and spread, as many as its levels and as large: shares of rejected ones are
+    shares, and grow with the level."""
+    people, levels, size, mean, sd = _shape(spark, sf)
+    t = inference.anogva_simulation(spark, people, levels, size, runs=2 * levels, resamples=20, means=(mean, mean), sds=(sd, sd))
     before = F.lag("rejected", 1, 0.0).over(Window.orderBy("alpha"))
     return t.select("alpha", F.col("rejected").between(0.0, 1.0).alias("is_share"), (F.col("rejected") >= before).alias("grows"))
