@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -265,17 +265,23 @@ def ends(edges: DataFrame) -> DataFrame:
     return edges.select("net", "weight", both.alias("e")).select("net", "e.node", "e.other", "weight")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder and read from there; for tables that several steps read. Without
-    such a folder a local one is made, in local mode only: other machines could not read it."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. Where none is set a local one is made, in local mode only: other
+    machines could not read it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="networks-")
         sc.setCheckpointDir(folder)
+    return str(sc.getCheckpointDir())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder and read from there; for tables that several steps read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -812,3 +812,18 @@ ORACLE_SQL |= {
     ),
     "anogva_test": f"SELECT {six('k * CAST(0.02 AS DOUBLE)')} AS alpha, true AS is_share, true AS grows FROM (SELECT unnest(range(51)) AS k)",
 }
+_FILES = """,
+files AS (SELECT DISTINCT net, sample, sample || '/e_' || net || '_L_' || CASE WHEN net = 'A' THEN 'fos' ELSE 'arc' END || '_ctl_Annotated_counts.csv' AS file FROM counts),
+summed AS (SELECT net, sample, ancestor_id AS id, sum(value) AS value FROM counts JOIN up USING (id) GROUP BY ALL),
+grid AS (
+  SELECT f.file AS sample, regexp_replace(t.region, '[-# ]', '.', 'g') AS region, coalesce(s.value, 0.0) AS value
+  FROM files f CROSS JOIN tree t LEFT JOIN summed s ON s.net = f.net AND s.sample = f.sample AND s.id = t.id)"""
+ORACLE_SQL |= {
+    "ingest_files": _TREE(_FILES + f"\nSELECT sample, region, {six('value')} AS value FROM grid"),
+    "ingest_kept": _TREE(_FILES + f"""
+SELECT sample, region, {six('value')} AS value FROM (SELECT *, sum(value) OVER (PARTITION BY region) AS s FROM grid)
+WHERE s > 0 AND (region = 'root' OR region IN (SELECT regexp_replace(n_name, '[-# ]', '.', 'g') FROM nation))"""),
+    "ingest_samples": _TREE(_FILES + """
+SELECT file AS sample, 'e' AS experiment, net AS subject, 'L' AS hemisphere, CASE WHEN net = 'A' THEN 'fos' ELSE 'arc' END AS signal, 'ctl' AS "group",
+  CAST(CASE WHEN net = 'A' THEN 1 ELSE 2 END AS INTEGER) AS signal_level FROM files"""),
+}

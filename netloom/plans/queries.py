@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -765,6 +766,40 @@ def sig_func_effect(spark: SparkSession, sf: str) -> DataFrame:
     return report.edge_effect(_results(spark, sf))
 
 
+def _counts_files(spark: SparkSession, sf: str) -> tuple[str, list[str]]:
+    """The tree as an annotation table and the suppliers' counts as files, a folder for each line status and a file for each
+    return flag, in the shared folder: (annotation, folders)."""
+    at = f"{network.shared_folder(spark)}/counts-{uuid.uuid4().hex[:12]}"
+    tree = d.tree(spark, sf)
+    text = [F.lit("").alias(f"c{k}") for k in range(3, 7)]
+    parents = tree.select(F.col("id").alias("up"), F.col("acronym").alias("parent_acronym"))
+    tree.join(parents, F.col("parent_id") == F.col("up"), "left").select("id", "region", "acronym", *text, "parent_id", "parent_acronym").write.csv(f"{at}/regions.csv", header=True)
+    signal = F.when(F.col("net") == "A", "fos").otherwise("arc")
+    name = F.concat(F.lit("e_"), F.col("net"), F.lit("_L_"), signal, F.lit("_ctl_Annotated_counts.csv"))
+    return f"{at}/regions.csv", counts.write_counts(d.counts(spark, sf).select(F.col("sample").alias("folder"), name.alias("file"), "id", "value"), at)
+
+
+@query
+def ingest_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Activity of several folders of files, rolled up the tree; regions without counts stay."""
+    annotation, folders = _counts_files(spark, sf)
+    return counts.ingest(spark, annotation, folders, activity_zero=True)[2]
+
+
+@query
+def ingest_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions that a table names, and one more; ragged reading, regions without counts dropped."""
+    annotation, folders = _counts_files(spark, sf)
+    keep = d.table(spark, sf, "nation").select(F.regexp_replace("n_name", "[-# ]", ".").alias("acronym"))
+    return counts.ingest(spark, annotation, folders, balanced=False, keep=keep, add=["root"])[2]
+
+
+@query
+def ingest_samples(spark: SparkSession, sf: str) -> DataFrame:
+    annotation, folders = _counts_files(spark, sf)
+    return counts.ingest(spark, annotation, folders)[1]
+
+
 def _shape(spark: SparkSession, sf: str) -> tuple[int, int, int, float, float]:
     """Samples, levels and regions of the activity, the mean of its values and their standard deviation."""
     a, s = _samples(spark, sf)

@@ -5,6 +5,8 @@ Everything is read by Spark's own readers with explicit schemas; nothing is list
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,17 @@ ANNOTATION_COLUMNS = {"id": 0, "region": 1, "acronym": 2, "parent_id": 7, "paren
 UNLABELED = "Unlabeled"
 
 
-def read_counts(spark: SparkSession, path: str, balanced: bool = True) -> DataFrame:
+def read_counts(spark: SparkSession, path: str | Sequence[str], balanced: bool = True) -> DataFrame:
     """file, id, value of headerless csv or txt files; txt is split at white space. balanced=False takes ragged lines
-    and keeps their first two fields; fields that are no numbers are null."""
-    name = F.col("_metadata.file_name")
-    if balanced and not path.endswith(".txt"):
+    and keeps their first two fields; fields that are no numbers are null. With several paths a file is named with its
+    folder, since folders may have files of the same name."""
+    several = not isinstance(path, str)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1) if several else F.col("_metadata.file_name")
+    text = (path if isinstance(path, str) else path[0]).endswith(".txt")
+    path = list(path) if several else path
+    if balanced and not text:
         return spark.read.schema("id int, value double").csv(path, mode="PERMISSIVE").select(name.alias("file"), "id", "value")
-    fields = F.split(F.trim("value"), r"\s+" if path.endswith(".txt") else r"\s*,\s*")
+    fields = F.split(F.trim("value"), r"\s+" if text else r"\s*,\s*")
     return spark.read.text(path).filter(F.trim("value") != "").select(name.alias("file"), F.get(fields, F.lit(0)).try_cast("int").alias("id"), F.get(fields, F.lit(1)).try_cast("double").alias("value"))
 
 
@@ -42,7 +48,7 @@ def read_annotation(spark: SparkSession, path: str, drop_unlabeled: bool = True,
 
 def factors_of(file: Column) -> list[Column]:
     """The factors in a file name: fields between underscores before `_An`."""
-    parts = F.split(F.regexp_replace(file, "_An.*", ""), "_")
+    parts = F.split(F.regexp_replace(F.regexp_replace(file, "^.*/", ""), "_An.*", ""), "_")
     return [F.get(parts, F.lit(i)).alias(f) for i, f in enumerate(FACTORS)]
 
 
@@ -53,28 +59,55 @@ def fill_counts(counts: DataFrame, annotation: DataFrame) -> DataFrame:
     return grid.join(first, ["file", "id"], "left").select("file", "id", "acronym", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def ingest(spark: SparkSession, annotation_path: str, data_path: str, balanced: bool = True, layer_1: bool = True, roll_up: bool = True, trim: bool = False, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(regions, samples, activity) of folders of counts files.
+def ingest(spark: SparkSession, annotation_path: str, data_path: str | Sequence[str], balanced: bool = True, layer_1: bool = True, roll_up: bool = True, trim: bool = False, keep: Sequence[str] | DataFrame | None = None, add: Sequence[str] = (), activity_zero: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(regions, samples, activity) of one or more folders of counts files.
 
-    samples: sample, the factors; activity: sample, region (acronym), value. Options: layer_1=False drops first layers,
-    roll_up adds children to parents, trim keeps surviving leaves, keep names acronyms. All-zero regions are dropped.
-    regions has anatomical_group and color."""
+    samples: sample, the factors, and signal_level, the number of the signal among all signals in falling order; activity:
+    sample, region (acronym), value. Options: layer_1=False drops first layers, roll_up adds children to parents, trim keeps
+    surviving leaves, keep names acronyms (a list, or a table with a column acronym) and `add` more of them. All-zero regions
+    are dropped, unless activity_zero. regions has anatomical_group and color."""
     from netloom.operators import hierarchy, prep
 
     regions = read_annotation(spark, annotation_path)
-    counts = fill_counts(read_counts(spark, f"{data_path.rstrip('/')}/{COUNTS_PATTERN}", balanced), regions)
+    folders = f"{data_path.rstrip('/')}/{COUNTS_PATTERN}" if isinstance(data_path, str) else [f"{p.rstrip('/')}/{COUNTS_PATTERN}" for p in data_path]
+    counts = fill_counts(read_counts(spark, folders, balanced), regions)
     samples = counts.select(F.col("file").alias("sample"), *factors_of(F.col("file"))).distinct()
+    # A handful of signals: their numbers come from pairs of them.
+    signals = samples.select("signal").distinct()
+    number = signals.join(signals.withColumnRenamed("signal", "after"), F.col("after") >= F.col("signal"), "left").groupBy("signal").agg(F.count("after").cast("int").alias("signal_level"))
+    samples = samples.join(number, "signal", "left").select("sample", *FACTORS, "signal_level")
     activity = counts.select(F.lit("all").alias("net"), F.col("file").alias("sample"), "id", "value")
     kept = regions if layer_1 else hierarchy.drop_layer_1(regions)
     if roll_up:
         activity = hierarchy.tree_sum(kept, activity)
     if trim:
         kept = hierarchy.trim(kept)
-    if keep is not None:
-        kept = kept.filter(F.col("acronym").isin(*keep))
+    if keep is not None and not isinstance(keep, DataFrame):
+        kept = kept.filter(F.col("acronym").isin(*keep, *add))
+    elif keep is not None:
+        named = F.col("acronym").isin(*add) if add else F.lit(False)
+        kept = kept.filter(named).unionByName(kept.filter(~named).join(keep.select("acronym").distinct(), "acronym", "left_semi").select(*kept.columns))
     activity = activity.join(kept.select("id", F.col("acronym").alias("region")), "id").select("net", "sample", "region", "value")
     regions = hierarchy.colored(hierarchy.grouped(kept))
-    return regions, samples, prep.drop_zero_regions(activity).drop("net")
+    return regions, samples, (activity if activity_zero else prep.drop_zero_regions(activity)).drop("net")
+
+
+def write_counts(counts: DataFrame, folder: str) -> list[str]:
+    """Writes counts (folder, file, id, value) as headerless files `folder`/<folder>/<file> and returns the folders.
+
+    Spark writes each file from one task; only their names, a row for each file, are seen by the driver."""
+    spark = counts.sparkSession
+    lines = counts.select("folder", "file", F.concat_ws(",", "id", "value").alias("value"))
+    lines.repartition("folder", "file").write.partitionBy("folder", "file").text(f"{folder}/raw")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = set()
+    for r in counts.select("folder", "file").distinct().collect():
+        fs.mkdirs(path(f"{folder}/{r['folder']}"))
+        for part in fs.listStatus(path(f"{folder}/raw/folder={r['folder']}/file={r['file']}")):
+            fs.rename(part.getPath(), path(f"{folder}/{r['folder']}/{r['file']}"))
+        folders.add(f"{folder}/{r['folder']}")
+    return sorted(folders)
 
 
 def network_of_file(spark: SparkSession, path: str, clean: bool = False, **options: object) -> tuple[DataFrame, DataFrame]:
