@@ -827,3 +827,8 @@ WHERE s > 0 AND (region = 'root' OR region IN (SELECT regexp_replace(n_name, '[-
 SELECT file AS sample, 'e' AS experiment, net AS subject, 'L' AS hemisphere, CASE WHEN net = 'A' THEN 'fos' ELSE 'arc' END AS signal, 'ctl' AS "group",
   CAST(CASE WHEN net = 'A' THEN 1 ELSE 2 END AS INTEGER) AS signal_level FROM files"""),
 }
+ORACLE_SQL |= {
+    "tree_closure": _TREE("SELECT id, ancestor_id, depth FROM up"),
+    "tree_closure_chain": """
+SELECT c_custkey AS id, c_custkey % 300 + 1 AS ancestors, CAST(c_custkey % 300 AS INTEGER) AS depth, c_custkey - c_custkey % 300 AS top FROM customer""",
+}

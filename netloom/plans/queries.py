@@ -779,6 +779,19 @@ def _counts_files(spark: SparkSession, sf: str) -> tuple[str, list[str]]:
     return f"{at}/regions.csv", counts.write_counts(d.counts(spark, sf).select(F.col("sample").alias("folder"), name.alias("file"), "id", "value"), at)
 
 
+@query
+def tree_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """All ancestors by doubling."""
+    return hierarchy.deep_closure(d.tree(spark, sf))
+
+
+@query
+def tree_closure_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in chains of 300, each under the one before: how many ancestors each has, beyond a recursive query's levels."""
+    chain = d.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 300 != 0, F.col("c_custkey") - 1).alias("parent_id"))
+    return hierarchy.deep_closure(chain).groupBy("id").agg(F.count(F.lit(1)).alias("ancestors"), F.max("depth").alias("depth"), F.min("ancestor_id").alias("top"))
+
+
 @query
 def ingest_files(spark: SparkSession, sf: str) -> DataFrame:
     """Activity of several folders of files, rolled up the tree; regions without counts stay."""

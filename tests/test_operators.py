@@ -603,6 +603,19 @@ def test_consensus(spark) -> None:  # noqa: ANN001
 # Preparation, the tree and files.
 
 
+def test_deep_closure(spark) -> None:  # noqa: ANN001
+    from pyspark.sql import functions as F
+
+    chain = spark.range(700).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    up = hierarchy.deep_closure(chain)
+    assert up.count() == up.distinct().count() == 700 * 701 // 2
+    assert up.filter("id - ancestor_id != depth").isEmpty() and up.filter("id = 699").count() == 700
+    small = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 3), (5, 99)], "id long, parent_id long")
+    assert sorted(map(tuple, hierarchy.deep_closure(small).collect())) == sorted(map(tuple, hierarchy.closure(small).collect()))
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.deep_closure(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, None)], "id long, parent_id long"))
+
+
 def test_clean_and_scale(spark) -> None:  # noqa: ANN001
     rows = [("n", "1", "a", 1.0), ("n", "2", "a", None), ("n", "3", "a", 3.0), ("n", "1", "b", None), ("n", "2", "b", None), ("n", "3", "b", 5.0)]
     c = prep.clean(spark.createDataFrame(rows, "net string, sample string, region string, value double"))
