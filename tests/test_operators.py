@@ -718,6 +718,36 @@ def test_adjusted_p(spark) -> None:  # noqa: ANN001
         adjusted(p, "p", "other")
 
 
+def test_adjusted_p_of_large_groups(spark) -> None:  # noqa: ANN001
+    """Ties, nulls and a group without a name over several ranges; no step goes over a group's rows again for each row."""
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(3000) ** 3, 4)
+    rows = [(k, None if k % 3 == 0 else "one", None if k % 10 == 0 else float(p[k])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, family string, p double").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for method in ("bh", "holm", "bonferroni"):
+            for by in (["family"], []):
+                made = adjusted(df, "p", method, by)
+                assert made.columns == ["k", "family", "p", "p_adjusted"] and "currentrow$(), unboundedfollowing$()" not in made._jdf.queryExecution().toString()
+                got = _by(made, "p_adjusted", "k")
+                assert len(got) == 3000 and all(got[k] is None for k in range(0, 3000, 10))
+                for own in (None, "one") if by else (0,):
+                    at = [k for k, f, x in rows if x is not None and (not by or f == own)]
+                    x, m = p[at], len(at)
+                    place = np.argsort(x, kind="stable")
+                    rank = np.empty(m)
+                    rank[place] = np.arange(1, m + 1)
+                    want = x * m
+                    if method == "bh":
+                        want[place] = np.minimum.accumulate((want / rank)[place][::-1])[::-1]
+                    elif method == "holm":
+                        want[place] = np.maximum.accumulate((x * (m - rank + 1))[place])
+                    assert [got[k] for k in at] == np.minimum(want, 1).tolist()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_hubs_use_exact_names(spark) -> None:  # noqa: ANN001
     rows = [("a ~ ab", "n", "m", 1.0, 0.01), ("ab ~ b", "n", "m", 0.0, 0.01), ("a ~ b", "n", "m", 2.0, 0.5)]
     s = report.significant(spark.createDataFrame(rows, "contrast string, node string, metric string, diff double, p_value double"))
