@@ -71,22 +71,30 @@ GROUPS = {
 }
 
 
+#: Regions from which on `deep_closure` asks for hash joins.
+MANY_REGIONS = 100_000
+
+
 def deep_closure(regions: DataFrame) -> DataFrame:
     """closure of trees of any depth, by doubling: each round joins the paths so far with the steps of 1, 2, 4, ... levels
     and the steps with themselves, so a tree of depth d takes about log2(d) rounds, checkpointed. Each path is made once. A
-    cycle, which steps never leave, is an error."""
+    cycle, which steps never leave, is an error.
+
+    Of many regions, a task holds its share of the steps, at most one a region and parent; paths, of which there are many
+    times more, stream past them and are never sorted."""
     from netloom.operators.network import checkpointed
 
+    most, step = regions.count(), 1
+    held = lambda df: df.hint("shuffle_hash") if most > MANY_REGIONS else df
     links = regions.select("id", F.col("parent_id").alias("up")).distinct()
-    jump = checkpointed(links.join(links.select(F.col("id").alias("up")).distinct(), "up", "left_semi").select("id", "up"))
+    jump = checkpointed(links.join(held(links.select(F.col("id").alias("up")).distinct()), "up", "left_semi").select("id", "up"))
     paths = regions.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth")).distinct()
-    most, step = regions.count(), 1
     while not jump.isEmpty():
         if step >= most:
             raise ValueError("the regions' parents form a cycle")
-        beyond = paths.join(jump.select(F.col("id").alias("at"), "up"), F.col("ancestor_id") == F.col("at")).select("id", F.col("up").alias("ancestor_id"), (F.col("depth") + step).alias("depth"))
+        beyond = paths.join(held(jump.select(F.col("id").alias("at"), "up")), F.col("ancestor_id") == F.col("at")).select("id", F.col("up").alias("ancestor_id"), (F.col("depth") + step).alias("depth"))
         paths = checkpointed(paths.unionByName(beyond))
-        jump = checkpointed(jump.join(jump.select(F.col("id").alias("at"), F.col("up").alias("far")), F.col("up") == F.col("at")).select("id", F.col("far").alias("up")))
+        jump = checkpointed(jump.join(held(jump.select(F.col("id").alias("at"), F.col("up").alias("far"))), F.col("up") == F.col("at")).select("id", F.col("far").alias("up")))
         step *= 2
     return paths
 

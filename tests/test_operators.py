@@ -616,6 +616,22 @@ def test_deep_closure(spark) -> None:  # noqa: ANN001
         hierarchy.deep_closure(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, None)], "id long, parent_id long"))
 
 
+def test_deep_closure_sorts_no_paths(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Many regions in chains of five: joins that cannot broadcast hold steps and stream paths."""
+    from pyspark.sql import functions as F
+
+    plans, write = [], network.checkpointed
+    monkeypatch.setattr(network, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        up = hierarchy.deep_closure(spark.range(120_000).select("id", F.when(F.col("id") % 5 != 0, F.col("id") - 1).alias("parent_id")))
+        assert any("Join" in x for x in plans) and not any("SortMergeJoin" in x for x in plans)
+        assert up.count() == up.distinct().count() == 120_000 * 3
+        assert up.filter("id - ancestor_id != depth OR ancestor_id div 5 != id div 5").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_clean_and_scale(spark) -> None:  # noqa: ANN001
     rows = [("n", "1", "a", 1.0), ("n", "2", "a", None), ("n", "3", "a", 3.0), ("n", "1", "b", None), ("n", "2", "b", None), ("n", "3", "b", 5.0)]
     c = prep.clean(spark.createDataFrame(rows, "net string, sample string, region string, value double"))
