@@ -444,14 +444,16 @@ def agreement_less_null(spark: SparkSession, sf: str) -> DataFrame:
 def consensus(spark: SparkSession, sf: str) -> DataFrame:
     """Every node once, communities numbered from 1, runs that came to agree, and labels that say what agrees: pairs within
     communities agree beyond chance in sum (single nodes hold nothing), and more than pairs across (of which one community of
-    all has none)."""
+    all has none). Where all runs found one community of all nodes, each pair agrees just as chance has it and no labels hold
+    anything; then each node has to stay single."""
     parts = network.checkpointed(partition.partition_runs(d.graph(spark, sf), d.nodes(spark, sf), runs=20))
     c = network.checkpointed(partition.consensus(parts, runs=20))
     pairs = partition.agreement_less_null(parts)
     pairs = pairs.join(c.select("net", F.col("node").alias("src"), F.col("comm").alias("x")), ["net", "src"]).join(c.select("net", F.col("node").alias("dst"), F.col("comm").alias("y")), ["net", "dst"])
-    held = pairs.groupBy("net").agg(F.avg(F.when(F.expr("x = y"), F.col("weight"))).alias("within"), F.avg(F.when(F.expr("x != y"), F.col("weight"))).alias("across"))
-    facts = c.groupBy("net").agg(F.count("node").alias("n_nodes"), F.countDistinct("node").alias("distinct_nodes"), (F.max("comm") == F.countDistinct("comm")).alias("numbered"), F.bool_and("converged").alias("converged"))
-    return facts.join(held.select("net", F.expr("within > across").alias("beats_one"), F.expr("within > 0").alias("beats_single")), "net")
+    held = pairs.groupBy("net").agg(F.avg(F.when(F.expr("x = y"), F.col("weight"))).alias("within"), F.avg(F.when(F.expr("x != y"), F.col("weight"))).alias("across"), (F.max(F.abs("weight")) < 1e-9).alias("nothing"))
+    facts = c.groupBy("net").agg(F.count("node").alias("n_nodes"), F.countDistinct("node").alias("distinct_nodes"), (F.max("comm") == F.countDistinct("comm")).alias("numbered"), F.bool_and("converged").alias("converged"), (F.countDistinct("comm") == F.count("node")).alias("alone"))
+    beats = lambda fact: F.when(F.col("nothing"), F.col("alone")).otherwise(F.expr(fact))
+    return facts.join(held, "net").withColumn("beats_one", beats("within > across")).withColumn("beats_single", beats("within > 0")).drop("within", "across", "nothing", "alone")
 
 
 @query

@@ -558,6 +558,27 @@ def test_consensus_takes_other_searches_and_nulls(spark) -> None:  # noqa: ANN00
     assert exact.count() == 12 and all(r["converged"] for r in exact.collect())
 
 
+def test_consensus_query_where_nothing_agrees_beyond_chance(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
+    """Brands that all go together (A), of which every run makes one community, beside brands in two groups (R)."""
+    from pyspark.sql import functions as F
+
+    from netloom.plans import queries
+
+    spark.range(6).select(F.col("id").alias("p_partkey"), F.format_string("Brand#1%d", "id").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    rows = spark.range(6).withColumnRenamed("id", "l_partkey").crossJoin(spark.range(24).withColumnRenamed("id", "m")).crossJoin(spark.createDataFrame([("A",), ("R",)], "l_returnflag string"))
+    value = F.when(F.expr("l_returnflag = 'A' OR l_partkey < 3"), F.col("m") * 10).otherwise(F.col("m") * 7 % 24 * 10) + F.col("l_partkey") * F.col("m") % 3
+    rows.select("l_partkey", "l_returnflag", F.expr("CAST(add_months(DATE'2020-01-15', CAST(m AS INT)) AS TIMESTAMP)").alias("l_shipdate"), value.cast("double").alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    facts = lambda: {r["net"]: (r["n_nodes"], r["distinct_nodes"], r["numbered"], r["converged"], r["beats_one"], r["beats_single"]) for r in queries.QUERIES["consensus"](spark, str(tmp_path)).collect()}
+    assert facts() == {"A": (6, 6, True, True, True, True), "R": (6, 6, True, True, True, True)}
+    # Neither one community of all nor single nodes of the groups pass.
+    made = partition.consensus
+    monkeypatch.setattr(partition, "consensus", lambda *a, **b: made(*a, **b).withColumn("comm", F.lit(1)))
+    assert not any(x[4] and x[5] for x in facts().values())
+    single = F.substring("node", 8, 1).cast("int") + 1
+    monkeypatch.setattr(partition, "consensus", lambda *a, **b: made(*a, **b).withColumn("comm", single))
+    assert {k: bool(x[4] and x[5]) for k, x in facts().items()} == {"A": True, "R": False}
+
+
 @given(st.integers(0, 10_000), st.sampled_from(["modularity", "neg_asym", "neg_sym", "potts", "custom"]))
 @settings(max_examples=60, deadline=None)
 def test_sparse_louvain_settles_as_the_dense_one(seed: int, mod: str) -> None:
